@@ -102,14 +102,16 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP, as_read: np.ndarray = _LOWER
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased) of all documents in order, and for each
-    document the index of its first word (n + 1 long)."""
+    document the index of its first word (n + 1 long). sep: the bytes that end a word; as_read: what stands for a byte."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    data = _LOWER[data]
-    inside = ~_SEP[data]
+    inside = ~sep[data]
+    data = as_read[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True  # a word never crosses documents
     before = np.empty(n, bool)

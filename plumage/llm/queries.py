@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from plumage.llm import minhash
+from plumage.llm import ann, embed_dedup, minhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_conv_toxicity": toxicity.op1,
         "op4_minmax_near_dedup": minhash.op4,
+        "op5_block_nearest": ann.op5,
+        "op9_hyperplane_dedup": embed_dedup.op9,
     }
 
 
