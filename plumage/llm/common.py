@@ -102,18 +102,15 @@ def steps(offsets: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP, as_read: np.ndarray = _LOWER
-) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased) of all documents in order, and for each
-    document the index of its first word (n + 1 long). sep: the bytes that end a word; as_read: what stands for a byte."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word of all documents in order, and for each document the index of its first word (n + 1
+    long). A word is a run of bytes that are no separators; it never crosses documents."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~sep[data]
-    data = as_read[data]
     edge = np.zeros(n + 1, bool)
-    edge[offsets] = True  # a word never crosses documents
+    edge[offsets] = True
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -122,12 +119,24 @@ def word_hashes(
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    pw, inv = _powers(n)
+    return start, end, np.searchsorted(start, offsets)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for all spans."""
+    n = len(data)
+    pw, inv = _powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[data] * pw[:n], out=total[1:])
     h = (total[end] - total[start]) * inv[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (by default [^\\x20\\x09-\\x0D]+) with A-Z lower-cased, and each document's first."""
+    start, end, first = word_spans(data, offsets, sep)
+    return span_hashes(_LOWER[data], start, end), first
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

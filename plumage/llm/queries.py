@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, embed_dedup, minhash, toxicity
+from plumage.llm import ann, embed_dedup, minhash, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_conv_toxicity": toxicity.op1,
         "op4_minmax_near_dedup": minhash.op4,
         "op5_block_nearest": ann.op5,
+        "op7_weak_label_quality": quality.op7,
         "op9_hyperplane_dedup": embed_dedup.op9,
     }
 
