@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, minhash, quality, toxicity
+from plumage.llm import ann, bpe, embed_dedup, minhash, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_bitmap_bpe": bpe.op3,
         "op4_minmax_near_dedup": minhash.op4,
         "op5_block_nearest": ann.op5,
+        "op6_least_squares_packing": packing.op6,
         "op7_weak_label_quality": quality.op7,
         "op9_hyperplane_dedup": embed_dedup.op9,
     }
