@@ -51,7 +51,7 @@ def test_least_squares_and_plan():
     a = np.random.default_rng(0).integers(1, 1024, 20_000)
     hist = np.bincount(a, minlength=1024)
     chosen, left = packing.plan(hist)
-    assert all(sum(c) == 1024 for c, _ in chosen) and (left >= 0).all() and left.sum() < 0.1 * hist.sum()
+    assert all(sum(c) == 1024 for c, _ in chosen) and (left >= 0).all() and left.sum() < 0.2 * hist.sum()
 
 
 def test_edge_cases(spark):
