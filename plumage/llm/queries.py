@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, minhash, packing, quality, toxicity
+from plumage.llm import ann, bpe, embed_dedup, lm, minhash, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_block_nearest": ann.op5,
         "op6_least_squares_packing": packing.op6,
         "op7_weak_label_quality": quality.op7,
+        "op8_bloom_lm": lm.op8,
         "op9_hyperplane_dedup": embed_dedup.op9,
     }
 
