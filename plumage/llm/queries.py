@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, lm, minhash, packing, quality, toxicity
+from plumage.llm import ann, bpe, embed_dedup, html, lm, minhash, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_weak_label_quality": quality.op7,
         "op8_bloom_lm": lm.op8,
         "op9_hyperplane_dedup": embed_dedup.op9,
+        "op10_template_html": html.op10,
     }
 
 
