@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, html, lm, minhash, packing, quality, toxicity
+from plumage.llm import ann, bpe, embed_dedup, html, line_dedup, lm, minhash, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_conv_toxicity": toxicity.op1,
+        "op2_segment_line_dedup": line_dedup.op2,
         "op3_bitmap_bpe": bpe.op3,
         "op4_minmax_near_dedup": minhash.op4,
         "op5_block_nearest": ann.op5,
