@@ -62,3 +62,15 @@ def test_edge_cases(spark):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     got = packing.pack(twice, packing.read_json()).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.length for r in got) == 8
+
+
+def test_same_ids_as_tokenizers():
+    tokens = packing.Tokens(packing.read_json())
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    points = points[:0x3000] + points[0x3000::16]
+    for i in range(0, len(points), 64):
+        text = "".join(f"{c}a{c}1{c} {c}{c}!{c}\n{c}b 1{c} " for c in points[i : i + 64])
+        assert tokens.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    for text in ("a" * 300_000, " " * 300_000, "\n" * 100_000 + "x", " <|endoftext|>x", "ab " * 100_000):
+        assert tokens.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
