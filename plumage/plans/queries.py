@@ -52,11 +52,11 @@ def reid_metrics(spark, sf_dir):
     return rounded(out, "top1", "top5", "top10", "mrr")
 
 
-@query(f"""with {SQL_SIM} select q as query, c as candidate, round(s, 6) as similarity, rk as rank from
+@query(f"""with {SQL_SIM} select q as query, c as candidate, s as similarity, rk as rank from
     (select q, c, s, row_number() over (partition by q order by s desc, c) as rk from sim where qm <> cm) where rk <= 5""")
 def topk_neighbors(spark, sf_dir):
     v = X.vectors(spark, sf_dir)
-    return rounded(ranking.top_k(v, v, 5, image_col="image"), "similarity").withColumn("rank", F.col("rank").cast("long"))
+    return ranking.top_k(v, v, 5, image_col="image").withColumn("rank", F.col("rank").cast("long"))
 
 
 SQL_TWO = f"""{SQL_SIM}, ab as (select q as i, c as j, s from sim where qi = 0 and ci = 1),
@@ -68,20 +68,20 @@ def _two(spark, sf_dir):
     return v.where("identity = 0"), v.where("identity = 1")
 
 
-@query(f"with {SQL_TWO} select i, j, round(s, 6) as similarity from fwd where ri = 1 and rj = 1 and s >= 0.0")
+@query(f"with {SQL_TWO} select i, j, s as similarity from fwd where ri = 1 and rj = 1 and s >= 0.0")
 def mutual_nearest(spark, sf_dir):
-    return rounded(ranking.mutual_nearest(*_two(spark, sf_dir)), "similarity")
+    return ranking.mutual_nearest(*_two(spark, sf_dir))
 
 
-@query(f"""with {SQL_TWO} select a.i, a.j, round(a.s, 6) as similarity from fwd a join fwd b on a.i = b.i and b.ri = 2
+@query(f"""with {SQL_TWO} select a.i, a.j, a.s as similarity from fwd a join fwd b on a.i = b.i and b.ri = 2
     where a.ri = 1 and a.s > 0 and b.s / a.s < 0.9""")
 def ratio_test(spark, sf_dir):
-    return rounded(ranking.ratio_test(*_two(spark, sf_dir), ratio=0.9), "similarity")
+    return ranking.ratio_test(*_two(spark, sf_dir), ratio=0.9)
 
 
-@query(f"with {SQL_TWO} select i, j, round(s, 6) as similarity, ri as rank from fwd where ri <= 3 and s >= 0.1")
+@query(f"with {SQL_TWO} select i, j, s as similarity, ri as rank from fwd where ri <= 3 and s >= 0.1")
 def topk_matches(spark, sf_dir):
-    return rounded(ranking.top_k_matches(*_two(spark, sf_dir), 3, 0.1), "similarity").withColumn("rank", F.col("rank").cast("long"))
+    return ranking.top_k_matches(*_two(spark, sf_dir), 3, 0.1).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"with {SQL_TWO} select count(*) as n, round(avg(s), 6) as mean from fwd where ri = 1 and rj = 1 and s >= 0.0")
@@ -509,10 +509,10 @@ def batch_ranges(spark, sf_dir):
     return sampling.batch_ranges(sampling.patches_per_batch(p, "batch", "mask"), "batch")
 
 
-@query("select l_shipdate as day, count(*) as n, count(distinct l_orderkey) as orders from lineitem group by l_shipdate having count(*) >= 2")
+@query("select cast(l_shipdate as date) as day, count(*) as n, count(distinct l_orderkey) as orders from lineitem group by cast(l_shipdate as date) having count(*) >= 2")
 def processed_counts(spark, sf_dir):
     li = X.table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_shipdate").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders")).where("n >= 2")
+    return li.groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders")).where("n >= 2")
 
 
 @query("""with h as (select event_id, abs(value) as a, abs(value) / 2 as b, cast(1 as double) as c from events), l as (select *, sqrt(a / greatest(a + b + c, 1e-7)) as ra, sqrt(b / greatest(a + b + c, 1e-7)) as rb, sqrt(c / greatest(a + b + c, 1e-7)) as rc from h)
