@@ -167,10 +167,12 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     both = pairs.join(found.select(F.col("ha").alias("a"), F.col("line").alias("x")), "a").join(
         found.select(F.col("ha").alias("b"), F.col("line").alias("y")), "b"
     )
+    # each step is written, as the optimizer would else put its long expressions into the next one's, many times over
     x, y = trimmed(F.col("x"), F.col("y"))
-    both = both.select("a", "b", F.reverse(x).alias("x"), F.reverse(y).alias("y"))  # now the shared end comes first
+    both = C.materialize(both.select("a", "b", F.reverse(x).alias("x"), F.reverse(y).alias("y")))  # the shared end now comes first
     x, y = trimmed(F.col("x"), F.col("y"))
-    linked = both.select("a", "b", x.alias("x"), y.alias("y")).where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
+    both = C.materialize(both.select("a", "b", x.alias("x"), y.alias("y")))
+    linked = both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
     first = kinds.select("ha", "first")
     order = linked.select("a", "b").join(first.select(F.col("ha").alias("a"), F.col("first").alias("fa")), "a").join(
         first.select(F.col("ha").alias("b"), F.col("first").alias("fb")), "b"
