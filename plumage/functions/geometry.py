@@ -53,7 +53,7 @@ def crop_bounds(square: Column, width: Column, height: Column) -> Column:
 
 def padding(w: Column, h: Column, target: int = 512) -> Column:
     """scale, left and top padding of a crop put into a square of `target`."""
-    scale = F.least(F.lit(float(target)) / w, F.lit(float(target)) / h)
+    scale = F.least(F.try_divide(F.lit(float(target)), w), F.try_divide(F.lit(float(target)), h))
     pad = lambda v: F.floor((F.lit(target) - (v * scale).cast("int")) / 2)
     return F.struct(scale.alias("scale"), pad(w).alias("left"), pad(h).alias("top"))
 
