@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, html, line_dedup, lm, minhash, packing, quality, toxicity
+from plumage.llm import ann, bpe, embed_dedup, html, line_dedup, lm, minhash, oracles, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
