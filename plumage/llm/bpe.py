@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from plumage.llm.pieces import Recent, chunks
 
-#: Pieces, and pre-tokens, that a worker remembers in each half of its memory (at most about 200 MB).
-CACHE = 200_000
+#: Pieces, and pre-tokens, that a worker remembers in each half of its memory (at most about 300 MB).
+CACHE = 400_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -143,12 +143,17 @@ class Codec:
                 self.pieces.put(piece, found)
         return found
 
+    def encode_all(self, texts: list[str]) -> Iterator[array]:
+        """Ids of each text; each different piece of all of them is looked up once."""
+        cut = [chunks(t) for t in texts]
+        own = {p: self._piece(p) for p in set().union(*cut)}
+        for pieces in cut:
+            ids = array("I")
+            ids.frombytes(b"".join(map(own.__getitem__, pieces)))
+            yield ids
+
     def encode(self, text: str) -> array:
-        out, new, parts = array("I"), self._piece, []
-        for p in chunks(text):
-            parts.append(self.pieces.young.get(p) or new(p))
-        out.frombytes(b"".join(parts))
-        return out
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -186,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = _codec(shared)
         for b in _texts(batches):
-            ids = [codec.encode(t or "").tolist() for t in b.column(1).to_pylist()]
+            ids = [x.tolist() for x in codec.encode_all([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -214,8 +219,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         number = [str(i) for i in range(max(codec.words) + 1)].__getitem__
         for b in _texts(batches):
             n, coded, decoded = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = codec.encode(text or "")
+            for ids in codec.encode_all([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
                 coded.append(hashlib.sha256(",".join(map(number, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())

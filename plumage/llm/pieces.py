@@ -8,6 +8,14 @@ import re
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _UNEVEN = re.compile(rf" [{WHITE}]|[{WHITE}] |^[{WHITE}]|[{WHITE}]$")
+_RARE = re.compile(f"[{WHITE.replace(' ', '').replace(chr(10), '')}]")
+
+
+def _uneven(text: str) -> bool:
+    """Whether a space stands next to other white space, or white space at either end."""
+    if _RARE.search(text):
+        return _UNEVEN.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
 
 
 def chunks(text: str) -> list[str]:
@@ -16,7 +24,7 @@ def chunks(text: str) -> list[str]:
     A text without a space next to other white space is cut at its spaces, which is quicker and gives larger pieces."""
     if not text:
         return []
-    if _UNEVEN.search(text):
+    if _uneven(text):
         return _CHUNK.findall(text)
     return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CHUNK.findall(text)
 
