@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import plumage.plans.more  # noqa: F401
 from plumage.plans.queries import ORACLES, QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
