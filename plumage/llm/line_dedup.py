@@ -4,11 +4,11 @@ A line goes if an earlier line, in the order of doc_id and position, equals it o
 it. Equal lines are found by a sum over their hashes. For the rest, every different line is cut into edits + 1 segments;
 two lines within that many edits share one of them, at a place that their lengths narrow down to a few (position-aware
 windows on both sides). Hashes of segments are joined with hashes of the substrings in those windows, lengths included.
-Counts of eight common letters, which one edit changes by two in all, discard most chance pairs within the join. What
+Counts of fifteen letters, which one edit changes by two in all, discard most chance pairs within the join. What
 is left is verified by a bit-parallel edit distance over a band of 2 * edits + 1 diagonals.
 
-Plan: texts are read twice and shuffled once, for the last join that puts the verdicts to the documents; the joins in
-between carry hashes. Equal lines are summed with partial aggregation and joined back only if they occur twice, so a
+Plan: texts are read three times; the joins carry hashes. The verdicts, positions by document, are broadcast to the
+documents up to BROADCAST_LINES of them; beyond that the last join shuffles the texts once. Equal lines are summed with partial aggregation and joined back only if they occur twice, so a
 line that a third of all documents repeat costs one row a task in the sum, and a skew join splits it.
 
 Edge cases: blank lines and lines shorter than min_chars are never removed (near duplicates: near_min_chars). A null or
@@ -26,7 +26,9 @@ from plumage.llm import common as C
 EDITS, MIN_CHARS, NEAR_MIN_CHARS = 2, 20, 40
 #: Hashes of lines to verify are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_LETTERS = "etaonish"
+#: Removed lines whose positions are broadcast (4 bytes each and 40 a document), else joined by a shuffle.
+BROADCAST_LINES = 1_000_000
+_LETTERS = "etaonishrdlucmw"
 
 
 def _cut(i: int, parts: int, length: Column) -> Column:
@@ -55,19 +57,22 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of eight letters, modulo 256, in the bytes of a long."""
+    """Counts of fifteen letters and, last, the length, each modulo 16, in the half-bytes of a long."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(_LETTERS):
-        n = (length - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256
-        out = out.bitwiseOR(F.shiftleft(n.cast("long"), 8 * i))
+    counts = [length - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in _LETTERS]
+    for i, n in enumerate([*counts, length]):
+        out = out.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
     return out
 
 
+def _half_byte(x: str, i: int) -> str:
+    return f"cast(shiftrightunsigned({x}, {4 * i}) & 15 as int)"
+
+
 def _apart(a: str, b: str) -> str:
-    """SQL: a lower bound of the sum of differences of two letter_counts."""
-    byte = "abs(cast(shiftrightunsigned({a}, {i}) & 255 as int) - cast(shiftrightunsigned({b}, {i}) & 255 as int))"
-    parts = [byte.format(a=a, b=b, i=8 * i) for i in range(8)]
-    return " + ".join(f"least({p}, 256 - {p})" for p in parts)
+    """SQL: a lower bound of the sum of differences of two letter_counts, which two edits move by four."""
+    parts = [f"abs({_half_byte(a, i)} - {_half_byte(b, i)})" for i in range(len(_LETTERS))]
+    return " + ".join(f"least({p}, 16 - {p})" for p in parts)
 
 
 def _let(x: Column, body) -> Column:
@@ -157,7 +162,8 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     has = kinds.where("has is not null").select(F.explode("has").alias("key"), F.col("ha").alias("a"), F.col("letters").alias("la"))
     asks = kinds.where("asks is not null").select(F.explode("asks").alias("key"), F.col("ha").alias("b"), F.col("letters").alias("lb"))
-    pairs = has.alias("x").join(asks.alias("y"), F.expr(f"x.key = y.key and a <> b and {_apart('la', 'lb')} <= {2 * edits}"))
+    once = f"(a < b or {_half_byte('la', 15)} <> {_half_byte('lb', 15)})"  # lines of one length ask for each other
+    pairs = has.alias("x").join(asks.alias("y"), F.expr(f"x.key = y.key and a <> b and {once} and {_apart('la', 'lb')} <= {2 * edits}"))
     pairs = C.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = C.materialize(pairs.select(F.col("a").alias("ha")).union(pairs.select("b")).distinct())
@@ -185,8 +191,10 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with the lines removed from text, and with n_lines and n_removed; clashing columns of those names are
     replaced."""
     gone = removed_lines(docs, **how).withColumnsRenamed({"k": "_k", "th": "_th", "gone": "_gone"})
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
+    gone = F.broadcast(gone) if n_gone <= BROADCAST_LINES else gone.hint("shuffle_hash")
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.withColumns({"_k": k, "_th": F.xxhash64("text")}).join(gone.hint("shuffle_hash"), ["_k", "_th"], "left")
+    rows = docs.withColumns({"_k": k, "_th": F.xxhash64("text")}).join(gone, ["_k", "_th"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.split("text", "\n"), i)), "\n"))
