@@ -32,7 +32,10 @@ from plumage.llm import common as C
 MIN_PAGES, MIN_SHARE = 10, 0.5
 BROADCAST_ROWS = 200_000
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?/][^>]*>")
+#: A tag (quotes count after =), a comment's start, another declaration, or a tag with an open quote.
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]|=(?!\s*[\"']))*)>|<!--|<[!?/](?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>"
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -79,16 +82,16 @@ class Page:
             if m.start() > at:
                 self._text(html[at : m.start()])
             at = m.end()
-            if m[2] is None:
+            name = (m[2] or m[5] or "").lower()
+            if not name:
                 if m[0] == "<!--":
                     end = html.find("-->", at)
                     at = n if end < 0 else end + 3
                 continue
-            name = m[2].lower()
-            if m[1]:
+            if m[1] or m[4]:
                 self._end(name)
                 continue
-            self._start(name, m[3])
+            self._start(name, m[3] or "")
             if name in _RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 self._text(html[at : end.start() if end else n])

@@ -250,7 +250,7 @@ def _second_pass(docs, clusters, large, links, k, num, den, block) -> DataFrame:
     # a pair of blocks is (row, column); the text of a document goes to the pairs that hold it, once each
     as_column = open_.select("cluster", "doc_id", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), column.alias("c"))
     as_row = open_.where("comp <> main").select("cluster", "doc_id", "comp", row.alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
-    dealt = as_column.union(as_row).distinct().select("cluster", "doc_id", "comp", F.hash("r", "c").alias("block"), "r", "c")
+    dealt = as_column.union(as_row).distinct()
     dealt = C.materialize(dealt.select("cluster", "doc_id", "comp", (F.col("r").cast("long") * 2**31 + F.col("c")).alias("block")))
     return C.materialize(_compare(_with_text(docs, dealt), k, num, den))
 

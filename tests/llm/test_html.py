@@ -23,6 +23,7 @@ def test_rules():
     assert page.text() == "T & x\n\nOnetwo\n\nThree four\n\na\n\nb"
     assert html.Page("no tags &lt;").text() == "no tags <"
     assert html.Page("<div><nav>m</nav><p>a <p>b").text() == "a\n\nb"
+    assert html.Page("<p>a<b don't t='>'>b</b></p><p>c < d</p></p x='>e").text() == "ab\n\nc < d\n\ne"
     assert html.Page("a <!-- b").text() == "a" and html.Page("").text() == ""
 
 
