@@ -235,3 +235,19 @@ def test_config(tmp_path):
     with pytest.raises(ValueError):
         c.validate()
     assert config.from_dict(config.PipelineSettings, {"pca": {"n_components": "8", "start_component": 2}, "unknown": 1}).pca.end_component == 10
+
+
+def test_densities(spark):
+    pts = spark.createDataFrame([("a", 0.0, 0.0)] * 30 + [("b", 0.0, 0.0)] * 5, "g string, x double, y double")
+    got = layout.densities(pts, "g", "x", "y", grid=72)
+    r = got.groupBy("g").agg(F.sum("density").alias("s"), F.max_by(F.struct("gx", "gy"), "density").alias("top")).collect()
+    assert [x.g for x in r] == ["a"] and abs(r[0].s * 25 - 1) < 0.05 and tuple(r[0].top) == (36, 36)
+
+
+def test_windowed_stream(spark, tmp_path):
+    src = str(tmp_path / "ev")
+    spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 05:00:00", "b")], "t string, k string").select(F.to_timestamp("t").alias("t"), "k").write.parquet(src)
+    counts = ingest.windowed_counts(ingest.read_files(spark, src, "t timestamp, k string"), "t", "k")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert sorted((r.k, r.n) for r in spark.sql("select * from windowed").collect()) == [("a", 2), ("b", 1)]
