@@ -237,7 +237,7 @@ def _second_pass(docs, clusters, large, links, k, num, den, block) -> DataFrame:
     whole = size.groupBy("cluster").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("n_main")
     ).where("n > n_main")
-    half = block // 2
+    half = 3 * block // 2  # larger blocks than in the first pass, so that texts are repeated less often
     whole = C.materialize(whole.select(
         "cluster", "main", F.ceil(F.col("n") / half).cast("int").alias("columns"), F.ceil((F.col("n") - F.col("n_main")) / half).cast("int").alias("rows"),
     ))
