@@ -1,17 +1,20 @@
 """LM scoring: a log-frequency Bloom filter of quantised n-gram counts.
 
-Unigrams give the base: add-one smoothing with exact counts. Pairs of words among the CONTEXTS most frequent ones are
-counted; a pair seen c times enters the filter under the levels 1 .. 1 + floor(log_b c), and a reader probes level after
-level until one is missing, which gives the quantised count. With c(v) the exact count of a context, d(v) the sum of
-its quantised pair counts and B the base, the model is
+Unigrams give the base: add-one smoothing with exact counts. All pairs of neighbouring training words are counted; a pair
+seen c times enters the filter under the levels 1 .. 1 + floor(log_BASE c), and a reader probes level after level until
+one is missing, which gives the quantised count. With c(v) the exact count of a context, d(v) the sum of its quantised
+pair counts and B the base, the model is
 
-    P(w | v) = (pair(v, w) + (c(v) - d(v) + MU) * B(w)) / (c(v) + MU),    P(w | v) = B(w) for other words v.
+    P(w | v) = (pair(v, w) + (c(v) - d(v) + MU) * B(w)) / (c(v) + MU),
 
-Plan: all counts are taken over all training documents by partial and final sums. Only bounded things are broadcast:
-the FREQUENT most frequent words with their counts, and the filter, which has FILTER_BITS bits at every size (the base
-b of the levels grows if the pairs would overfill it; no pair is left out but those seen once, whose mass the smoothing
-holds). Words outside the broadcast list, whose number is unbounded, get their counts by a shuffle join on the hash of
-the word, one row per document and word; their part of a score is a sum, so it is added afterwards.
+which is B(w) for a word v that training has not and for the first word of a document.
+
+Plan: all counts are taken over all training documents by partial and final sums; a pair's key is a 64-bit hash of both
+words. The filter has BITS_PER_KEY bits for each level of each pair, so it grows with the pairs. Only bounded things are
+broadcast: the FREQUENT most frequent words with c and d, and the filter up to BROADCAST_BITS; a larger one stays in
+blocks over the partitions, and probes come to them by a shuffle. Positions with a word outside the broadcast list, or
+with such a filter, are rows (document, pair, times) that get what they lack by shuffle joins on the hash of the word;
+their part of a score is a sum, so it is added afterwards. Both ways give the same scores.
 
 The filter is blocked: a pair's probes lie in one block of BLOCK_BITS bits, so blocks are built by a shuffle on the block.
 
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from plumage.llm import common as C
 
-FREQUENT, CONTEXTS, MU = 1 << 17, 1 << 13, 50.0
-FILTER_BITS, BLOCK_BITS, PROBES, BITS_PER_KEY = 1 << 28, 1 << 15, 4, 8
+FREQUENT, MU = 1 << 17, 50.0
+BASE, BLOCK_BITS, PROBES, BITS_PER_KEY = 1.5, 1 << 15, 4, 8
+#: A filter of at most so many bits is broadcast; probes are shuffled to the blocks of a larger one.
+BROADCAST_BITS = 1 << 28
 END = np.uint64(0x5BD1E9955BD1E995)
-#: Words that a task counts before it hands on its sums.
-BUFFER = 4_000_000
+#: Words, or pairs, that a task counts before it hands on its sums.
+BUFFER, PAIR_BUFFER = 4_000_000, 2_500_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,22 +78,27 @@ class Lookup:
         return out
 
 
-def _sums(count, schema_name: str):
-    """Arrow batches (text) to (key, n): sums of what count() finds, of at most BUFFER entries a time."""
+def _sums(count, buffer: int, names: list[str]):
+    """Arrow batches (text) to what count() finds, its first array the key, and n: sums of at most `buffer` entries a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            key, *more = (np.concatenate(x) for x in zip(*held, strict=True))
+            if more:
+                key, at, n = np.unique(key, return_index=True, return_counts=True)
+                more = [x[at] for x in more]
+            else:
+                key, n = np.unique(key, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, *more)), pa.array(n)], names=[*names, "n"])
 
         for batch in batches:
             data, offsets = C.string_bytes(batch.column(0))
             for i, j in C.steps(offsets):
                 held.append(count(*tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-                size += len(held[-1])
-                if size >= BUFFER:
+                size += len(held[-1][0])
+                if size >= buffer:
                     yield out()
                     held, size = [], 0
         if held:
@@ -97,17 +107,16 @@ def _sums(count, schema_name: str):
     return run
 
 
-def _pairs(shared):
-    """Codes v * CONTEXTS + w of neighbouring words that are both contexts."""
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return C.mix(v ^ np.uint64(0xA0761D6478BD642F)) + w
 
-    def count(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        at = shared.value(words).astype(np.int64)
-        v, w = at[:-1], at[1:]
-        good = (v >= 0) & (w >= 0) & (v < CONTEXTS) & (w < CONTEXTS)
-        good[first[1:-1] - 1] = False  # no pair across documents
-        return v[good] * CONTEXTS + w[good]
 
-    return count
+def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of neighbouring words, and the former of both."""
+    good = np.ones(max(len(words) - 1, 0), bool)
+    good[first[1:-1] - 1] = False  # no pair across documents
+    v, w = words[:-1][good], words[1:][good]
+    return pair_keys(v, w), v
 
 
 # ---------------------------------------------------------------- the filter
@@ -118,10 +127,10 @@ def level(count: np.ndarray, base: float) -> np.ndarray:
 
 
 def typical(top: int, base: float) -> np.ndarray:
-    """The count that stands for each level from 0 (absent) on: the middle of its range; counts below 2 aren't stored."""
+    """The count that stands for each level from 0 (absent) on: the middle of the whole numbers in its range."""
     low = base ** np.arange(top + 1)
-    out = np.concatenate([[0.0], (np.maximum(np.ceil(low[:-1] - 1e-9), 2) + np.maximum(np.ceil(low[1:] - 1e-9) - 1, 2)) / 2])
-    return out
+    least = np.ceil(low[:-1] - 1e-9)
+    return np.concatenate([[0.0], (least + np.maximum(np.ceil(low[1:] - 1e-9) - 1, least)) / 2])
 
 
 def _places(code: np.ndarray, lv: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +174,14 @@ class Filter:
         self.bits, self.base, self.top = bits, base, top
         self.counts = typical(top, base) if top else np.zeros(1)
 
-    def read(self, code: np.ndarray) -> np.ndarray:
-        """Quantised counts: probes of level after level until one is missing."""
+    def read(self, code: np.ndarray, blocks: int = 0) -> np.ndarray:
+        """Quantised counts: probes of level after level until one is missing. With `blocks`, the number of blocks that
+        the whole filter has, this one holds the only block of all codes."""
         lv = np.zeros(len(code), np.int64)
         left = np.arange(len(code))
         for step in range(1, self.top + 1):
-            block, bit = _places(code[left], np.full(len(left), step), len(self.bits))
+            block, bit = _places(code[left], np.full(len(left), step), blocks or len(self.bits))
+            block = block * 0 if blocks else block
             there = np.ones(len(left), bool)
             for p in range(PROBES):
                 there &= self.bits[block, bit[:, p] >> 3] >> (bit[:, p] & 7).astype(np.uint8) & 1 == 1
@@ -181,59 +192,74 @@ class Filter:
         return self.counts[lv]
 
 
+class Filters:
+    """A filter too large to broadcast: the table (block, bits) and what is needed to read it."""
+
+    def __init__(self, table: DataFrame, blocks: int, base: float, top: int):
+        self.table, self.blocks, self.base, self.top = table, blocks, base, top
+
+
 class Model:
-    def __init__(self, keys, counts, n_tokens: int, n_types: int, filter_: Filter, held: np.ndarray, mu: float):
-        self.lookup, self.counts, self.n, self.v, self.filter = Lookup(keys), counts, n_tokens, n_types, filter_
+    """What tasks need: the most frequent words with c and d, and the filter, or None where probes are shuffled."""
+
+    def __init__(self, keys, counts, held, n_tokens: int, n_types: int, filter_: Filter | None, mu: float):
+        self.lookup, self.counts, self.held, self.n, self.v, self.filter, self.mu = Lookup(keys), counts, held, n_tokens, n_types, filter_, mu
         self.log1 = np.log10(counts + 1.0)
-        own = counts[: len(held)].astype(float)
-        self.spare, self.whole = np.maximum(own - held, 0) + mu, own + mu
-        self.contexts = len(held)
+        self.spare, self.whole = np.maximum(counts - held, 0) + mu, counts + mu
+        self.log_total = float(np.log10(n_tokens + n_types + 1))
+
+
+class Words:
+    """The written table (key, n, d) of all training words, and the filter if it is not in the model."""
+
+    def __init__(self, table: DataFrame, filters: Filters | None):
+        self.table, self.filters = table, filters
 
 
 # ---------------------------------------------------------------- fitting
 
 
-def fit(docs: DataFrame, mu: float = MU) -> tuple[Model, DataFrame]:
-    """The model and the written table (key, n) of all training words; docs: the training documents."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, mu: float = MU, broadcast_bits: int = BROADCAST_BITS) -> tuple[Model, Words]:
+    """The model and all training words; docs: the training documents."""
     texts = docs.select("text")
     words = C.materialize(
-        texts.mapInArrow(_sums(lambda w, first: w, "words"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        texts.mapInArrow(_sums(lambda w, first: (w,), BUFFER, ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     )
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # at most FREQUENT rows of 16 bytes
-    keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    pairs = C.materialize(
+        texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, ["key", "v"]), "key long, v long, n long").groupBy("key", "v").agg(F.sum("n").alias("n"))
+    )
+    step = F.floor(F.log("n") / F.lit(float(np.log(BASE))) + 1e-9)
+    size = pairs.agg(F.coalesce(F.sum(1 + step), F.lit(0)).alias("entries"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
+    blocks = max(1, -(-size.entries * BITS_PER_KEY // BLOCK_BITS))
+    highest = int(level(np.array([size.top]), BASE)[0]) if size.top else 0
+    values = typical(highest, BASE) if highest else np.zeros(1)
+
+    stands = F.element_at(F.array(*map(F.lit, values.tolist())), (step + 2).cast("int"))
+    held = pairs.groupBy(F.col("v").alias("key")).agg(F.sum(stands).alias("d"))
+    words = C.materialize(words.join(held, "key", "left").select("key", "n", F.coalesce("d", F.lit(0.0)).alias("d")))
+    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # at most FREQUENT rows of 24 bytes
+    keys, counts, own = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("d").to_numpy()
     order = np.lexsort((keys, -counts))
-    keys, counts = keys[order], counts[order]
-
-    shared = spark.sparkContext.broadcast(Lookup(keys))
-    pairs = texts.mapInArrow(_sums(_pairs(shared), "pairs"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = C.materialize(pairs.where("n > 1"))
-    blocks, base = FILTER_BITS // BLOCK_BITS, 1.5
-    hist = pairs.groupBy(F.floor(F.log2("n")).cast("int").alias("l")).agg(F.count("*").alias("c"), F.max("n").alias("m")).collect()  # at most 64 rows
-    while sum(r.c * (1 + (r.l + 1) / np.log2(base)) for r in hist) * BITS_PER_KEY > FILTER_BITS and base < 1e6:
-        base *= base
-    highest = int(level(np.array([max((r.m for r in hist), default=0)]), base)[0]) if hist else 0
-    values = typical(highest, base) if highest else np.zeros(1)
-
-    stands = F.element_at(F.array(*map(F.lit, values.tolist())), (F.floor(F.log("n") / F.lit(float(np.log(base))) + 1e-9) + 2).cast("int"))
-    held = pairs.groupBy(F.expr(f"key div {CONTEXTS}").alias("v")).agg(F.sum(stands).alias("d")).collect()  # at most CONTEXTS rows
-    by_context = np.zeros(min(CONTEXTS, len(keys)))
-    for r in held:
-        by_context[r.v] = r.d
+
     placed = pairs.mapInArrow(_with_block(blocks), "block long, key long, n long").repartition("block").sortWithinPartitions("block")
-    bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for r in placed.mapInArrow(_fill(base, blocks), "block long, bits binary").toArrow().to_batches():  # FILTER_BITS at most
-        for b, raw in zip(r.column(0).to_pylist(), r.column(1), strict=True):
-            bits[b] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return Model(keys, counts, int(total.n), int(total.v), Filter(bits, base, highest), by_context, mu), words
+    table = placed.mapInArrow(_fill(BASE, blocks), "block long, bits binary")
+    if blocks * BLOCK_BITS <= broadcast_bits:
+        bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+        for r in table.toArrow().to_batches():  # broadcast_bits at most
+            for b, raw in zip(r.column(0).to_pylist(), r.column(1), strict=True):
+                bits[b] = np.frombuffer(raw.as_buffer(), np.uint8)
+        filter_, filters = Filter(bits, BASE, highest), None
+    else:
+        filter_, filters = None, Filters(C.materialize(table), blocks, BASE, highest)
+    return Model(keys[order], counts[order], own[order], int(total.n), int(total.v), filter_, mu), Words(words, filters)
 
 
 def _with_block(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_places(code, np.ones(len(code)), blocks)[0]), b.column(0), b.column(1)], names=["block", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_places(code, np.ones(len(code)), blocks)[0]), b.column(0), b.column(2)], names=["block", "key", "n"])
 
     return run
 
@@ -245,70 +271,142 @@ def _sum_by_doc(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(len(first) - 1)
 
 
+#: A position that tasks can't score alone: its pair, and what is known of it (c and d of v, c of w, the pair's count; else -1).
+_OPEN = "key long, v long, cv long, dv double, w long, cw long, pair double, times long"
+
+
 def _scorer(shared):
-    """Arrow batches (doc_id, held_out, text) to rows with what the frequent words give, and the other words' counts."""
+    """Arrow batches (doc_id, held_out, text) to rows with what the model gives, and the other positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         row = TaskContext.get().partitionId() << 36
-        log_total = np.log10(m.n + m.v + 1)
         for batch in batches:
             data, offsets = C.string_bytes(batch.column(2))
             for i, j in C.steps(offsets):
                 words, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = m.lookup(words)
                 known = at >= 0
-                base = np.where(known, m.log1[at] if len(m.log1) else 0.0, 0.0) - log_total  # others: their log10(c + 1) is added later
-                model = base.copy()
-                v = np.full(len(at), -1, np.int32)
-                v[1:] = at[:-1]
-                v[first[:-1]] = -1
-                has = np.flatnonzero((v >= 0) & (v < m.contexts))
-                spare, whole = m.spare[v[has]], m.whole[v[has]]
-                model[has] += np.log10(spare / whole)
-                both = (at[has] >= 0) & (at[has] < m.contexts)
-                pair = has[both]
-                count = m.filter.read(v[pair].astype(np.int64) * CONTEXTS + at[pair])
-                model[pair] = np.log10((count + spare[both] * 10 ** base[pair]) / whole[both])
-                rare = words[~known]
-                doc = np.repeat(np.arange(j - i), np.diff(first))[~known]
-                order = np.lexsort((rare, doc))
-                rare, doc = rare[order], doc[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])
-                start = np.flatnonzero(new)
-                n = np.diff(np.append(start, len(rare)))
-                lists = np.searchsorted(doc[start], np.arange(j - i + 1)).astype(np.int32)
+                base = np.where(known, m.log1[at] if len(m.log1) else 0.0, 0.0) - m.log_total  # others: their log10(c + 1) is added later
+                starts = np.zeros(len(words), bool)
+                starts[first[:-1]] = True
+                before = np.roll(words, 1)
+                v = np.roll(at, 1)
+                key = pair_keys(before, words)
+                count = np.full(len(words), -1.0)
+                if m.filter is not None:
+                    count = m.filter.read(key)
+                count[starts] = 0
+                model = np.where(starts, base, 0.0)
+                easy = np.flatnonzero(known & (v >= 0) & ~starts & (count >= 0))
+                spare, whole = m.spare[v[easy]], m.whole[v[easy]]
+                model[easy] = np.log10((count[easy] + spare * 10 ** base[easy]) / whole)
+                left = ~known | (v < 0) & ~starts | (count < 0)
+                model[left] = 0
+                left = np.flatnonzero(left)
+                doc = np.repeat(np.arange(j - i), np.diff(first))[left]
+                order = np.lexsort((starts[left], key[left], doc))
+                left, doc = left[order], doc[order]
+                new = np.ones(len(left), bool)
+                new[1:] = (key[left][1:] != key[left][:-1]) | (doc[1:] != doc[:-1]) | (starts[left][1:] != starts[left][:-1])
+                cut = np.flatnonzero(new)
+                times = np.diff(np.append(cut, len(left)))
+                left, lists = left[cut], np.searchsorted(doc[cut], np.arange(j - i + 1)).astype(np.int32)
+                there, here, begins = v[left], at[left], starts[left]
+                got = there >= 0
+                of = lambda x, i, ok: np.where(ok, x[i] if len(x) else 0, -1)
+                open_ = [
+                    np.where(count[left] < 0, key[left].view(np.int64), 0),
+                    np.where(begins | got, 0, before[left].view(np.int64)), np.where(begins, 0, of(m.counts, there, got)), np.where(begins, 0.0, of(m.held, there, got)),
+                    np.where(here >= 0, 0, words[left].view(np.int64)), of(m.counts, here, here >= 0), count[left], times,
+                ]
+                kinds = [x.split() for x in _OPEN.split(", ")]
+                open_ = pa.StructArray.from_arrays([pa.array(x.astype(np.int64 if k == "long" else float)) for x, (_, k) in zip(open_, kinds, strict=True)], names=[n for n, _ in kinds])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(j - i)), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
                         pa.array(np.diff(first)), pa.array(_sum_by_doc(known.astype(np.int64), first)),
-                        pa.array(_sum_by_doc(base, first)), pa.array(_sum_by_doc(model, first)),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(rare[start].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(n.astype(np.int64))),
+                        pa.array(_sum_by_doc(base, first)), pa.array(_sum_by_doc(model, first)), pa.ListArray.from_arrays(pa.array(lists), open_),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "times"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "open"],
                 )
                 row += j - i
 
     return run
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def _probe(blocks: int, base: float, top: int):
+    """Arrow batches (block, bits, row, open position), sorted by block with its bits first, to the positions with their
+    pair counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            is_bits = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            key, pair = (batch.column(name).fill_null(0).to_numpy() for name in ("key", "pair"))  # nulls beside the bits
+            pair = pair.copy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if is_bits[i]:
+                    now, own, i = block[i], Filter(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)[None].copy(), base, top), i + 1
+                if i < j:
+                    pair[i:j] = own.read(key[i:j], blocks) if block[i] == now else 0.0  # a block without bits has no pairs
+            out = [pa.array(pair) if name == "pair" else batch.column(name) for name in batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[2:]).filter(pa.array(~is_bits))
+
+    return run
+
+
+def _probed(open_: DataFrame, filters: Filters) -> DataFrame:
+    """Open positions with their pair counts read from the blocks of the filter."""
+    kinds = [x.split() for x in f"row long, {_OPEN}".split(", ")]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_places(key, np.ones(len(key)), filters_blocks)[0]), *b.columns], names=["block", *b.schema.names])
+
+    filters_blocks = filters.blocks
+    asks = open_.where("pair < 0").mapInArrow(place, f"block long, row long, {_OPEN}")
+    asks = asks.select("block", F.lit(None).cast("binary").alias("bits"), *[n for n, _ in kinds])
+    have = filters.table.select("block", "bits", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
+    both = have.union(asks).repartition("block").sortWithinPartitions("block", F.col("bits").isNull())
+    read = both.mapInArrow(_probe(filters.blocks, filters.base, filters.top), f"row long, {_OPEN}")
+    return C.materialize(read.union(open_.where("pair >= 0")))
+
+
+def score(docs: DataFrame, model: Model, words: Words) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); docs: (doc_id, text, held_out)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    opens = ", ".join(x.replace(" ", ": ") for x in _OPEN.split(", "))
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(
-        _scorer(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>, times array<long>"
+        _scorer(shared), f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, open array<struct<{opens}>>"
     )
     rows = C.materialize(rows)
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    met = rare.join(words, "key").groupBy("row").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("gain")
+    open_ = rows.select("row", F.inline("open"))
+    if words.filters is not None:
+        open_ = _probed(open_, words.filters)
+    table = words.table
+    rest = [c for c in open_.columns if c not in ("v", "cv", "dv")]
+    of_v = open_.where("cv < 0").join(table.select(F.col("key").alias("v"), "n", "d"), "v", "left")
+    of_v = of_v.select(*rest, F.coalesce("n", F.lit(0)).alias("cv"), F.coalesce("d", F.lit(0.0)).alias("dv"))
+    open_ = of_v.union(open_.where("cv >= 0").select(*rest, "cv", "dv")).withColumn("late", F.col("cw") < 0)
+    rest = [c for c in open_.columns if c not in ("w", "cw", "key")]
+    of_w = open_.where("cw < 0").join(table.select(F.col("key").alias("w"), "n"), "w", "left").select(*rest, F.coalesce("n", F.lit(0)).alias("cw"))
+    open_ = of_w.union(open_.where("cw >= 0").select(*rest, "cw"))
+    gain = F.log10(F.col("cw") + F.lit(1.0))
+    by_base = F.pow(F.lit(10.0), gain - F.lit(model.log_total))
+    p = (F.col("pair") + (F.greatest(F.col("cv") - F.col("dv"), F.lit(0.0)) + F.lit(model.mu)) * by_base) / (F.col("cv") + F.lit(model.mu))
+    met = open_.groupBy("row").agg(
+        F.sum(F.when(F.col("late") & (F.col("cw") > 0), F.col("times")).otherwise(0)).alias("more"),
+        F.sum(F.when(F.col("late"), F.col("times") * gain).otherwise(0.0)).alias("gain"), F.sum(F.col("times") * F.log10(p)).alias("part"),
     )
-    more, gain = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0))
-    return rows.drop("rare", "times").join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"), (F.col("model") + gain).alias("score"),
+    return rows.drop("open").join(met, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("part", F.lit(0.0))).alias("score"),
     )
 
 

@@ -54,3 +54,34 @@ def test_edge_cases(spark):
     none = lm.score(df, *lm.fit(df.limit(0))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and abs(r.base_score) < 1e-9 for r in none)
     assert lm.score(df.limit(0), *lm.fit(df)).count() == 0
+
+
+def test_all_pairs_count_and_a_shuffled_filter_scores_alike(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    # every word once, in pairs that come once: more words than any list of contexts or of frequent words
+    texts = [" ".join(f"w{i * 40 + j}" for j in range(40)) for i in range(500)] + ["the cat the dog"] * 30
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000, "w5 w6 w7", True), (1001, "w7 w5 w60 new w6", True), (1002, "new w1", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(4)
+    docs = [split(t) for _, t, h in rows if not h]
+    c, pairs = Counter(w for d in docs for w in d), Counter(p for d in docs for p in zip(d[:-1], d[1:], strict=True))
+    n, v = sum(c.values()), len(c)
+    stands = lambda x: lm.typical(40, lm.BASE)[lm.level(np.array([x]), lm.BASE)[0]] if x else 0.0
+    held = Counter()
+    for (a, _), x in pairs.items():
+        held[a] += stands(x)
+    fits = [lm.fit(df.where("not held_out")), lm.fit(df.where("not held_out"), broadcast_bits=0)]
+    assert fits[0][0].filter is not None and fits[1][0].filter is None
+    got, other = ({r.doc_id: r.score for r in lm.score(df, *f).collect()} for f in fits)
+    assert len(got) == len(other) == len(rows) and all(abs(got[i] - other[i]) < 1e-6 for i in got)
+    exact = []
+    for i, text, _ in rows:
+        ws, want = split(text), 0.0
+        for a, w in zip([..., *ws[:-1]], ws, strict=True):
+            own = c[a] if a is not ... else 0
+            base = (c[w] + 1) / (n + v + 1)
+            want += np.log10((stands(pairs[a, w]) + (max(own - held[a], 0) + lm.MU) * base) / (own + lm.MU))
+        assert got[i] > want - 1e-6  # the filter never undercounts
+        exact.append(abs(got[i] - want) < 1e-6)
+    assert np.mean(exact) > 0.2
+    seen, unseen = (lm.score(df.sparkSession.createDataFrame([(1, t, True)], df.schema), *fits[0]).first().score for t in ("w5 w6 w7", "w7 w5 w6 w5"))
+    assert seen > unseen + 1
