@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.functions import vec as V
 from plumage.operators import ranking as R
 
-#: Graphs of up to so many nodes are solved on the driver (a dense matrix of 8 bytes squared).
+#: dense_eigenvectors(), a reference for tests, takes graphs of up to so many nodes (a dense matrix of 8 bytes squared).
 DENSE_NODES = 4000
+#: Vectors iterated beside the wanted ones, at least; products between two rotations; norm of L v - value * v to reach.
+GUARD, DEGREE, TOLERANCE = 10, 12, 1e-8
 
 
 def knn_edges(df: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -31,54 +34,133 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return off.union(d.select(F.col("node"), F.col("node"), F.col("degree") * F.col("r") * F.col("r")))
 
 
+def dense_eigenvectors(lap: DataFrame, n: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Nodes, eigenvalues and eigenvectors as smallest_eigenvectors() has them, by a dense solver on the driver: the
+    reference for tests, used by no query."""
+    ids = [r.node for r in lap.select(F.col("i").alias("node")).distinct().orderBy("node").limit(DENSE_NODES + 1).collect()]
+    if len(ids) > DENSE_NODES:
+        raise ValueError(f"more than {DENSE_NODES} nodes")
+    at = {v: i for i, v in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    for i, j, v in lap.collect():
+        m[at[i], at[j]] += v
+    values, vectors = np.linalg.eigh(m)
+    vectors = vectors[:, :n] * np.sign(vectors[np.abs(vectors[:, :n]).argmax(axis=0), np.arange(min(n, len(ids)))])
+    return ids, values[:n], vectors
+
+
 def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame:
-    """(node, vec, values): the eigenvectors of the n smallest eigenvalues in rising order; signs are fixed so that the
-    largest component is positive.
-
-    Up to DENSE_NODES nodes on the driver; beyond that by subspace iteration on 2I - L, where each turn is one join
-    with the vectors, one sum, and a QR of the n x n Gram matrix, so nothing that grows with the graph leaves Spark."""
-    spark = lap.sparkSession
-    nodes = lap.select(F.col("i").alias("node")).distinct()
-    ids = [r.node for r in nodes.orderBy("node").limit(DENSE_NODES + 1).collect()]
-    if len(ids) <= DENSE_NODES:
-        at = {v: i for i, v in enumerate(ids)}
-        m = np.zeros((len(ids), len(ids)))
-        for i, j, v in lap.toLocalIterator():
-            m[at[i], at[j]] += v
-        values, vectors = np.linalg.eigh(m)
-        vectors = vectors[:, :n] * np.sign(vectors[np.abs(vectors[:, :n]).argmax(axis=0), np.arange(min(n, len(ids)))])
-        rows = [(v, vectors[i].tolist(), values[:n].tolist()) for v, i in at.items()]
-        return spark.createDataFrame(rows, f"node {dict(nodes.dtypes)['node']}, vec array<double>, eigenvalues array<double>")
-    return _subspace(lap, nodes, n, turns)
-
-
-def _subspace(lap: DataFrame, nodes: DataFrame, n: int, turns: int) -> DataFrame:
-    x = nodes.select("node", F.array(*[F.randn(i) for i in range(n)]).alias("vec"))
-    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-
-    def turned(x: DataFrame, m: np.ndarray) -> DataFrame:
-        by = F.array(*[sum((F.col("vec")[a] * float(m[a, b]) for a in range(n)), F.lit(0.0)) for b in range(n)])
-        return x.select("node", by.alias("vec"))
-
-    def gram(x: DataFrame, y: DataFrame) -> np.ndarray:
-        both = x.join(y.withColumnRenamed("vec", "other"), "node")
-        r = both.agg(*[F.sum(F.col("vec")[a] * F.col("other")[b]) for a in range(n) for b in range(n)]).first()
-        return np.array(r).reshape(n, n)
-
-    values = np.zeros(n)
-    for turn in range(turns):
-        moved = lap.join(x, lap.j == x.node).select("i", F.transform("vec", lambda v: v * F.col("value")).alias("vec")).groupBy("i").agg(add("vec").alias("lv"))
-        y = x.join(moved.withColumnRenamed("i", "node"), "node").select("node", F.zip_with("vec", "lv", lambda a, b: 2 * a - b).alias("vec"))
-        y = y.checkpoint()
-        chol = np.linalg.cholesky(gram(y, y))
-        x = turned(y, np.linalg.inv(chol).T)
-        new = 2 - 1 / np.maximum(np.abs(np.diag(np.linalg.inv(chol))), 1e-12)
-        if np.abs(np.sort(new) - values).max() < 1e-9:
+    """(node, vec, eigenvalues): the eigenvectors of the n smallest eigenvalues in rising order; signs are fixed so that the
+    largest component is positive (among equal ones, at nine decimals, that of the smallest node). Equal eigenvalues leave
+    their vectors free up to rotation.
+
+    Subspace iteration at every size: blocks of vectors that start from hashes of the node go through Chebyshev filters of
+    L, whose every product is one join with the vectors and one sum, and are rotated by sums of fixed size, until L v -
+    value * v is at most TOLERANCE for each. Raises if that takes more than `turns` products. Nothing that grows with the
+    graph leaves Spark."""
+    lap = _cut_lineage(lap.select("i", "j", "value"))
+    nodes = _cut_lineage(lap.select(F.col("i").alias("node")).distinct())
+    size = nodes.count()
+    n, width = min(n, size), min(size, n + max(GUARD, n))
+    x = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("vec"))
+    if not size:
+        return x.select("node", "vec", F.array().cast("array<double>").alias("eigenvalues"))
+    x, done = _cut_lineage(x), 0
+    while True:
+        both = _cut_lineage(x.join(_combined([(lap, x, 1.0)], "lv", width), "node"))
+        rotate, values = _ritz(_sums(both, width), width)
+        both, width = _rotated(both, rotate, nodes), len(values)
+        left = np.sqrt(_residuals(both, values))[:n].max()
+        if left <= TOLERANCE:
             break
-        values = np.sort(new)
-    lx = lap.join(x, lap.j == x.node).select("i", F.transform("vec", lambda v: v * F.col("value")).alias("vec")).groupBy("i").agg(add("vec").alias("vec"))
-    small, rotate = np.linalg.eigh((lambda g: (g + g.T) / 2)(gram(x, lx.withColumnRenamed("i", "node"))))
-    return turned(x, rotate).withColumn("eigenvalues", F.lit(small.tolist()))
+        if done + DEGREE > turns:
+            raise RuntimeError(f"no convergence in {done} products: a residual norm of {left:.1e} is left")
+        # the recurrence of Chebyshev polynomials over [values[-1], 2], scaled to 1 at 0
+        mid, half = (2 + values[-1]) / 2, max((2 - values[-1]) / 2, 1e-3)
+        sigma = first = -half / mid
+        old = _cut_lineage(both.select("node", "vec", "lv"))
+        new = _cut_lineage(old.select("node", F.zip_with("vec", "lv", lambda v, w: (w - v * mid) * (sigma / half)).alias("vec")))
+        old = old.select("node", "vec")
+        for _ in range(DEGREE - 1):
+            after = 1 / (2 / first - sigma)
+            terms = [(lap, new, 2 * after / half), (None, new, -2 * after * mid / half), (None, old, -sigma * after)]
+            old, new, sigma = new, _cut_lineage(_combined(terms, "vec", width)), after
+        x, done = new, done + DEGREE
+    both = _cut_lineage(both.select("node", F.slice("vec", 1, n).alias("vec")))
+    largest = lambda i: F.min_by(F.signum(F.col("vec")[i]), F.struct(-F.round(F.abs(F.col("vec")[i]), 9), "node"))
+    signs = both.agg(*[largest(i) for i in range(n)]).first()
+    signed = F.zip_with("vec", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s)
+    return both.select("node", signed.alias("vec"), F.lit(values[:n].tolist()).cast("array<double>").alias("eigenvalues"))
+
+
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint; only where no folder is configured (tests), a local one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _combined(terms: list, name: str, width: int) -> DataFrame:
+    """(node, name): the sum over (matrix or None, vectors, factor) of factor * matrix * vectors."""
+    scaled = lambda f: F.transform("vec", lambda v: v * f).alias("part")
+    rows = None
+    for lap, x, factor in terms:
+        f: Column = F.lit(float(factor))
+        own = x.select("node", scaled(f)) if lap is None else lap.join(x, lap.j == x.node).select(F.col("i").alias("node"), scaled(F.col("value") * f))
+        rows = own if rows is None else rows.union(own)
+    return rows.groupBy("node").agg(F.array(*[F.sum(F.col("part")[i]) for i in range(width)]).alias(name))
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _sums(both: DataFrame, width: int) -> np.ndarray:
+    """Z^T Z of the rows' vec and lv side by side; each task hands on one matrix."""
+
+    def run(batches):
+        out = np.zeros((2 * width, 2 * width))
+        for b in batches:
+            if b.num_rows:
+                z = np.hstack([_matrix(b.column(0)), _matrix(b.column(1))])
+                out += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel()])], names=["z"])
+
+    rows = both.select("vec", "lv").mapInArrow(run, "z array<double>").collect()
+    return np.sum([r.z for r in rows], axis=0).reshape(2 * width, 2 * width)
+
+
+def _ritz(z: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation of the vectors to orthonormal approximate eigenvectors, and their values in rising order."""
+    gram, product = z[:width, :width], z[:width, width:]
+    scale = 1 / np.sqrt(np.diag(gram))
+    w, u = np.linalg.eigh(gram * scale[:, None] * scale)
+    good = w > 1e-12 * w.max()
+    basis = scale[:, None] * u[:, good] / np.sqrt(w[good])
+    inner = basis.T @ ((product + product.T) / 2) @ basis
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    return basis @ turn, values
+
+
+def _rotated(both: DataFrame, rotate: np.ndarray, nodes: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                out = [pa.array(list(_matrix(b.column(i)) @ rotate), pa.list_(pa.float64())) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["node", "vec", "lv"])
+
+    return both.select("node", "vec", "lv").mapInArrow(run, f"node {dict(nodes.dtypes)['node']}, vec array<double>, lv array<double>")
+
+
+def _residuals(both: DataFrame, values: np.ndarray) -> np.ndarray:
+    """Squared norms of L v - value * v."""
+
+    def run(batches):
+        out = np.zeros(len(values))
+        for b in batches:
+            if b.num_rows:
+                out += ((_matrix(b.column(1)) - _matrix(b.column(0)) * values) ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([out])], names=["r"])
+
+    return np.sum([r.r for r in both.select("vec", "lv").mapInArrow(run, "r array<double>").collect()], axis=0)
 
 
 def angle(a: int, b: int, vec_col: str = "vec"):

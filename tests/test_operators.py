@@ -199,6 +199,20 @@ def test_graph(spark, monkeypatch, tmp_path):
     assert np.allclose(x.T @ x, np.eye(2), atol=1e-6)
 
 
+def test_eigenvectors_of_the_spark_path_have_signs_and_tell_if_not_converged(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 3).tolist()) for i in range(150)], "id long, vec array<double>")
+    lap = graph.laplacian(graph.knn_edges(df, 6)).cache()
+    ids, values, want = graph.dense_eigenvectors(lap, 4)
+    monkeypatch.setattr(graph, "DENSE_NODES", 3)
+    for parts in (3, 7):  # the same signs however rows are dealt
+        rows = graph.smallest_eigenvectors(lap.repartition(parts), 4).orderBy("node").collect()
+        assert [r.node for r in rows] == ids and np.allclose(rows[0].eigenvalues, values, atol=1e-8)
+        assert np.allclose([r.vec for r in rows], want, atol=1e-5)
+    with pytest.raises(RuntimeError, match="residual"):
+        graph.smallest_eigenvectors(lap, 4, turns=0)
+
+
 def test_sampling_and_layout(spark):
     df = spark.range(1000)
     assert sampling.exact_sample(df, 10, "id").count() == 10 and sampling.exact_sample(df, 5000, "id").count() == 1000
