@@ -11,7 +11,8 @@ the heaps.
 
 Nulls and edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
 rows without a vec_id; vectors of another length than the query's are no candidates. Rows with the query's vec_id are
-its own. Ties go to the smaller vec_id. Fewer than k candidates are all returned; an empty table gives no rows.
+its own. Ties go to the smaller vec_id. Rows with equal vec_id and embedding are one row, as queries and as candidates; a
+vec_id with different vectors has a list of k for each of them as a query, and a place for each as a candidate. Fewer than k candidates are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return out
 
 
-def tile_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, candidate, score) of each query's k best in the tile, exactly."""
+def tile_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, key: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(query, candidate, score) of each query's k best in the tile, exactly; with `key`, that of each query after query."""
     qc, qs, qn, qe = quantise(q)
     cc, cs, cn, ce = quantise(c)
     cc32, out = cc.astype(np.float32).T.copy(), []
@@ -68,7 +69,8 @@ def tile_top_k(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
         a, b, score = a[order], b[order], score[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         keep = rank < k
-        out.append((qid[a[keep] + i], cid[b[keep]], score[keep]))
+        at = a[keep] + i
+        out.append((qid[at], *(() if key is None else (key[at],)), cid[b[keep]], score[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -81,8 +83,9 @@ def _tiles(k: int):
             x = V.matrix(table.column("embedding").combine_chunks())
             if not is_query.any() or is_query.all():
                 return
-            found = tile_top_k(ids[is_query], x[is_query], ids[~is_query], x[~is_query], k)
-            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
+            keys = table.column("key").to_numpy()
+            found = tile_top_k(ids[is_query], x[is_query], ids[~is_query], x[~is_query], k, keys[is_query])
+            yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "key", "vec_id", "score"])
 
         key, parts = None, []
         for batch in batches:
@@ -103,18 +106,18 @@ def _tiles(k: int):
 
 
 def _heaps(k: int):
-    """Lists of the tiles, one query in one partition, to the k best of each query."""
+    """Lists of the tiles, one query in one partition, to the k best of each vector of a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list] = {}
+        heaps: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for q, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = heaps.setdefault(q, [])
+            for q, key, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = heaps.setdefault((q, key), [])
                 if len(h) < k:
                     heapq.heappush(h, (s, -v))
                 elif (s, -v) > h[0]:
                     heapq.heapreplace(h, (s, -v))
-        rows = [(q, r, -v, s) for q, h in heaps.items() for r, (s, v) in enumerate(sorted(h, reverse=True), 1)]
+        rows = [(q, r, -v, s) for (q, _), h in heaps.items() for r, (s, v) in enumerate(sorted(h, reverse=True), 1)]
         q, r, v, s = zip(*rows, strict=True) if rows else ((), (), (), ())
         types = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((q, r, v, s), types, strict=True)], names=["query_id", "rank", "vec_id", "score"])
@@ -125,17 +128,17 @@ def _heaps(k: int):
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each row of queries among candidates; both have
     (vec_id, embedding)."""
-    good = lambda df: V.vectors(df).where(V.usable("embedding") & F.col("vec_id").isNotNull())
+    good = lambda df: V.vectors(df).where(V.usable("embedding") & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"])
     q, c = good(queries), good(candidates)
     c_blocks = max(MIN_BLOCKS, -(-c.count() // BLOCK))
     q_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     mixed = F.xxhash64("vec_id", "embedding")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dim = F.size("embedding").alias("dim")
-    c = c.select(dim, F.pmod(mixed, F.lit(c_blocks)).cast("int").alias("cb"), every(q_blocks).alias("qb"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    q = q.select(dim, every(c_blocks).alias("cb"), F.pmod(mixed, F.lit(q_blocks)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "vec_id", "embedding")
+    c = c.select(dim, F.pmod(mixed, F.lit(c_blocks)).cast("int").alias("cb"), every(q_blocks).alias("qb"), F.lit(False).alias("is_query"), "vec_id", mixed.alias("key"), "embedding")
+    q = q.select(dim, every(c_blocks).alias("cb"), F.pmod(mixed, F.lit(q_blocks)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "vec_id", mixed.alias("key"), "embedding")
     pairs = c.unionByName(q).repartition("dim", "cb", "qb").sortWithinPartitions("dim", "cb", "qb")
-    lists = pairs.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    lists = pairs.mapInArrow(_tiles(k), "query_id long, key long, vec_id long, score double")
     return lists.repartition("query_id").mapInArrow(_heaps(k), "query_id long, rank int, vec_id long, score double")
 
 

@@ -76,3 +76,18 @@ def test_op9_blocks_copies_and_nulls(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == want
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op5_repeated_rows_and_two_vectors_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 8).astype(float).tolist()) for i in range(1, 61)]
+    rows += [rows[19], rows[19], rows[4], (40, rng.normal(0, 1, 8).tolist())]  # 20 three times, 5 twice, 40 with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df.where("vec_id % 20 = 0"), df, 6).collect()]
+    kinds = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for q, x in kinds:
+        if q % 20 == 0:
+            best = sorted(((-float(np.dot(x, y)), i) for i, y in kinds if i != q))[:6]
+            want += [(q, r, i) for r, (_, i) in enumerate(best, 1)]
+    assert sorted(t[:3] for t in got) == sorted(want)
