@@ -26,12 +26,20 @@ from pyspark.sql import functions as F
 
 from plumage.llm import common as C
 
-PERMUTATIONS, ROWS_PER_BAND = 60, 6  # 120 values in 20 bands: a pair at 0.85 is missed with probability 1e-4
+PERMUTATIONS, ROWS_PER_BAND = 60, 6
+#: A pair at the threshold may be missed with this probability: 120 values in 20 bands of 6 at 0.85 (7.7e-5), in 24 bands of 5 at 0.80 (7.3e-5).
+MISSED = 1e-4
 BLOCK = 64
 #: Candidate ids are broadcast up to this many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+def banding(similarity_percent: int, permutations: int = PERMUTATIONS) -> int:
+    """The most rows a band may have for a pair at the threshold to be missed with a probability of at most MISSED."""
+    n, s = 2 * permutations, similarity_percent / 100
+    return max((r for r in range(1, n + 1) if n % r == 0 and (1 - s**r) ** (n // r) <= MISSED), default=1)
+
+
 def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingle hashes of each document."""
     n = len(words)
@@ -182,12 +190,12 @@ def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, k: int = 5, similarity_percent: int = 80, permutations: int = PERMUTATIONS,
-    rows_per_band: int = ROWS_PER_BAND, block: int = BLOCK,
+    rows_per_band: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs; k words a shingle, links at a Jaccard
     similarity of similarity_percent / 100 or more."""
     num, den = similarity_percent, 100
-    sig = C.materialize(signatures(docs, k, permutations, rows_per_band))
+    sig = C.materialize(signatures(docs, k, permutations, rows_per_band or banding(similarity_percent, permutations)))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min("bands").alias("bands")

@@ -53,3 +53,13 @@ def test_empty_and_repeated(spark):
     assert minhash.near_duplicates(df).count() == 0
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, k=3).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_pairs_at_the_stage_threshold_are_found(spark):
+    rows = []
+    for i in range(4000):  # 8 words of 10 in common: a similarity of 0.8
+        rows += [(2 * i, " ".join(f"p{i}w{j}" for j in range(9))), (2 * i + 1, " ".join(f"p{i}w{j}" for j in range(1, 10)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    missed = lambda **how: 4000 - minhash.near_duplicates(df, k=1, similarity_percent=80, **how).where("not kept").count()
+    assert minhash.banding(85) == 6 and minhash.banding(80) == 5
+    assert missed() <= 2 < missed(rows_per_band=6)
