@@ -1,103 +1,165 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
-A line goes if an earlier line, in the order of doc_id and position, equals it or is within `edits` edit operations of
-it. Equal lines are found by a sum over their hashes. For the rest, every different line is cut into edits + 1 segments;
-two lines within that many edits share one of them, at a place that their lengths narrow down to a few (position-aware
-windows on both sides). Hashes of segments are joined with hashes of the substrings in those windows, lengths included.
-Counts of fifteen letters, which one edit changes by two in all, discard most chance pairs within the join. What
-is left is verified by a bit-parallel edit distance over a band of 2 * edits + 1 diagonals.
-
-Plan: texts are read three times; the joins carry hashes. The verdicts, positions by document, are broadcast to the
-documents up to BROADCAST_LINES of them; beyond that the last join shuffles the texts once. Equal lines are summed with partial aggregation and joined back only if they occur twice, so a
-line that a third of all documents repeat costs one row a task in the sum, and a skew join splits it.
-
-Edge cases: blank lines and lines shorter than min_chars are never removed (near duplicates: near_min_chars). A null or
-empty text stays as it is. Rows with equal doc_id and text are one document and keep the same lines; a null doc_id
-sorts first. Other columns are carried along. An empty table gives an empty result.
+Equal lines of MIN_CHARS characters or more are one kind; its first occurrence, in the order of doc_id and position,
+stays. A kind goes altogether if a preferred kind (one that occurs more often, then the earlier one) is within k edits.
+The symbols that edits insert, delete or replace are the words of a line that has WORDS of them or more, and the
+characters of any other; lines of different symbols aren't compared. k grows with the shorter line: 1 edit below twice
+its least number of symbols (10 words or 20 characters), 2 below four times, 3 below eight times, 4 from there on.
+
+For the join, lines fall into classes of length, each twice as long as the one before. A line is cut into k + 1 segments
+of a size that its class sets, and an equally long or longer line is probed for them at the few places that k edits
+leave (the first segment i that has met at most i edits so far is intact, moved by at most i, with at most k - i edits
+behind it). Hashes of segment, number and class meet in one sum over keys; only keys that two kinds share go on. Their
+lines are fetched and verified by a bit-parallel edit distance over a band of 2k + 1 diagonals, after the shared
+beginning and end are taken off.
+
+Skew: in a group of more than GROUP kinds under one key each is first compared with the most preferred one. Those left
+are compared only with kinds of the group that share one of their k + 1 rarest symbols as well, which any two within k
+edits do; there again first with the most preferred one. A line that a third of all documents repeat is one row a task
+in the sums. No group is collected.
+
+Plan: texts are read twice for keys and result and once for the lines that share keys; joins carry hashes. Verdicts are
+broadcast to the documents up to BROADCAST_LINES of them; beyond that the last join shuffles the texts once.
+
+Edge cases: lines of white space and lines shorter than min_chars are never removed. A null or empty text stays as it
+is. Rows with equal doc_id and text are one document and keep the same lines; a null doc_id sorts first. Other columns
+are carried along. An empty table gives an empty result. A text of any number of lines is split once.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.llm import common as C
 
-EDITS, MIN_CHARS, NEAR_MIN_CHARS = 2, 20, 40
-#: Hashes of lines to verify are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
+MIN_CHARS, WORDS, MAX_EDITS = 20, 10, 4
+#: Classes of length, each of twice the length: enough for the longest string.
+CLASSES = 27
+#: Kinds of one key that are compared with each other directly.
+GROUP = 32
+#: Buckets of symbols whose counts tell which are rare.
+BUCKETS = 1 << 14
+#: Shared keys, wanted lines and gone kinds are broadcast up to this many rows (8 to 40 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Removed lines whose positions are broadcast (4 bytes each and 40 a document), else joined by a shuffle.
 BROADCAST_LINES = 1_000_000
-_LETTERS = "etaonishrdlucmw"
+_BLANK = " \t\r\x0b\x0c"
 
 
-def _cut(i: int, parts: int, length: Column) -> Column:
-    """Where segment i (from 0) of `parts` begins, from 0."""
-    return F.floor(length * i / parts).cast("int")
+def _let(x: Column, body) -> Column:
+    """body(x) with x computed once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """One hash for each segment of the line, its length and the segment's number included."""
-    n = edits + 1
-    return F.array(*[
-        F.xxhash64(F.substring(line, _cut(i, n, length) + 1, _cut(i + 1, n, length) - _cut(i, n, length)), length, F.lit(i)) for i in range(n)
-    ])
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if C.is_small(df, BROADCAST_ROWS) else df
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Hashes of the substrings that a segment of an equally long or shorter line may equal."""
-    n, out = edits + 1, []
-    for less in range(edits + 1):
-        other = length - less
-        for i in range(n):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                start, stop = _cut(i, n, other), _cut(i + 1, n, other)
-                out.append(F.xxhash64(F.substring(line, start + shift + 1, stop - start), other, F.lit(i)))
-    return F.array(*out)
+# ---------------------------------------------------------------- symbols and segments
 
 
-def letter_counts(line: Column, length: Column) -> Column:
-    """Counts of fifteen letters and, last, the length, each modulo 16, in the half-bytes of a long."""
-    out = F.lit(0).cast("long")
-    counts = [length - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in _LETTERS]
-    for i, n in enumerate([*counts, length]):
-        out = out.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
-    return out
+def with_class(df: DataFrame) -> DataFrame:
+    """df (line, ...) with the number n of symbols, the class of length (even: words, odd: characters; negative: too
+    short), the edits k allowed to lines of at least that class, and the class's least length."""
+    df = df.withColumn("_words", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
+    by_word = F.col("_words") >= WORDS
+    df = df.withColumns({"n": F.when(by_word, F.col("_words")).otherwise(F.length("line")), "_base": F.when(by_word, WORDS).otherwise(MIN_CHARS)})
+    step = F.floor(F.log2(F.col("n") / F.col("_base")) + 1e-9).cast("int")
+    df = df.withColumn("class", step * 2 + F.when(F.col("_base") == WORDS, 0).otherwise(1)).drop("_words", "_base")
+    return df.withColumns({"k": _edits(F.col("class")), "least": _least(F.col("class"))})
 
 
-def _half_byte(x: str, i: int) -> str:
-    return f"cast(shiftrightunsigned({x}, {4 * i}) & 15 as int)"
+def _by_word(class_: Column) -> Column:
+    return F.pmod(class_, F.lit(2)) == 0
 
 
-def _apart(a: str, b: str) -> str:
-    """SQL: a lower bound of the sum of differences of two letter_counts, which two edits move by four."""
-    parts = [f"abs({_half_byte(a, i)} - {_half_byte(b, i)})" for i in range(len(_LETTERS))]
-    return " + ".join(f"least({p}, 16 - {p})" for p in parts)
+def _edits(class_: Column) -> Column:
+    return F.least(F.shiftright(class_, 1) + 1, F.lit(MAX_EDITS))
 
 
-def _let(x: Column, body) -> Column:
-    """body(x) with x computed once."""
-    return F.element_at(F.transform(F.array(x), body), 1)
+def _least(class_: Column) -> Column:
+    base = F.when(_by_word(class_), WORDS).otherwise(MIN_CHARS)
+    return F.call_function("shiftleft", base, F.shiftright(class_, 1))
+
+
+def _places(k: int) -> list[tuple[int, int]]:
+    """(segment, how far it may have moved) of all probes for k edits; the first k + 1 have not moved and are the index."""
+    moved = [(i, d) for i in range(k + 1) for d in range(-min(i, k - i), i + 1) if d]
+    return [(i, 0) for i in range(k + 1)] + moved
+
+
+def _by_edits(k: Column, of) -> Column:
+    """of(1), of(2), ... by the value of k."""
+    return reduce(lambda out, e: out.when(k == e, of(e)), range(2, MAX_EDITS + 1), F.when(k == 1, of(1)))
+
+
+def _probes() -> Column:
+    """By class of length: the end, the size and a salt of each probe. One constant, so that the work on a key is short."""
+    table = []
+    for class_ in range(2 * CLASSES):
+        k = min(class_ // 2 + 1, MAX_EDITS)
+        size = ((MIN_CHARS if class_ % 2 else WORDS) << class_ // 2) // (k + 1)
+        table.append([{"stop": i * size + d + size, "size": size, "salt": class_ * (MAX_EDITS + 1) + i} for i, d in _places(k)])
+    return F.from_json(F.lit(json.dumps(table)), "array<array<struct<stop: int, size: int, salt: int>>>")
+
+
+def probe_keys(line: Column, n: Column, class_: Column) -> Column:
+    """Hashes of the substrings that segments of an equally long or shorter line of the class may equal, in the order of
+    _places; null where the line ends before. The first k + 1 are the line's own segments, if it is of the class."""
+    probes = F.get(_probes(), class_)
+    index = lambda x, count: F.call_function("substring_index", x, F.lit(" "), count)
+    words = F.transform(probes, lambda p: F.when(p["stop"] <= n, F.xxhash64(index(index(line, p["stop"]), -p["size"]), p["salt"])))
+    chars = F.transform(probes, lambda p: F.when(p["stop"] <= n, F.xxhash64(F.substring(line, p["stop"] - p["size"] + 1, p["size"]), p["salt"])))
+    return F.when(_by_word(class_), words).otherwise(chars)
+
+
+def _all_keys() -> Column:
+    """Keys of a line in its own class and, if a line k edits shorter may be in the class below, in that one."""
+    line, n, class_ = (F.col(c) for c in ("line", "n", "class"))
+    below = F.when((class_ >= 2) & (n < F.col("least") + _edits(class_ - 2)), probe_keys(line, n, class_ - 2))
+    return F.when(class_ >= 0, F.concat(probe_keys(line, n, class_), F.coalesce(below, F.array().cast("array<bigint>"))))
+
 
+def with_symbols(df: DataFrame) -> DataFrame:
+    """df as with_class() gives it, with the array of symbols."""
+    return df.withColumn("symbols", F.when(_by_word(F.col("class")), F.split("line", " ")).otherwise(F.split("line", "")))
 
-def trimmed(a: Column, b: Column, steps: int = 16) -> tuple[Column, Column]:
-    """a and b without most of the beginning and end that they share; that leaves their distance as it is."""
-    least = F.least(F.length(a), F.length(b))
-    head = F.greatest(*[F.when(F.substring(a, F.lit(1), c) == F.substring(b, F.lit(1), c), c).otherwise(0) for c in (F.floor(least * i / steps).cast("int") for i in range(1, steps + 1))])
-    x, y = F.substring(a, head + 1, F.length(a)), F.substring(b, head + 1, F.length(b))
-    return x, y
+
+def with_hashes(df: DataFrame) -> DataFrame:
+    return df.withColumn("hashes", F.transform("symbols", lambda s: F.xxhash64(s)))
+
+
+def sketch(hashes: Column) -> Column:
+    """64 parities of numbers of symbols by hash, of which one edit changes two at most."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+# ---------------------------------------------------------------- the distance
+
+
+def trimmed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with the arrays a and b without the beginning and the end that they share, which leaves their distance as it is."""
+    for _ in range(2):
+        apart = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+        df = df.withColumn("_head", F.when(apart == 0, F.least(F.size(a), F.size(b))).otherwise(apart - 1).cast("int"))
+        cut = lambda x: F.reverse(F.slice(x, F.col("_head") + 1, F.size(x)))
+        df = df.withColumns({a: cut(F.col(a)), b: cut(F.col(b))}).drop("_head")
+    return df
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
-    """The edit distance of a and b if it is at most `edits` and their lengths differ by no more, else edits + 1.
+    """The edit distance of two arrays if it is at most `edits` and their sizes differ by no more, else edits + 1.
 
-    One pass over b; bit i of a word stands for the cell `edits` - i above or below the diagonal, and each character
+    One pass over b; bit i of a word stands for the cell `edits` - i above or below the diagonal, and each symbol
     takes a constant number of bit operations on words of 2 * edits + 1 bits."""
     k = edits
     width = 2 * k + 1
     mask, top = (1 << width) - 1, 1 << (2 * k)
-    # a shared beginning keeps both longer than the band
-    pattern, text = F.split(F.concat(F.lit("#" * (k + 1)), a), ""), F.split(F.concat(F.lit("#" * (k + 1)), b), "")
+    same = F.array(*[F.lit("")] * (k + 1))  # a shared beginning keeps both longer than the band
     as_long = lambda x: F.lit(x).cast("long")
     flip = lambda x: x.bitwiseXOR(as_long(mask))
 
@@ -132,76 +194,150 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
         first = F.struct(as_long(((1 << (k + 1)) - 1) << k).alias("vp"), as_long(0).alias("vn"), F.lit(k).alias("d"))
         return F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), first, step, lambda s: s["d"])
 
-    near = F.abs(F.length(a) - F.length(b)) <= k
-    return F.when(near, F.least(_let(F.struct(pattern.alias("p"), text.alias("t")), lambda x: run(x["p"], x["t"])), F.lit(k + 1))).otherwise(k + 1)
+    near = F.abs(F.size(a) - F.size(b)) <= k
+    both = F.struct(F.concat(same, a).alias("p"), F.concat(same, b).alias("t"))
+    return F.when(near, F.least(_let(both, lambda x: run(x["p"], x["t"])), F.lit(k + 1))).otherwise(k + 1)
 
 
-def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """(k, th, pos, line, len): k orders documents, th tells texts apart."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("th"), "text")
-    lines = keyed.select("k", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("len", F.length("line"))
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id): later kinds of the pairs (later, earlier, k) that are within k edits."""
+    side = lambda name, s: found.select(F.col("id").alias(name), F.col("symbols").alias(s))
+    both = pairs.distinct().join(side("later", "x"), "later").join(side("earlier", "y"), "earlier")
+    both = C.materialize(trimmed(both, "x", "y"))  # written, as the optimizer would else repeat its expressions in the next step
+    near = _by_edits(F.col("k"), lambda e: edit_distance(F.col("x"), F.col("y"), e) <= e)
+    return C.materialize(both.where(near).select(F.col("later").alias("id")).distinct())
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS) -> DataFrame:
-    """(k, th, gone): for each document that loses any, the positions of the lines to remove."""
-    line, length = F.col("line"), F.col("len")
-    lines = _lines(docs).where((length >= min_chars) & (F.trim(line) != ""))
-    near = length >= near_min_chars
-    lines = C.materialize(lines.select(
-        "k", "th", "pos", "len", F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(1), "line").alias("hb"),
-        F.when(near, index_keys(line, length, edits)).alias("has"), F.when(near, probe_keys(line, length, edits)).alias("asks"),
-        F.when(near, letter_counts(line, length)).alias("letters"),
-    ))
-    kinds = C.materialize(lines.groupBy("ha", "hb").agg(
-        F.min(F.struct("k", "th", "pos")).alias("first"), F.count("*").alias("n"),
-        F.first("has").alias("has"), F.first("asks").alias("asks"), F.first("letters").alias("letters"),
+# ---------------------------------------------------------------- the join
+
+
+def _members(lines: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, id, at) of the kinds that share a key with another one, and (id, p, doc, th, pos) of those kinds: p orders
+    them by preference, the rest is where the kind stands first."""
+    rows = lines.select("ha", "hb", F.posexplode("keys").alias("at", "g")).where("g is not null")
+    shared = C.materialize(rows.groupBy("g").agg(F.min("ha").alias("a"), F.max("ha").alias("b")).where("a <> b").select("g"))
+    rows = C.materialize(rows.join(_small(shared), "g").select("g", "ha", "hb", "at").distinct())
+    wanted = rows.select("ha", "hb").distinct().join(kinds, ["ha", "hb"])
+    wanted = C.materialize(wanted.select(
+        F.monotonically_increasing_id().alias("id"), "ha", "hb", F.struct((-F.col("times")).alias("times"), "first").alias("p"), "first.*"
     ))
-    repeated = lines.select("k", "th", "pos", "ha", "hb").join(kinds.where("n > 1").select("ha", "hb", "first"), ["ha", "hb"])
-    exact = repeated.where(F.struct("k", "th", "pos") != F.col("first")).select("k", "th", "pos")
-
-    has = kinds.where("has is not null").select(F.explode("has").alias("key"), F.col("ha").alias("a"), F.col("letters").alias("la"))
-    asks = kinds.where("asks is not null").select(F.explode("asks").alias("key"), F.col("ha").alias("b"), F.col("letters").alias("lb"))
-    once = f"(a < b or {_half_byte('la', 15)} <> {_half_byte('lb', 15)})"  # lines of one length ask for each other
-    pairs = has.alias("x").join(asks.alias("y"), F.expr(f"x.key = y.key and a <> b and {once} and {_apart('la', 'lb')} <= {2 * edits}"))
-    pairs = C.materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    wanted = C.materialize(pairs.select(F.col("a").alias("ha")).union(pairs.select("b")).distinct())
-    side = F.broadcast(wanted) if C.is_small(wanted, BROADCAST_ROWS) else wanted
-    found = _lines(docs).where(near).select(F.xxhash64("line").alias("ha"), "line").join(side, "ha")
-    found = C.materialize(found.groupBy("ha").agg(F.first("line").alias("line")))
-    both = pairs.join(found.select(F.col("ha").alias("a"), F.col("line").alias("x")), "a").join(
-        found.select(F.col("ha").alias("b"), F.col("line").alias("y")), "b"
-    )
-    # each step is written, as the optimizer would else put its long expressions into the next one's, many times over
-    x, y = trimmed(F.col("x"), F.col("y"))
-    both = C.materialize(both.select("a", "b", F.reverse(x).alias("x"), F.reverse(y).alias("y")))  # the shared end now comes first
-    x, y = trimmed(F.col("x"), F.col("y"))
-    both = C.materialize(both.select("a", "b", x.alias("x"), y.alias("y")))
-    linked = both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits)
-    first = kinds.select("ha", "first")
-    order = linked.select("a", "b").join(first.select(F.col("ha").alias("a"), F.col("first").alias("fa")), "a").join(
-        first.select(F.col("ha").alias("b"), F.col("first").alias("fb")), "b"
-    )
-    later = order.select(F.greatest("fa", "fb").alias("l")).select("l.k", "l.th", "l.pos")
-    return C.materialize(exact.union(later).groupBy("k", "th").agg(F.collect_set("pos").alias("gone")))
+    return rows.join(_small(wanted.select("id", "ha", "hb")), ["ha", "hb"]).select("g", "id", "at"), wanted
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, p, symbols, hashes, sketch, n, class, k, least) of the wanted kinds."""
+    places = C.materialize(wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("id", "pos")).alias("places")))
+    texts = _documents(docs).join(_small(places), ["doc", "th"])
+    lines = _let(F.split("text", "\n"), lambda ls: F.transform("places", lambda w: F.struct(w["id"].alias("id"), F.get(ls, w["pos"]).alias("line"))))
+    lines = texts.select(F.inline(lines)).groupBy("id").agg(F.first("line").alias("line"))
+    lines = with_hashes(with_symbols(with_class(lines))).withColumn("sketch", sketch(F.col("hashes")))
+    return C.materialize(lines.join(wanted.select("id", "p"), "id").drop("line"))
+
+
+def _fit(x: str, y: str) -> str:
+    """SQL: one of the rows x and y holds a segment of its own, and the other is no shorter and not k longer; and k
+    edits can explain their sketches."""
+    one = "({a}.own and {b}.n between {a}.n and {a}.n + x.k)"
+    return f"(({one.format(a=x, b=y)} or {one.format(a=y, b=x)}) and bit_count({x}.sketch ^ {y}.sketch) <= 2 * x.k)"
+
+
+def _compared(now: DataFrame, found: DataFrame, group: int, to_the_end: bool) -> tuple[DataFrame, DataFrame]:
+    """Of rows (g, id, p, n, k, sketch, own, open): (id) of the kinds that turn out near to a preferred one, and the (g) of the
+    large groups, in which each was compared with the most preferred one only. Rows that are not open are only
+    compared with. to_the_end: what is left open in large groups is compared with all of them."""
+    lead = F.min(F.struct("p", "id", "n", "own", "sketch")).alias("lead")
+    groups = now.groupBy("g").agg(F.count("*").alias("rows"), lead, F.max("id").alias("a"), F.min("id").alias("b"), F.max("own").alias("owned"), F.max("open").alias("left"))
+    groups = C.materialize(groups.where("a <> b and owned and left").select("g", "rows", "lead"))
+    small, large = groups.where(F.col("rows") <= group), C.materialize(groups.where(F.col("rows") > group).select("g", "lead"))
+
+    def each(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.alias("x").join(right.alias("y"), F.expr(f"x.g = y.g and y.p < x.p and x.id <> y.id and {_fit('x', 'y')}"))
+        return both.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"), F.col("x.k").alias("k"))
+
+    few = now.join(_small(small.select("g")), "g", "left_semi")
+    star = now.join(_small(large.select("g", F.col("lead").alias("y"))), "g").alias("x").where(f"open and id <> y.id and {_fit('x', 'y')}")
+    pairs = each(few.where("open"), few).union(star.select(F.col("id").alias("later"), F.col("y.id").alias("earlier"), "k"))
+    gone = _verified(pairs, found)
+    if to_the_end and not large.isEmpty():
+        rest = C.materialize(now.join(_small(large.select("g")), "g", "left_semi"))
+        gone = gone.union(_verified(each(rest.where("open").join(_small(gone), "id", "left_anti"), rest), found))
+    return gone, large.select("g")
+
+
+def _rare(now: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of large groups under finer keys: the group and one of the k + 1 rarest symbols of the line. k edits change at
+    most k different symbols, so under any order of the symbols two such lines share one of their first k + 1; the
+    order here is how often the symbol's bucket of BUCKETS is met."""
+    symbols = found.select("id", F.array_distinct("hashes").alias("hashes"))
+    now = C.materialize(now.join(symbols, "id"))
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    met = now.select(F.explode("hashes").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("times"))
+    met = now.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(met, "b", "left").select("b", F.coalesce("times", F.lit(0)).alias("times"))
+    met = met.agg(F.array_sort(F.collect_list(F.struct("b", "times"))).alias("met"))  # one row of BUCKETS numbers
+    met = C.materialize(met.select(F.col("met.times").alias("met")))
+    ranked = F.array_sort(F.transform("hashes", lambda h: F.struct(F.get("met", bucket(h)).alias("times"), h.alias("h"))))
+    first = F.transform(F.slice(ranked, F.lit(1), F.col("k") + 1), lambda r: F.xxhash64(F.col("g"), r["h"]))
+    few = F.when(F.size("hashes") <= 2 * F.col("k"), F.array(F.xxhash64("g", F.lit("few")))).otherwise(F.array().cast("array<bigint>"))
+    rows = now.crossJoin(F.broadcast(met)).withColumn("keys", F.concat(first, few))
+    return rows.select(F.explode("keys").alias("g"), "id", "p", "n", "k", "sketch", "own", "open")
+
+
+def near_kinds(docs: DataFrame, lines: DataFrame, kinds: DataFrame, group: int = GROUP) -> DataFrame:
+    """(ha, hb) of the kinds of lines that a preferred one is near to."""
+    members, wanted = _members(lines, kinds)
+    found = _fetched(docs, wanted)
+    below = F.col("at") >= _by_edits(F.col("k"), lambda e: F.lit(len(_places(e))))  # keys beyond those of the own class belong to the one below
+    now = members.join(found.drop("symbols", "hashes"), "id").withColumns({
+        "own": F.col("at") <= F.col("k"), "k": _edits(F.when(below, F.col("class") - 2).otherwise(F.col("class"))), "open": F.lit(True),
+    })
+    now = C.materialize(now.select("g", "id", "p", "n", "k", "sketch", "own", "open"))
+    gone, large = _compared(now, found, group, False)
+    if not large.isEmpty():
+        now = now.join(_small(large), "g", "left_semi").join(_small(gone.withColumn("_gone", F.lit(True))), "id", "left")
+        now = _rare(now.withColumn("open", F.col("_gone").isNull()).drop("_gone"), found)
+        gone = gone.union(_compared(C.materialize(now), found, group, True)[0])
+    return gone.distinct().join(wanted.select("id", "ha", "hb"), "id").select("ha", "hb")
+
+
+# ---------------------------------------------------------------- documents
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """(doc, th, text): doc orders documents, th tells texts apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), "text")
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
+    """(doc, th, gone): for each document that loses any, the positions of the lines to remove."""
+    lines = _documents(docs).select("doc", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = with_class(lines.where((F.length("line") >= min_chars) & (F.trim("line", F.lit(_BLANK)) != "")))
+    lines = C.materialize(lines.select("doc", "th", "pos", F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(1), "line").alias("hb"), _all_keys().alias("keys")))
+    kinds = C.materialize(lines.groupBy("ha", "hb").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("times")))
+    near = near_kinds(docs, lines, kinds, group).withColumn("near", F.lit(True))
+    marked = kinds.join(_small(C.materialize(near)), ["ha", "hb"], "left").where("times > 1 or near")
+    hits = lines.select("doc", "th", "pos", "ha", "hb").join(marked, ["ha", "hb"])
+    hits = hits.where(F.col("near") | (F.struct("doc", "th", "pos") != F.col("first")))
+    return C.materialize(hits.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with the lines removed from text, and with n_lines and n_removed; clashing columns of those names are
     replaced."""
-    gone = removed_lines(docs, **how).withColumnsRenamed({"k": "_k", "th": "_th", "gone": "_gone"})
+    gone = removed_lines(docs, **how).withColumnsRenamed({"doc": "_doc", "th": "_th", "gone": "_gone"})
     n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if n_gone <= BROADCAST_LINES else gone.hint("shuffle_hash")
-    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.withColumns({"_k": k, "_th": F.xxhash64("text")}).join(gone, ["_k", "_th"], "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.split("text", "\n"), i)), "\n"))
-    rows = rows.withColumns({
-        "_new": text, "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    })
-    return rows.withColumn("text", F.col("_new")).drop("_k", "_th", "_gone", "_new")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rows = docs.withColumns({"_doc": doc, "_th": F.xxhash64("text")}).join(gone, ["_doc", "_th"], "left")
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        return F.struct(F.size(lines).cast("long").alias("n"), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+    new = F.when(F.col("text").isNull(), F.struct(F.lit(0).cast("long").alias("n"), F.col("text").alias("text"))).otherwise(_let(F.split("text", "\n"), without))
+    rows = rows.withColumn("_new", new)
+    rows = rows.withColumns({"n_lines": F.col("_new.n"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.col("_new.text")})
+    return rows.drop("_doc", "_th", "_gone", "_new")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
