@@ -11,12 +11,24 @@ def _components(nodes: str, links: str) -> str:
         comp as (select id, min(r) as component from reach group by id)"""
 
 
-OP2 = r"""with line as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as l from documents),
-    able as (select * from line where length(l) >= 20 and trim(l, ' ') <> ''),
-    kind as (select l, length(l) as n, min((doc_id, pos)) as f from able group by l),
-    near as (select b.l from kind a join kind b on a.n between b.n - 2 and b.n + 2 and a.f < b.f
-        where a.n >= 40 and b.n >= 40 and (left(a.l, a.n // 3) = left(b.l, a.n // 3) or right(a.l, a.n // 3) = right(b.l, a.n // 3) or contains(b.l, substring(a.l, a.n // 3 + 1, a.n // 3)))
-        and levenshtein(a.l, b.l) <= 2),
+#: Pairs of kinds of lines that share one of the shorter one's k + 1 parts, and their distance over a band of nine diagonals.
+OP2 = r"""with recursive line as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as l from documents),
+    able as (select * from line where length(l) >= 20 and trim(l, chr(9) || chr(11) || chr(12) || chr(13) || ' ') <> ''),
+    kind as (select l, count(*) as c, min((doc_id, pos)) as f, len(string_split(l, ' ')) >= 10 as words from able group by l),
+    cut as (select *, case when words then string_split(l, ' ') else string_split(l, '') end as s, case when words then 10 else 20 end as base from kind),
+    size as (select *, len(s) as n, case when len(s) < 2 * base then 1 when len(s) < 4 * base then 2 when len(s) < 8 * base then 3 else 4 end as k,
+        case when words then ' ' else '' end as gap from cut),
+    part as (select *, list_transform(generate_series(0, k), lambda i: case when words then ' ' || array_to_string(s[n * i // (k + 1) + 1 : n * (i + 1) // (k + 1)], ' ') || ' '
+            else array_to_string(s[n * i // (k + 1) + 1 : n * (i + 1) // (k + 1)], '') end) as parts from size),
+    pair as (select row_number() over () as id, a.s as a, b.s as b, a.n as n, b.n as m, a.k as k, case when (-a.c, a.f) < (-b.c, b.f) then b.l else a.l end as later
+        from part a join part b on a.words = b.words and b.n between a.n and a.n + a.k and a.l <> b.l
+        where len(list_filter(a.parts, lambda x: contains(b.gap || b.l || b.gap, x))) > 0),
+    step as (select id, 0 as i, [99, 99, 99, 99, 0, 1, 2, 3, 4] as r from pair union all
+        select id, i + 1, list_transform(range(1, 10), lambda t: case when i + t - 4 between 0 and m then list_min(list_transform(range(1, t + 1), lambda v: u[v] + t - v)) else 99 end)
+        from (select d.id, d.i, p.m, list_transform(range(1, 10), lambda t: case when d.i + t - 4 not between 0 and p.m then 99 when d.i + t = 4 then d.i + 1
+            else least(coalesce(d.r[t + 1], 99) + 1, d.r[t] + case when p.b[d.i + t - 4] = p.a[d.i + 1] then 0 else 1 end) end) as u
+            from step d join pair p using (id) where d.i < p.n)),
+    near as (select distinct later as l from pair join step using (id) where i = n and r[m - n + 5] <= k),
     gone as (select a.doc_id, a.pos from able a join kind k on a.l = k.l where (a.doc_id, a.pos) <> k.f or a.l in (select l from near)),
     kept as (select line.*, gone.pos is not null as out from line left join gone using (doc_id, pos))
     select doc_id, count(*) as n_lines, count(*) filter (out) as n_removed, coalesce(string_agg(l, chr(10) order by pos) filter (not out), '') as text from kept group by doc_id"""
