@@ -2,21 +2,21 @@
 
 Unigrams give the base: add-one smoothing with exact counts. All pairs of neighbouring training words are counted; a pair
 seen c times enters the filter under the levels 1 .. 1 + floor(log_BASE c), and a reader probes level after level until
-one is missing, which gives the quantised count. With c(v) the exact count of a context, d(v) the sum of its quantised
-pair counts and B the base, the model is
+one is missing. The last level that is there stands for the least count of that level, so that the counts of a context
+never add up to more than c(v), but for false positives. With c(v) the exact count of a context and B the base, the model is
 
-    P(w | v) = (pair(v, w) + (c(v) - d(v) + MU) * B(w)) / (c(v) + MU),
+    P(w | v) = (pair(v, w) + MU * B(w)) / (c(v) + MU),
 
 which is B(w) for a word v that training has not and for the first word of a document.
 
 Plan: all counts are taken over all training documents by partial and final sums; a pair's key is a 64-bit hash of both
-words. The filter has BITS_PER_KEY bits for each level of each pair, so it grows with the pairs. Only bounded things are
-broadcast: the FREQUENT most frequent words with c and d, and the filter up to BROADCAST_BITS; a larger one stays in
-blocks over the partitions, and probes come to them by a shuffle. Positions with a word outside the broadcast list, or
-with such a filter, are rows (document, pair, times) that get what they lack by shuffle joins on the hash of the word;
-their part of a score is a sum, so it is added afterwards. Both ways give the same scores.
-
-The filter is blocked: a pair's probes lie in one block of BLOCK_BITS bits, so blocks are built by a shuffle on the block.
+words. Tasks sum pairs and send them packed, one row for each of the filter's buckets, to the partition of the bucket,
+where they are summed and enter the bucket's bits: BITS_PER_KEY for each level of each pair, and buckets grow in number
+with the tokens, so the filter grows with the pairs. Only bounded things are broadcast: words more frequent than a
+count that a histogram gives (at most FREQUENT), and the filter up to BROADCAST_BYTES; a larger one stays in buckets over
+the partitions, and probes come to them by a shuffle. Positions with a word outside the broadcast list, or with such a
+filter, are rows (document, pair, times) that get what they lack by shuffle joins on the hash of the word; their part
+of a score is a sum, so it is added afterwards. Both ways give the same scores.
 
 Nulls and edge cases: a null or empty text is the end token alone; a null doc_id is not held out and trains; without
 training documents every count is 0; extra columns are ignored; rows that repeat train and are scored each. Words are
@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from plumage.llm import common as C
 
-FREQUENT, MU = 1 << 17, 50.0
-BASE, BLOCK_BITS, PROBES, BITS_PER_KEY = 1.5, 1 << 15, 4, 8
-#: A filter of at most so many bits is broadcast; probes are shuffled to the blocks of a larger one.
-BROADCAST_BITS = 1 << 28
+FREQUENT, MU = 1 << 18, 50.0
+BASE, PROBES, BITS_PER_KEY = 1.5, 4, 8
+#: A filter of at most so many bytes is broadcast; probes are shuffled to the buckets of a larger one.
+BROADCAST_BYTES = 1 << 27
+#: Training tokens for each bucket of the filter.
+BUCKET_TOKENS = 1 << 13
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Words, or pairs, that a task counts before it hands on its sums.
 BUFFER, PAIR_BUFFER = 4_000_000, 2_500_000
@@ -78,45 +80,38 @@ class Lookup:
         return out
 
 
-def _sums(count, buffer: int, names: list[str]):
-    """Arrow batches (text) to what count() finds, its first array the key, and n: sums of at most `buffer` entries a time."""
+def _sums(count, buffer: int, pack):
+    """Arrow batches (text) to sums of what count() finds, at most `buffer` entries a time, as pack() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def out():
-            key, *more = (np.concatenate(x) for x in zip(*held, strict=True))
-            if more:
-                key, at, n = np.unique(key, return_index=True, return_counts=True)
-                more = [x[at] for x in more]
-            else:
-                key, n = np.unique(key, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, *more)), pa.array(n)], names=[*names, "n"])
-
         for batch in batches:
             data, offsets = C.string_bytes(batch.column(0))
             for i, j in C.steps(offsets):
                 held.append(count(*tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-                size += len(held[-1][0])
+                size += len(held[-1])
                 if size >= buffer:
-                    yield out()
+                    yield pack(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
-        if held:
-            yield out()
+        if size:
+            yield pack(*np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return C.mix(v ^ np.uint64(0xA0761D6478BD642F)) + w
+def _as_rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def pair_codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs, whose upper bits give the bucket."""
+    return C.mix(C.mix(v ^ np.uint64(0xA0761D6478BD642F)) + w)
 
 
-def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring words, and the former of both."""
+def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     good = np.ones(max(len(words) - 1, 0), bool)
     good[first[1:-1] - 1] = False  # no pair across documents
-    v, w = words[:-1][good], words[1:][good]
-    return pair_keys(v, w), v
+    return pair_codes(words[:-1][good], words[1:][good])
 
 
 # ---------------------------------------------------------------- the filter
@@ -126,91 +121,129 @@ def level(count: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def typical(top: int, base: float) -> np.ndarray:
-    """The count that stands for each level from 0 (absent) on: the middle of the whole numbers in its range."""
-    low = base ** np.arange(top + 1)
-    least = np.ceil(low[:-1] - 1e-9)
-    return np.concatenate([[0.0], (least + np.maximum(np.ceil(low[1:] - 1e-9) - 1, least)) / 2])
+def stands(top: int, base: float) -> np.ndarray:
+    """The least count of each level from 0 (absent) to top."""
+    return np.concatenate([[0.0], np.ceil(base ** np.arange(top) - 1e-9)])
+
+
+def bucket_of(code: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each pair, of 2^bits."""
+    return (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
 
 
-def _places(code: np.ndarray, lv: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each pair, and the bits (entries, PROBES) of a level within it."""
-    mixed = C.mix(code.astype(np.uint64) + np.uint64(0x1234567))
-    block = (mixed % np.uint64(blocks)).astype(np.int64)
-    a = C.mix(mixed + lv.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    bits = np.stack([(a >> np.uint64(16 * i)) & np.uint64(BLOCK_BITS - 1) for i in range(PROBES)], axis=1)
-    return block, bits.astype(np.int64)
+def _packed(bits: int):
+    """Sorted codes and counts to one row for each bucket that has any: (bucket, codes, counts), the latter as bytes."""
 
+    def pack(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = bucket_of(code, bits)
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(code))
+        of = lambda x: pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), of(code), of(n.astype(np.uint32))], names=["bucket", "codes", "counts"])
 
-def _fill(base: float, blocks: int):
-    """Arrow batches (block, code, n), sorted by block, to (block, bits)."""
+    return pack
+
+
+def _spots(code: np.ndarray, lv: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The bits, from 0 in buckets of `size` bits, that a level of each pair sets or reads, one array a probe."""
+    a = C.mix(code + lv.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low, high = a & np.uint64(0xFFFFFFFF), a >> np.uint64(32) | np.uint64(1)
+    for i in range(PROBES):
+        yield ((low + np.uint64(i) * high & np.uint64(0xFFFFFFFF)) * size.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_bits(code: np.ndarray, n: np.ndarray, base: float) -> tuple[bytes, int]:
+    """The bits of a bucket that holds these pairs, any of which may come several times, and the highest level."""
+    code, at = np.unique(code, return_inverse=True)
+    lv = level(np.bincount(at, n), base)
+    every = np.repeat(code, lv)
+    steps = np.arange(len(every)) - np.repeat(np.cumsum(lv) - lv, lv) + 1
+    bits = np.zeros(-(-len(every) * BITS_PER_KEY // 64) * 64, bool)
+    for spot in _spots(every, steps, np.full(len(every), len(bits))):
+        bits[spot] = True
+    return np.packbits(bits, bitorder="little").tobytes(), int(lv.max())
+
+
+def _fill(base: float):
+    """Arrow batches (bucket, codes, counts), sorted by bucket, to (bucket, bits, top)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
+        now, codes, counts = None, [], []
+
+        def out():
+            bits, top = bucket_bits(np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(counts), np.uint32), base)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits], pa.binary()), pa.array([top])], names=["bucket", "bits", "top"])
+
         for batch in batches:
-            own, code, n = (batch.column(i).to_numpy() for i in range(3))
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i == j:
-                    continue
-                if own[i] != now:
-                    if bits is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-                    now, bits = int(own[i]), np.zeros(BLOCK_BITS, bool)
-                lv = level(n[i:j], base)
-                c = np.repeat(code[i:j], lv)
-                steps = np.arange(len(c)) - np.repeat(np.cumsum(lv) - lv, lv) + 1
-                bits[_places(c, steps, blocks)[1].reshape(-1)] = True
-        if bits is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+            for bucket, code, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != now and codes:
+                    yield out()
+                    codes, counts = [], []
+                now = bucket
+                codes.append(code)
+                counts.append(n)
+        if codes:
+            yield out()
 
     return run
 
 
 class Filter:
-    """The filter's bytes, by block, and what each level stands for."""
-
-    def __init__(self, bits: np.ndarray, base: float, top: int):
-        self.bits, self.base, self.top = bits, base, top
-        self.counts = typical(top, base) if top else np.zeros(1)
-
-    def read(self, code: np.ndarray, blocks: int = 0) -> np.ndarray:
-        """Quantised counts: probes of level after level until one is missing. With `blocks`, the number of blocks that
-        the whole filter has, this one holds the only block of all codes."""
+    """The bits of all buckets (or, with `only`, of that one), and what each level stands for."""
+
+    def __init__(self, buckets: list[int], bits: list[bytes], log_buckets: int, base: float, top: int):
+        self.log, self.base, self.top = log_buckets, base, top
+        size = np.zeros(1 << log_buckets, np.int64)
+        size[buckets] = [8 * len(b) for b in bits]
+        self.size, order = size, np.argsort(buckets)
+        self.start = np.cumsum(size) - size
+        self.bits = np.frombuffer(b"".join(bits[i] for i in order), np.uint8)
+        self.counts = stands(top, base)
+
+    def read(self, code: np.ndarray) -> np.ndarray:
+        """Quantised counts: probes of level after level until one is missing."""
+        return self.counts[self._levels(code, bucket_of(code, self.log))]
+
+    def _levels(self, code: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         lv = np.zeros(len(code), np.int64)
-        left = np.arange(len(code))
+        left = np.flatnonzero(self.size[bucket])
         for step in range(1, self.top + 1):
-            block, bit = _places(code[left], np.full(len(left), step), blocks or len(self.bits))
-            block = block * 0 if blocks else block
-            there = np.ones(len(left), bool)
-            for p in range(PROBES):
-                there &= self.bits[block, bit[:, p] >> 3] >> (bit[:, p] & 7).astype(np.uint8) & 1 == 1
+            own = bucket[left]
+            start, there = self.start[own], np.ones(len(left), bool)
+            for spot in _spots(code[left], np.full(len(left), step), self.size[own]):
+                spot += start
+                there &= self.bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1
             left = left[there]
             if not len(left):
                 break
             lv[left] = step
-        return self.counts[lv]
+        return lv
+
+
+class OneBucket(Filter):
+    """The bits of one bucket, which holds all codes that are read."""
+
+    def __init__(self, bits: bytes, base: float, top: int):
+        super().__init__([0], [bits], 0, base, top)
 
 
 class Filters:
-    """A filter too large to broadcast: the table (block, bits) and what is needed to read it."""
+    """A filter too large to broadcast: the table (bucket, bits) and what is needed to read it."""
 
-    def __init__(self, table: DataFrame, blocks: int, base: float, top: int):
-        self.table, self.blocks, self.base, self.top = table, blocks, base, top
+    def __init__(self, table: DataFrame, log_buckets: int, base: float, top: int):
+        self.table, self.log, self.base, self.top = table, log_buckets, base, top
 
 
 class Model:
-    """What tasks need: the most frequent words with c and d, and the filter, or None where probes are shuffled."""
+    """What tasks need: the most frequent words with their counts, and the filter, or None where probes are shuffled."""
 
-    def __init__(self, keys, counts, held, n_tokens: int, n_types: int, filter_: Filter | None, mu: float):
-        self.lookup, self.counts, self.held, self.n, self.v, self.filter, self.mu = Lookup(keys), counts, held, n_tokens, n_types, filter_, mu
-        self.log1 = np.log10(counts + 1.0)
-        self.spare, self.whole = np.maximum(counts - held, 0) + mu, counts + mu
+    def __init__(self, keys, counts, n_tokens: int, n_types: int, filter_: Filter | None, mu: float):
+        self.lookup, self.counts, self.n, self.v, self.filter, self.mu = Lookup(keys), counts, n_tokens, n_types, filter_, mu
+        self.log1, self.whole = np.log10(counts + 1.0), counts + mu
         self.log_total = float(np.log10(n_tokens + n_types + 1))
 
 
 class Words:
-    """The written table (key, n, d) of all training words, and the filter if it is not in the model."""
+    """The written table (key, n) of all training words, and the filter if it is not in the model."""
 
     def __init__(self, table: DataFrame, filters: Filters | None):
         self.table, self.filters = table, filters
@@ -219,49 +252,38 @@ class Words:
 # ---------------------------------------------------------------- fitting
 
 
-def fit(docs: DataFrame, mu: float = MU, broadcast_bits: int = BROADCAST_BITS) -> tuple[Model, Words]:
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words met at least as often as some count, the least for which they are at most `most`: no task sorts them."""
+    level_ = F.floor(F.log2("n") * 16)
+    steps = words.groupBy(level_.alias("level")).agg(F.count("*").alias("words")).collect()  # at most 16 * 63 rows
+    total, least = 0, None
+    for r in sorted(steps, key=lambda r: -r.level):
+        total += r.words
+        if total > most:
+            break
+        least = r.level
+    return words.where(level_ >= least) if least is not None else words.limit(0)
+
+
+def fit(docs: DataFrame, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, Words]:
     """The model and all training words; docs: the training documents."""
     texts = docs.select("text")
-    words = C.materialize(
-        texts.mapInArrow(_sums(lambda w, first: (w,), BUFFER, ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    )
+    words = C.materialize(texts.mapInArrow(_sums(lambda w, first: w, BUFFER, _as_rows), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = C.materialize(
-        texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, ["key", "v"]), "key long, v long, n long").groupBy("key", "v").agg(F.sum("n").alias("n"))
-    )
-    step = F.floor(F.log("n") / F.lit(float(np.log(BASE))) + 1e-9)
-    size = pairs.agg(F.coalesce(F.sum(1 + step), F.lit(0)).alias("entries"), F.coalesce(F.max("n"), F.lit(0)).alias("top")).first()
-    blocks = max(1, -(-size.entries * BITS_PER_KEY // BLOCK_BITS))
-    highest = int(level(np.array([size.top]), BASE)[0]) if size.top else 0
-    values = typical(highest, BASE) if highest else np.zeros(1)
-
-    stands = F.element_at(F.array(*map(F.lit, values.tolist())), (step + 2).cast("int"))
-    held = pairs.groupBy(F.col("v").alias("key")).agg(F.sum(stands).alias("d"))
-    words = C.materialize(words.join(held, "key", "left").select("key", "n", F.coalesce("d", F.lit(0.0)).alias("d")))
-    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()  # at most FREQUENT rows of 24 bytes
-    keys, counts, own = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("d").to_numpy()
-    order = np.lexsort((keys, -counts))
-
-    placed = pairs.mapInArrow(_with_block(blocks), "block long, key long, n long").repartition("block").sortWithinPartitions("block")
-    table = placed.mapInArrow(_fill(BASE, blocks), "block long, bits binary")
-    if blocks * BLOCK_BITS <= broadcast_bits:
-        bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-        for r in table.toArrow().to_batches():  # broadcast_bits at most
-            for b, raw in zip(r.column(0).to_pylist(), r.column(1), strict=True):
-                bits[b] = np.frombuffer(raw.as_buffer(), np.uint8)
-        filter_, filters = Filter(bits, BASE, highest), None
+    top = frequent(words, FREQUENT).toArrow()  # at most FREQUENT rows of 16 bytes
+    keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+
+    log_buckets = max(0, int(np.ceil(np.log2(max(total.n, 1) / BUCKET_TOKENS))))
+    pairs = texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, _packed(log_buckets)), "bucket long, codes binary, counts binary")
+    table = pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_fill(BASE), "bucket long, bits binary, top long")
+    table = C.materialize(table)
+    size = table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
+    if size.bytes <= broadcast_bytes:
+        got = table.select("bucket", "bits").toArrow()  # broadcast_bytes at most
+        filter_, filters = Filter(got.column(0).to_pylist(), got.column(1).to_pylist(), log_buckets, BASE, size.top), None
     else:
-        filter_, filters = None, Filters(C.materialize(table), blocks, BASE, highest)
-    return Model(keys[order], counts[order], own[order], int(total.n), int(total.v), filter_, mu), Words(words, filters)
-
-
-def _with_block(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_places(code, np.ones(len(code)), blocks)[0]), b.column(0), b.column(2)], names=["block", "key", "n"])
-
-    return run
+        filter_, filters = None, Filters(table, log_buckets, BASE, size.top)
+    return Model(keys, counts, int(total.n), int(total.v), filter_, mu), Words(words, filters)
 
 
 # ---------------------------------------------------------------- scoring
@@ -271,8 +293,8 @@ def _sum_by_doc(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(len(first) - 1)
 
 
-#: A position that tasks can't score alone: its pair, and what is known of it (c and d of v, c of w, the pair's count; else -1).
-_OPEN = "key long, v long, cv long, dv double, w long, cw long, pair double, times long"
+#: A position that tasks can't score alone: its pair, and what is known of it (counts of v, w and the pair; else -1).
+_OPEN = "key long, v long, cv long, w long, cw long, pair double, times long"
 
 
 def _scorer(shared):
@@ -292,15 +314,14 @@ def _scorer(shared):
                 starts[first[:-1]] = True
                 before = np.roll(words, 1)
                 v = np.roll(at, 1)
-                key = pair_keys(before, words)
+                key = pair_codes(before, words)
                 count = np.full(len(words), -1.0)
                 if m.filter is not None:
                     count = m.filter.read(key)
                 count[starts] = 0
                 model = np.where(starts, base, 0.0)
                 easy = np.flatnonzero(known & (v >= 0) & ~starts & (count >= 0))
-                spare, whole = m.spare[v[easy]], m.whole[v[easy]]
-                model[easy] = np.log10((count[easy] + spare * 10 ** base[easy]) / whole)
+                model[easy] = np.log10((count[easy] + m.mu * 10 ** base[easy]) / m.whole[v[easy]])
                 left = ~known | (v < 0) & ~starts | (count < 0)
                 model[left] = 0
                 left = np.flatnonzero(left)
@@ -317,7 +338,7 @@ def _scorer(shared):
                 of = lambda x, i, ok: np.where(ok, x[i] if len(x) else 0, -1)
                 open_ = [
                     np.where(count[left] < 0, key[left].view(np.int64), 0),
-                    np.where(begins | got, 0, before[left].view(np.int64)), np.where(begins, 0, of(m.counts, there, got)), np.where(begins, 0.0, of(m.held, there, got)),
+                    np.where(begins | got, 0, before[left].view(np.int64)), np.where(begins, 0, of(m.counts, there, got)),
                     np.where(here >= 0, 0, words[left].view(np.int64)), of(m.counts, here, here >= 0), count[left], times,
                 ]
                 kinds = [x.split() for x in _OPEN.split(", ")]
@@ -335,25 +356,25 @@ def _scorer(shared):
     return run
 
 
-def _probe(blocks: int, base: float, top: int):
-    """Arrow batches (block, bits, row, open position), sorted by block with its bits first, to the positions with their
-    pair counts."""
+def _probe(base: float, top: int):
+    """Arrow batches (bucket, bits, row, open position), sorted by bucket with its bits first, to the positions with
+    their pair counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
-            block = batch.column(0).to_numpy()
+            bucket = batch.column(0).to_numpy()
             is_bits = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             key, pair = (batch.column(name).fill_null(0).to_numpy() for name in ("key", "pair"))  # nulls beside the bits
             pair = pair.copy()
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if i == j:
                     continue
                 if is_bits[i]:
-                    now, own, i = block[i], Filter(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)[None].copy(), base, top), i + 1
+                    now, own, i = bucket[i], OneBucket(batch.column(1)[i].as_py(), base, top), i + 1
                 if i < j:
-                    pair[i:j] = own.read(key[i:j], blocks) if block[i] == now else 0.0  # a block without bits has no pairs
+                    pair[i:j] = own.read(key[i:j].view(np.uint64)) if bucket[i] == now else 0.0  # a bucket without bits has no pairs
             out = [pa.array(pair) if name == "pair" else batch.column(name) for name in batch.schema.names[2:]]
             yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[2:]).filter(pa.array(~is_bits))
 
@@ -361,20 +382,13 @@ def _probe(blocks: int, base: float, top: int):
 
 
 def _probed(open_: DataFrame, filters: Filters) -> DataFrame:
-    """Open positions with their pair counts read from the blocks of the filter."""
-    kinds = [x.split() for x in f"row long, {_OPEN}".split(", ")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_places(key, np.ones(len(key)), filters_blocks)[0]), *b.columns], names=["block", *b.schema.names])
-
-    filters_blocks = filters.blocks
-    asks = open_.where("pair < 0").mapInArrow(place, f"block long, row long, {_OPEN}")
-    asks = asks.select("block", F.lit(None).cast("binary").alias("bits"), *[n for n, _ in kinds])
-    have = filters.table.select("block", "bits", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
-    both = have.union(asks).repartition("block").sortWithinPartitions("block", F.col("bits").isNull())
-    read = both.mapInArrow(_probe(filters.blocks, filters.base, filters.top), f"row long, {_OPEN}")
+    """Open positions with their pair counts read from the buckets of the filter."""
+    kinds, log = [x.split() for x in f"row long, {_OPEN}".split(", ")], filters.log
+    bucket = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - log)) if log else F.lit(0).cast("long")
+    asks = open_.where("pair < 0").select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("bits"), *[n for n, _ in kinds])
+    have = filters.table.select("bucket", "bits", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
+    both = have.union(asks).repartition("bucket").sortWithinPartitions("bucket", F.col("bits").isNull())
+    read = both.mapInArrow(_probe(filters.base, filters.top), f"row long, {_OPEN}")
     return C.materialize(read.union(open_.where("pair >= 0")))
 
 
@@ -390,16 +404,15 @@ def score(docs: DataFrame, model: Model, words: Words) -> DataFrame:
     if words.filters is not None:
         open_ = _probed(open_, words.filters)
     table = words.table
-    rest = [c for c in open_.columns if c not in ("v", "cv", "dv")]
-    of_v = open_.where("cv < 0").join(table.select(F.col("key").alias("v"), "n", "d"), "v", "left")
-    of_v = of_v.select(*rest, F.coalesce("n", F.lit(0)).alias("cv"), F.coalesce("d", F.lit(0.0)).alias("dv"))
-    open_ = of_v.union(open_.where("cv >= 0").select(*rest, "cv", "dv")).withColumn("late", F.col("cw") < 0)
+    rest = [c for c in open_.columns if c not in ("v", "cv")]
+    of_v = open_.where("cv < 0").join(table.select(F.col("key").alias("v"), "n"), "v", "left").select(*rest, F.coalesce("n", F.lit(0)).alias("cv"))
+    open_ = of_v.union(open_.where("cv >= 0").select(*rest, "cv")).withColumn("late", F.col("cw") < 0)
     rest = [c for c in open_.columns if c not in ("w", "cw", "key")]
     of_w = open_.where("cw < 0").join(table.select(F.col("key").alias("w"), "n"), "w", "left").select(*rest, F.coalesce("n", F.lit(0)).alias("cw"))
     open_ = of_w.union(open_.where("cw >= 0").select(*rest, "cw"))
     gain = F.log10(F.col("cw") + F.lit(1.0))
     by_base = F.pow(F.lit(10.0), gain - F.lit(model.log_total))
-    p = (F.col("pair") + (F.greatest(F.col("cv") - F.col("dv"), F.lit(0.0)) + F.lit(model.mu)) * by_base) / (F.col("cv") + F.lit(model.mu))
+    p = (F.col("pair") + F.lit(model.mu) * by_base) / (F.col("cv") + F.lit(model.mu))
     met = open_.groupBy("row").agg(
         F.sum(F.when(F.col("late") & (F.col("cw") > 0), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.when(F.col("late"), F.col("times") * gain).otherwise(0.0)).alias("gain"), F.sum(F.col("times") * F.log10(p)).alias("part"),
