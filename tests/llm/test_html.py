@@ -1,6 +1,10 @@
 import re
+import time
+from collections import Counter
 from html import unescape
 
+from pyspark.sql import functions as F
+
 from plumage.llm import html
 
 
@@ -12,6 +16,32 @@ def test_op10_gives_the_articles(spark, small):
         body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+    changed = [sum(r[c] > 0 for r in got) for c in ("n_templates", "n_ruled")]
+    assert changed[0] > 10, changed
+
+
+def test_templates_are_what_recurs_by_plain_counting(spark, small):
+    rows = [(r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    pages, found = {}, {r.host: set(r.template) for r in html.templates(spark.read.parquet(f"{small}/pages.parquet")).collect()}
+    names = spark.createDataFrame([(u,) for u, _ in rows], "url string").select("url", F.xxhash64(html.host("url")).alias("h")).distinct().collect()
+    host = {r.url: r.h for r in names}
+    for url, text in rows:
+        page = html.Page(text)
+        pages.setdefault(host[url], {})[page.text()] = page.subtrees()  # copies once
+    want = {}
+    for h, own in pages.items():
+        n = Counter(k for keys in own.values() for k in keys)
+        much = {k for k, c in n.items() if c >= (3 if k & 1 else 10) and c >= (0.05 if k & 1 else 0.5) * len(own)}
+        if much:
+            want[h] = {html._signed(k) for k in much}
+    assert found == want and want
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    start = time.time()
+    for text in ("<a x" * 250_000, "<a b='" * 160_000, "<i>" * 100_000 + "<li>" * 100_000, "<script></script x" * 50_000, "<header>" * 50_000 + "<h1>" * 50_000, "<!" * 400_000, "</p " * 250_000):
+        html.Page(text).text()
+    assert time.time() - start < 30
 
 
 def test_rules():
