@@ -242,8 +242,8 @@ def _fit(x: str, y: str) -> str:
 
 
 def _compared(now: DataFrame, found: DataFrame, group: int, to_the_end: bool) -> tuple[DataFrame, DataFrame]:
-    """Of rows (g, id, p, n, k, sketch, own, open): (id) of the kinds that turn out near to a preferred one, and the (g) of the
-    large groups, in which each was compared with the most preferred one only. Rows that are not open are only
+    """Of rows (g, id, p, n, k, sketch, own, open): (id) of the kinds that turn out near to a preferred one, and (g, lead) of the
+    large groups, in which each was compared with the most preferred one, the lead, only. Rows that are not open are only
     compared with. to_the_end: what is left open in large groups is compared with all of them."""
     lead = F.min(F.struct("p", "id", "n", "own", "sketch")).alias("lead")
     groups = now.groupBy("g").agg(F.count("*").alias("rows"), lead, F.max("id").alias("a"), F.min("id").alias("b"), F.max("own").alias("owned"), F.max("open").alias("left"))
@@ -261,7 +261,7 @@ def _compared(now: DataFrame, found: DataFrame, group: int, to_the_end: bool) ->
     if to_the_end and not large.isEmpty():
         rest = C.materialize(now.join(_small(large.select("g")), "g", "left_semi"))
         gone = gone.union(_verified(each(rest.where("open").join(_small(gone), "id", "left_anti"), rest), found))
-    return gone, large.select("g")
+    return gone, large
 
 
 def _rare(now: DataFrame, found: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _rare(now: DataFrame, found: DataFrame) -> DataFrame:
     symbols = found.select("id", F.array_distinct("hashes").alias("hashes"))
     now = C.materialize(now.join(symbols, "id"))
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    met = now.select(F.explode("hashes").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("times"))
+    met = now.select("id").distinct().join(symbols, "id").select(F.explode("hashes").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("times"))
     met = now.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(met, "b", "left").select("b", F.coalesce("times", F.lit(0)).alias("times"))
     met = met.agg(F.array_sort(F.collect_list(F.struct("b", "times"))).alias("met"))  # one row of BUCKETS numbers
     met = C.materialize(met.select(F.col("met.times").alias("met")))
@@ -293,8 +293,10 @@ def near_kinds(docs: DataFrame, lines: DataFrame, kinds: DataFrame, group: int =
     now = C.materialize(now.select("g", "id", "p", "n", "k", "sketch", "own", "open"))
     gone, large = _compared(now, found, group, False)
     if not large.isEmpty():
-        now = now.join(_small(large), "g", "left_semi").join(_small(gone.withColumn("_gone", F.lit(True))), "id", "left")
-        now = _rare(now.withColumn("open", F.col("_gone").isNull()).drop("_gone"), found)
+        now = now.join(_small(large.select("g", F.col("lead.id").alias("_lead"))), "g").join(_small(gone.withColumn("_gone", F.lit(True))), "id", "left")
+        # nothing is preferred to a lead in its group
+        now = C.materialize(now.withColumn("open", F.col("_gone").isNull() & (F.col("id") != F.col("_lead"))).drop("_gone", "_lead"))
+        now = _rare(now.join(_small(now.where("open").select("g").distinct()), "g", "left_semi"), found)
         gone = gone.union(_compared(C.materialize(now), found, group, True)[0])
     return gone.distinct().join(wanted.select("id", "ha", "hb"), "id").select("ha", "hb")
 
