@@ -1,11 +1,13 @@
 """Embedding near-dedup: signs under random hyperplanes in several tables, exact cosines, connected components.
 
-Equal vectors of one label are folded first. Every vector left gets one code of BITS signs per table; vectors of one
-label with equal codes meet. Groups are cut into blocks of at most BLOCK rows, and every pair of blocks computes its
-cosines in double precision. A pair that meets in several tables counts in the first of them only, which its codes
-show, so link counts are summed without listing pairs; each block gives the links of a spanning forest for the
-components. At a cosine of 0.93 two vectors agree in a sign with probability 0.88, so the 20 tables of 10 signs miss
-a pair with probability 0.0015 at most.
+Equal vectors of one label are folded first. Every vector left gets one code of signs per table; vectors of one label with
+equal codes meet. The number of signs grows with the label's vectors, so that about 2^SPARE of them share a code by
+chance at any size, and the number of tables with the signs, so that a pair at the threshold is missed with a
+probability of at most MISS (at a cosine of 0.93 two vectors agree in a sign with probability 0.88: 20 tables of 8 to
+10 signs up to 2^14 vectors, 45 tables of 16 signs at 2^20). Groups are cut into blocks of at most BLOCK rows, and every
+pair of blocks computes its cosines in double precision. A pair that meets in several tables counts in the first of
+them only, which its codes show, so link counts are summed without listing pairs; each block gives the links of a
+spanning forest for the components. Vectors travel in the precision of their column.
 
 Nulls and edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
 do rows with a null label or null vec_id (whose component is null and kept true); vectors of different lengths are
@@ -18,29 +20,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumage.llm import common as C
 from plumage.llm import vectors as V
 
-TABLES, BITS, BLOCK = 20, 10, 128
+#: Least tables and signs; chance partners of a vector in a table, as a power of two; the share of links that may be missed.
+TABLES, BITS, SPARE, MISS, BLOCK = 20, 8, 4, 0.002, 1024
+BROADCAST_ROWS = 100_000
 
 
-def _codes(tables: int, bits: int):
-    """Adds an array of one code per table."""
+def signs_for(size: int, threshold: float, tables: int = TABLES, bits: int = BITS) -> tuple[int, int]:
+    """(tables, bits) for a group of so many vectors."""
+    bits = min(max(bits, int(np.ceil(np.log2(max(size, 1)))) - SPARE), 31)
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(tables, int(np.ceil(np.log(MISS) / np.log1p(-agree)))), bits
+
+
+def _codes(threshold: float, tables: int, bits: int):
+    """Adds an array of one code per table to batches with the size of each vector's group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("embedding").to_pylist()
-            out = np.zeros((len(rows), tables), np.int32)
-            for d in set(map(len, rows)):
-                own = [i for i, r in enumerate(rows) if len(r) == d]
-                planes = np.random.default_rng(d).standard_normal((d, tables * bits))
-                signs = (np.array([rows[i] for i in own]) @ planes > 0).reshape(len(own), tables, bits)
-                out[own] = signs @ (1 << np.arange(bits))
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "codes"])
+            vectors, counts = batch.column("embedding"), batch.column("size").to_numpy()
+            width = pc.list_value_length(vectors).to_numpy()
+            codes = [None] * len(batch)
+            how = np.array([signs_for(n, threshold, tables, bits) for n in counts]).reshape(-1, 2)
+            for d, t, b in sorted({*zip(width.tolist(), *how.T.tolist(), strict=True)}):
+                own = np.flatnonzero((width == d) & (how == (t, b)).all(axis=1))
+                planes = np.random.default_rng([d, t, b]).standard_normal((d, t * b))
+                signs = (V.matrix(vectors.take(pa.array(own))) @ planes > 0).reshape(len(own), t, b)
+                for i, row in zip(own.tolist(), (signs @ (1 << np.arange(b))).astype(np.int32), strict=True):
+                    codes[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int32()))], names=[*batch.schema.names, "codes"])
 
     return run
 
@@ -49,6 +63,7 @@ def _block_pairs(threshold: float):
     """Groups (g, tab, bi, bj) of (side, rep, n, embedding, codes) to (u, v, links): v null: links of u; else a link."""
 
     def one(tab: int, side: np.ndarray, rep: np.ndarray, n: np.ndarray, x: np.ndarray, codes: np.ndarray):
+        x = x.astype(np.float64)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         hit = x[left] @ x[right].T >= threshold
@@ -102,7 +117,9 @@ def near_duplicates(
     df: DataFrame, threshold: float = 0.93, label: str = "label", tables: int = TABLES, bits: int = BITS, block: int = BLOCK
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of df; only rows of equal label are compared."""
-    rows = V.vectors(df, F.col(label).alias("label"))
+    rows = df.select(F.col("vec_id").cast("long"), "embedding", F.col(label).alias("label"))
+    kind = "float" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = rows.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
     good = V.usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     # a group of rows that may be compared, and a 128-bit digest of the vector
     keys = [
@@ -112,10 +129,14 @@ def near_duplicates(
     rows = rows.withColumn("good", good).select("vec_id", "embedding", "good", *keys)
     full = rows.where("good")
     reps = full.groupBy("g", "ha", "hb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    reps = reps.mapInArrow(
-        _codes(tables, bits), "g long, ha long, hb long, rep long, n long, embedding array<double>, codes array<int>"
-    )
     reps = C.materialize(reps)
+    sizes = C.materialize(reps.groupBy("g").agg(F.count("*").alias("size")))  # one row for each label and length
+    reps = reps.join(F.broadcast(sizes) if C.is_small(sizes, BROADCAST_ROWS) else sizes, "g").select(
+        "g", "ha", "hb", "rep", "n", "embedding", "size"
+    ).mapInArrow(
+        _codes(threshold, tables, bits), f"g long, ha long, hb long, rep long, n long, embedding array<{kind}>, size long, codes array<int>"
+    )
+    reps = C.materialize(reps.drop("size"))
 
     meet = reps.select("g", F.posexplode("codes").alias("tab", "code"), "rep")
     sizes = meet.groupBy("g", "tab", "code").agg(F.count("*").alias("size")).where("size > 1")

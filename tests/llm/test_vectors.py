@@ -64,6 +64,29 @@ def test_op9_equals_brute_force(spark, small):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
 
 
+def test_op9_signs_grow_with_the_group():
+    for size, want in ((1, (20, 8)), (5000, (20, 9)), (1 << 14, (20, 10)), (1 << 20, (45, 16))):
+        assert embed_dedup.signs_for(size, 0.93) == want
+    for size in (10, 10**4, 10**6, 10**9):
+        tables, bits = embed_dedup.signs_for(size, 0.93)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= 0.002 and size / 2**bits <= 16
+
+
+def test_op9_finds_links_at_the_threshold_with_many_signs(spark):
+    """The signs and tables of a group of 2^20, on pairs at a cosine of 0.93 to 0.94."""
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((600, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.93, 0.94, (600, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.near_duplicates(df, tables=45, bits=16).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * 1200
+
+
 def test_op9_blocks_copies_and_nulls(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal(16)
