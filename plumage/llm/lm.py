@@ -10,9 +10,9 @@ never add up to more than c(v), but for false positives. With c(v) the exact cou
 which is B(w) for a word v that training has not and for the first word of a document.
 
 Plan: all counts are taken over all training documents by partial and final sums; a pair's key is a 64-bit hash of both
-words. Tasks sum pairs and send them packed, one row for each of the filter's buckets, to the partition of the bucket,
-where they are summed and enter the bucket's bits: BITS_PER_KEY for each level of each pair, and buckets grow in number
-with the tokens, so the filter grows with the pairs. Only bounded things are broadcast: words more frequent than a
+words. Tasks sum pairs and send them packed, one row for each section of the hash's range (a section holds about
+SECTION_TOKENS pairs at most, so a task can), to where the section's pairs are summed and enter the bits of its buckets:
+BITS_PER_KEY for each level of each pair, and buckets grow in number with the tokens, so the filter grows with the pairs. Only bounded things are broadcast: words more frequent than a
 count that a histogram gives (at most FREQUENT), and the filter up to BROADCAST_BYTES; a larger one stays in buckets over
 the partitions, and probes come to them by a shuffle. Positions with a word outside the broadcast list, or with such a
 filter, are rows (document, pair, times) that get what they lack by shuffle joins on the hash of the word; their part
@@ -39,8 +39,8 @@ FREQUENT, MU = 1 << 18, 50.0
 BASE, PROBES, BITS_PER_KEY = 1.5, 4, 8
 #: A filter of at most so many bytes is broadcast; probes are shuffled to the buckets of a larger one.
 BROADCAST_BYTES = 1 << 27
-#: Training tokens for each bucket of the filter.
-BUCKET_TOKENS = 1 << 13
+#: Training tokens for each bucket of the filter, and for each section that is summed at once; sections at least.
+BUCKET_TOKENS, SECTION_TOKENS, SECTIONS = 1 << 13, 1 << 22, 1 << 8
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Words, or pairs, that a task counts before it hands on its sums.
 BUFFER, PAIR_BUFFER = 4_000_000, 2_500_000
@@ -132,13 +132,13 @@ def bucket_of(code: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed(bits: int):
-    """Sorted codes and counts to one row for each bucket that has any: (bucket, codes, counts), the latter as bytes."""
+    """Sorted codes and counts to one row for each of 2^bits sections: (section, codes, counts), the latter as bytes."""
 
     def pack(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        bucket = bucket_of(code, bits)
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(code))
+        section = bucket_of(code, bits)
+        cuts = np.append(np.flatnonzero(np.append(True, section[1:] != section[:-1])), len(code))
         of = lambda x: pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), of(code), of(n.astype(np.uint32))], names=["bucket", "codes", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(section[cuts[:-1]]), of(code), of(n.astype(np.uint32))], names=["section", "codes", "counts"])
 
     return pack
 
@@ -152,9 +152,8 @@ def _spots(code: np.ndarray, lv: np.ndarray, size: np.ndarray) -> Iterator[np.nd
 
 
 def bucket_bits(code: np.ndarray, n: np.ndarray, base: float) -> tuple[bytes, int]:
-    """The bits of a bucket that holds these pairs, any of which may come several times, and the highest level."""
-    code, at = np.unique(code, return_inverse=True)
-    lv = level(np.bincount(at, n), base)
+    """The bits of a bucket that holds these pairs, each of which comes once, and the highest level."""
+    lv = level(n, base)
     every = np.repeat(code, lv)
     steps = np.arange(len(every)) - np.repeat(np.cumsum(lv) - lv, lv) + 1
     bits = np.zeros(-(-len(every) * BITS_PER_KEY // 64) * 64, bool)
@@ -163,26 +162,31 @@ def bucket_bits(code: np.ndarray, n: np.ndarray, base: float) -> tuple[bytes, in
     return np.packbits(bits, bitorder="little").tobytes(), int(lv.max())
 
 
-def _fill(base: float):
-    """Arrow batches (bucket, codes, counts), sorted by bucket, to (bucket, bits, top)."""
+def section_bits(codes: list[bytes], counts: list[bytes], log_buckets: int, base: float) -> pa.RecordBatch:
+    """(bucket, bits, top) of the buckets of a section, from the packed sums of all tasks."""
+    code, at = np.unique(np.frombuffer(b"".join(codes), np.uint64), return_inverse=True)
+    n = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(code))
+    bucket = bucket_of(code, log_buckets)
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(code))
+    bits, top = zip(*(bucket_bits(code[i:j], n[i:j], base) for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(bits, pa.binary()), pa.array(top, pa.int64())], names=["bucket", "bits", "top"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, codes, counts = None, [], []
 
-        def out():
-            bits, top = bucket_bits(np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(counts), np.uint32), base)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits], pa.binary()), pa.array([top])], names=["bucket", "bits", "top"])
+def _fill(log_buckets: int, base: float):
+    """Arrow batches (section, codes, counts), sorted by section, to (bucket, bits, top)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, codes, counts = None, [], []
         for batch in batches:
-            for bucket, code, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if bucket != now and codes:
-                    yield out()
+            for section, code, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if section != now and codes:
+                    yield section_bits(codes, counts, log_buckets, base)
                     codes, counts = [], []
-                now = bucket
+                now = section
                 codes.append(code)
                 counts.append(n)
         if codes:
-            yield out()
+            yield section_bits(codes, counts, log_buckets, base)
 
     return run
 
@@ -273,9 +277,11 @@ def fit(docs: DataFrame, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES)
     top = frequent(words, FREQUENT).toArrow()  # at most FREQUENT rows of 16 bytes
     keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
 
-    log_buckets = max(0, int(np.ceil(np.log2(max(total.n, 1) / BUCKET_TOKENS))))
-    pairs = texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, _packed(log_buckets)), "bucket long, codes binary, counts binary")
-    table = pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_fill(BASE), "bucket long, bits binary, top long")
+    log_of = lambda tokens, least: max(int(np.log2(least)), int(np.ceil(np.log2(max(total.n, 1) / tokens))))
+    log_sections = log_of(SECTION_TOKENS, SECTIONS)
+    log_buckets = max(log_of(BUCKET_TOKENS, 1), log_sections)
+    pairs = texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, _packed(log_sections)), "section long, codes binary, counts binary")
+    table = pairs.repartition("section").sortWithinPartitions("section").mapInArrow(_fill(log_buckets, BASE), "bucket long, bits binary, top long")
     table = C.materialize(table)
     size = table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
     if size.bytes <= broadcast_bytes:

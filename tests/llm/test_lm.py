@@ -32,10 +32,10 @@ def test_filter_never_undercounts():
     rng = np.random.default_rng(0)
     code, n = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(1, 500, 5000)
     twice = np.concatenate([np.sort(code), np.sort(code)[:100]])  # some come in two sums
-    times = np.concatenate([n[np.argsort(code)], np.full(100, 7)])
-    own = lm.bucket_of(twice, 4)
-    bits, top = zip(*(lm.bucket_bits(twice[own == b], times[own == b], 1.5) for b in range(16)), strict=True)
-    f = lm.Filter(list(range(16)), list(bits), 4, 1.5, max(top))
+    times = np.concatenate([n[np.argsort(code)], np.full(100, 7)]).astype(np.uint32)
+    got = [lm.section_bits([twice[own].tobytes()], [times[own].tobytes()], 4, 1.5) for own in (lm.bucket_of(twice, 1) == s for s in range(2))]
+    bucket, bits, top = (sum((b.column(i).to_pylist() for b in got), []) for i in range(3))
+    f = lm.Filter(bucket, bits, 4, 1.5, max(top))
     whole = n[np.argsort(code)].copy()
     whole[:100] += 7
     want, got = f.counts[lm.level(whole, 1.5)], f.read(np.sort(code))
