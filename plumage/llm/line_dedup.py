@@ -322,24 +322,26 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, group: int = GROU
     return C.materialize(hits.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, **how) -> DataFrame:
-    """docs with the lines removed from text, and with n_lines and n_removed; clashing columns of those names are
-    replaced."""
-    gone = removed_lines(docs, **how).withColumnsRenamed({"doc": "_doc", "th": "_th", "gone": "_gone"})
-    n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_removed"), **how) -> DataFrame:
+    """docs with the lines removed from text, and with the numbers of lines and of lines removed under the names of
+    `counts`; clashing columns of those names are replaced."""
+    gone = removed_lines(docs, **how)
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if n_gone <= BROADCAST_LINES else gone.hint("shuffle_hash")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.withColumns({"_doc": doc, "_th": F.xxhash64("text")}).join(gone, ["_doc", "_th"], "left")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # apart from the names used here
+    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+    rows = docs.select(row, doc.alias("doc"), F.xxhash64(docs["text"]).alias("th")).join(gone, ["doc", "th"], "left")
+    text = F.col("row.text")
 
     def without(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-        text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-        return F.struct(F.size(lines).cast("long").alias("n"), F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text"))
-
-    new = F.when(F.col("text").isNull(), F.struct(F.lit(0).cast("long").alias("n"), F.col("text").alias("text"))).otherwise(_let(F.split("text", "\n"), without))
-    rows = rows.withColumn("_new", new)
-    rows = rows.withColumns({"n_lines": F.col("_new.n"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.col("_new.text")})
-    return rows.drop("_doc", "_th", "_gone", "_new")
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        return F.struct(F.size(lines).cast("long").alias("n"), F.when(F.col("gone").isNull(), text).otherwise(left).alias("text"))
+
+    new = F.when(text.isNull(), F.struct(F.lit(0).cast("long").alias("n"), text.alias("text"))).otherwise(_let(F.split(text, "\n"), without))
+    rows = rows.withColumn("new", new)
+    kept = [F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return rows.select(*kept, F.col("new.n").alias(counts[0]), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(counts[1]))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
