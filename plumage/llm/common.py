@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumage import scratch
+
 #: Bytes of text that one numpy step works on; a longer text is worked on alone.
 STEP_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is configured (tests), a new local one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumage-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, a lost executor loses nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the table that materialize() made."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A table in the folder of spark.checkpoint.dir, read again: lineage ends there, a lost executor loses nothing.
+materialize = scratch.written
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
@@ -46,6 +25,18 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def bounded_sample(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text, ...) of the chosen ids, which are few and different: one row each, whatever the number of rows that
+    repeat an id (the least by text), in the order of a hash of the id for as long as the texts are `size` bytes in
+    all. Texts above a sixteenth of that are passed over."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    rows = docs.select("doc_id", text, *rest).where(F.octet_length("text") <= size // 16).join(F.broadcast(chosen), "doc_id")
+    rows = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rows.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto")  # a row for each of the chosen
+    return rows.join(F.broadcast(rows.select("doc_id", upto).where(F.col("upto") <= size).select("doc_id")), "doc_id")
+
+
 # ---------------------------------------------------------------- words
 
 #: ASCII white space that ends a word: 0x09 to 0x0D and 0x20.

@@ -6,7 +6,7 @@ labeller gives each vote, and the posterior of each pattern. Posteriors of a bou
 scorer over hashed words, word shapes and repeats; its score decides.
 
 Plan: one Arrow pass for the vote patterns with a partial and a final sum (at most 3^8 patterns reach the driver), one
-broadcast join with at most `rows` ids for the sample, one Arrow pass for the scores. No shuffle of texts.
+broadcast join with at most `rows` ids for the sample (at most `size` bytes of text), one Arrow pass for the scores. No shuffle of texts.
 
 Nulls and edge cases: a null, empty or word-less text casts no vote that counts against it, scores the prior and is
 kept; extra columns are ignored; rows that repeat are scored each; an empty table gives an empty result.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumage.llm import common as C
 
 LABELLERS = ("capitals", "marked words", "bars", "repeats", "variety", "word length", "exclamations", "short words")
-TRAIN_ROWS, BUCKET_BITS, THRESHOLD = 8000, 17, 0.5
+TRAIN_ROWS, TRAIN_BYTES, BUCKET_BITS, THRESHOLD = 8000, 1 << 26, 17, 0.5
 GOOD, BAD, NONE = 1, 0, 2
 
 _UPPER, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
@@ -158,7 +158,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Scorer, dict[int, float], float, np.ndarray]:
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[Scorer, dict[int, float], float, np.ndarray]:
     """The scorer, the posterior of each vote pattern, the prior and the labellers' chances."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     counted = texts.select("text").mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[Scorer, dict[int, floa
     p, chance, prior = expectation_maximisation(codes[order], n[order])
     posterior = dict(zip(codes[order].tolist(), p.tolist(), strict=True))
     chosen = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(
+    got = C.bounded_sample(texts, chosen, size).select("doc_id", "text").mapInArrow(
         _features, "doc_id long, pattern long, words array<int>, shapes array<int>"
     ).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")

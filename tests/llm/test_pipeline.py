@@ -29,3 +29,32 @@ def test_stages(spark):
         if check == "pack":
             check_packing(docs.collect(), texts)
         texts = now
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, extra columns of any name."""
+    good = "the quick brown fox of the hill ran to an old house and then it was late in the day for him"
+    rows = [(i, f"{good} number {i} of them\n" * 2 + " ".join(f"w{i}x{j}" for j in range(40)), "en", "web", 10) for i in range(20)]
+    rows += [(30, None, None, None, None), (31, "", "en", None, 0), (32, "x " * 60_000, "en", "web", 3), (None, f"{good} once more", None, "web", 5)]
+    rows += [rows[3], rows[3], (33, rows[4][1], "de", "web", 4), (34, "é" * 150_000, None, None, None)]
+    extra = ", score double, kept string, gone string, component_id string, n_lines int, n_removed string, k int, th string, toxic string, _doc int"
+    docs = spark.createDataFrame([(*r, 0.5, "a", "b", "c", 7, "d", 1, "e", "f", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + extra)
+    spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name == "packing":
+            found = got.groupBy("doc_id").sum("length").collect()
+            assert {r.doc_id for r in found} == {r[0] for r in rows}, name
+            continue
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        ids = [r.doc_id for r in kept]
+        assert {30, 31} <= set(ids) and all(r.n_removed == "d" and r._doc == 2 for r in kept), name
+        if name == "line dedup":
+            text = {r.doc_id: r.text for r in kept}
+            assert text[30] is None and text[32] == "x " * 60_000 and text[34] == "é" * 150_000 and text[3].count("quick") == 1
+            assert text[0].count("quick") == 0 and "w0x39" in text[0]  # near to the line that stands most often
+            assert ids.count(3) == 3 and 33 not in ids  # a copy of a document loses every line
+        if name == "MinHash near-dedup":
+            assert ids.count(3) == 3 and 33 not in ids and {4, 32, 34, None} <= set(ids)

@@ -21,6 +21,21 @@ def test_em_recovers_accuracies():
     assert np.allclose(chance[quality.BAD, :, quality.BAD], 0.5, atol=0.05) and np.allclose(chance[quality.GOOD, :, quality.BAD], 0.03, atol=0.02)
 
 
+def test_scores_by_plain_loops(spark, small):
+    """Score and weak label of every document again, a word at a time and by Bayes' rule over the votes."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    m, posterior, prior, chance = fitted = quality.fit(docs)
+    for r in quality.score(docs, fitted).collect():
+        data = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        votes, words, shapes, _ = quality.read(data, np.array([0, len(data)]))
+        total = sum(m.words[w] + m.shapes[s] for w, s in zip(words.tolist(), shapes.tolist(), strict=True)) / max(len(words), 1)
+        assert abs(r.score - 1 / (1 + np.exp(-(total + m.bias)))) < 1e-9
+        p = [x * np.prod([chance[c, i, v] for i, v in enumerate(votes[0])]) for c, x in ((quality.BAD, 1 - prior), (quality.GOOD, prior))]
+        assert abs(r.weak_label - p[1] / sum(p)) < 1e-3  # the posteriors are from the last turn but one
+        assert r.kept == (r.score >= quality.THRESHOLD or not len(words))
+
+
 def test_edge_cases(spark):
     good = "the quick brown fox of the hill ran to an old house and then it was late. "
     rows = [(i, good * 3, "a") for i in range(30)] + [(40, None, "a"), (41, "", "a"), (42, " \n", "a"), (None, good, "a"), (1, good, "b"), (43, "x" * 300_000, "a")]
