@@ -1,7 +1,11 @@
 """Documents to packed training sequences: toxicity, quality, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents, and other columns that docs may have, whatever their names.
+
+Edge cases, of every stage: a null text counts as empty, and an empty text is neither toxic nor bad, has no lines to lose and
+no near duplicates; a null doc_id stays a row of its own; rows that repeat are judged alike, so all of them stay or go,
+but their lines and packed pieces are theirs; a text may have any length; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; those that have lost every line go."""
-    cut = line_dedup.dedup_lines(docs)
-    cut = cut.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut, lost = line_dedup.dedup_lines(docs, ("_n_lines", "_n_removed")), F.col("_n_removed") > 0
+    cut = cut.where(~(lost & (F.trim("text") == "")))
+    return cut.withColumn("n_chars", F.when(lost, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
