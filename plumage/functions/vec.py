@@ -18,6 +18,11 @@ def dot(a, b) -> Column:
     return total(F.zip_with(_col(a), _col(b), lambda x, y: x * y))
 
 
+def bound(x: Column, body) -> Column:
+    """body(x) with x computed once, not for each element that body's lambdas visit."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
@@ -32,7 +37,7 @@ def signed_power(v, alpha: float = 0.5) -> Column:
 
 def unit(v, floor: float = 1e-10) -> Column:
     """v over its norm if that exceeds floor, else v as it is."""
-    return F.when(norm(v) > floor, F.transform(_col(v), lambda x: x / norm(v))).otherwise(_col(v))
+    return bound(_col(v), lambda c: bound(norm(c), lambda n: F.when(n > floor, F.transform(c, lambda x: x / n)).otherwise(c)))
 
 
 def masked(v, mask) -> Column:
@@ -55,8 +60,12 @@ def block_mask(k: int, d: int, use_weight: bool = True, use_mean: bool = True, u
 
 def masked_power_unit(fv, mask) -> Column:
     """Zero off the mask, signed square root, then division by the norm or 1e-10, whichever is greater."""
-    v = signed_power(masked(fv, mask))
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-10)))
+    return _over(signed_power(masked(fv, mask)), norm, 1e-10)
+
+
+def _over(v: Column, size, floor: float) -> Column:
+    """v over size(v) or floor, whichever is greater."""
+    return bound(v, lambda c: bound(F.greatest(size(c), F.lit(floor)), lambda n: F.transform(c, lambda x: x / n)))
 
 
 def power_unit(fv) -> Column:
@@ -66,9 +75,8 @@ def power_unit(fv) -> Column:
 
 def root_l1(v, floor: float = 1e-7) -> Column:
     """Histogram descriptors: share of the L1 norm, square root, unit length; both norms at least `floor`."""
-    share = F.transform(_col(v), lambda x: x / F.greatest(total(F.transform(_col(v), lambda y: F.abs(y))), F.lit(floor)))
-    rooted = F.transform(share, lambda x: F.sqrt(x))
-    return F.transform(rooted, lambda x: x / F.greatest(norm(rooted), F.lit(floor)))
+    share = _over(_col(v), lambda c: total(F.transform(c, lambda y: F.abs(y))), floor)
+    return _over(F.transform(share, lambda x: F.sqrt(x)), norm, floor)
 
 
 def decompose(a, b, k: int, d: int) -> Column:
@@ -94,6 +102,6 @@ def stats(v) -> Column:
     mean = total(c) / n
     return F.struct(
         n.alias("dim"), norm(c).alias("l2_norm"), F.array_min(c).alias("least"), F.array_max(c).alias("greatest"), mean.alias("mean"),
-        F.sqrt(total(F.transform(c, lambda x: (x - mean) * (x - mean))) / n).alias("std"),
+        F.sqrt(bound(mean, lambda m: total(F.transform(c, lambda x: (x - m) * (x - m)))) / n).alias("std"),
         (F.size(F.filter(c, lambda x: x == 0)) / n).alias("sparsity"),
     )

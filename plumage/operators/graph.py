@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage import scratch
 from plumage.functions import vec as V
 from plumage.operators import ranking as R
 
@@ -58,16 +59,16 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
     L, whose every product is one join with the vectors and one sum, and are rotated by sums of fixed size, until L v -
     value * v is at most TOLERANCE for each. Raises if that takes more than `turns` products. Nothing that grows with the
     graph leaves Spark."""
-    lap = _cut_lineage(lap.select("i", "j", "value"))
-    nodes = _cut_lineage(lap.select(F.col("i").alias("node")).distinct())
+    lap = scratch.written(lap.select("i", "j", "value"))
+    nodes = scratch.written(lap.select(F.col("i").alias("node")).distinct())
     size = nodes.count()
     n, width = min(n, size), min(size, n + max(GUARD, n))
     x = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("vec"))
     if not size:
         return x.select("node", "vec", F.array().cast("array<double>").alias("eigenvalues"))
-    x, done = _cut_lineage(x), 0
+    x, done = scratch.written(x), 0
     while True:
-        both = _cut_lineage(x.join(_combined([(lap, x, 1.0)], "lv", width), "node"))
+        both = scratch.written(x.join(_combined([(lap, x, 1.0)], "lv", width), "node"))
         rotate, values = _ritz(_sums(both, width), width)
         both, width = _rotated(both, rotate, nodes), len(values)
         left = np.sqrt(_residuals(both, values))[:n].max()
@@ -78,26 +79,21 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
         # the recurrence of Chebyshev polynomials over [values[-1], 2], scaled to 1 at 0
         mid, half = (2 + values[-1]) / 2, max((2 - values[-1]) / 2, 1e-3)
         sigma = first = -half / mid
-        old = _cut_lineage(both.select("node", "vec", "lv"))
-        new = _cut_lineage(old.select("node", F.zip_with("vec", "lv", lambda v, w: (w - v * mid) * (sigma / half)).alias("vec")))
+        old = scratch.written(both.select("node", "vec", "lv"))
+        new = scratch.written(old.select("node", F.zip_with("vec", "lv", lambda v, w: (w - v * mid) * (sigma / half)).alias("vec")))
         old = old.select("node", "vec")
         for _ in range(DEGREE - 1):
             after = 1 / (2 / first - sigma)
             terms = [(lap, new, 2 * after / half), (None, new, -2 * after * mid / half), (None, old, -sigma * after)]
-            old, new, sigma = new, _cut_lineage(_combined(terms, "vec", width)), after
+            old, new, sigma = new, scratch.written(_combined(terms, "vec", width)), after
         x, done = new, done + DEGREE
-    both = _cut_lineage(both.select("node", F.slice("vec", 1, n).alias("vec")))
+    both = scratch.written(both.select("node", F.slice("vec", 1, n).alias("vec")))
     largest = lambda i: F.min_by(F.signum(F.col("vec")[i]), F.struct(-F.round(F.abs(F.col("vec")[i]), 9), "node"))
     signs = both.agg(*[largest(i) for i in range(n)]).first()
     signed = F.zip_with("vec", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s)
     return both.select("node", signed.alias("vec"), F.lit(values[:n].tolist()).cast("array<double>").alias("eigenvalues"))
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; only where no folder is configured (tests), a local one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def _combined(terms: list, name: str, width: int) -> DataFrame:
     """(node, name): the sum over (matrix or None, vectors, factor) of factor * matrix * vectors."""
     scaled = lambda f: F.transform("vec", lambda v: v * f).alias("part")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.functions import labels as L
+from plumage.operators import blocks as B
 
 
 def scaled(points: DataFrame, uniform: bool = False) -> DataFrame:
@@ -65,11 +66,20 @@ def min_zoom(xy: np.ndarray, spacing: float = 50.0, budget: float = 0.0) -> np.n
     return out
 
 
-def nearest_before(points: DataFrame) -> DataFrame:
-    """(rank, distance): for ranked points of one screenful (rank, x, y), distance to the nearest of a smaller rank."""
-    b = points.select(F.col("rank").alias("r"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2))
-    return points.join(b, F.col("r") < F.col("rank")).groupBy("rank").agg(F.min(d).alias("distance"))
+def nearest_before(points: DataFrame, block: int = B.BLOCK) -> DataFrame:
+    """(rank, distance): for ranked points (rank, x, y), distance to the nearest of a smaller rank; blocks of points
+    against blocks, with one row a point and pair of blocks."""
+    rows = points.select("rank", F.array("x", "y").cast("array<double>").alias("vec"))
+
+    def least(q: dict, c: dict):
+        d = ((q["vec"][:, None, :] - c["vec"][None, :, :]) ** 2).sum(axis=2)
+        d[c["rank"][None, :] >= q["rank"][:, None]] = np.inf
+        near = d.min(axis=1)
+        some = np.isfinite(near)
+        return {"rank": q["rank"][some], "distance": np.sqrt(near[some])}
+
+    found = B.compare(rows, rows, least, "rank long, distance double", block, "rank")
+    return found.groupBy("rank").agg(F.min("distance").alias("distance"))
 
 
 def palette(n: int) -> np.ndarray:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumage import scratch
 from plumage.functions import geometry as G
 
 
@@ -23,22 +23,22 @@ def overlap_candidates(detections: DataFrame, truth: DataFrame, min_fraction: fl
 
 
 def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
-    """(image, det, gt, n_inside, fraction): pairs taken by n_inside, ties by det and gt, each det and gt once. A box
-    belongs to one image, so images are independent and each is one small group."""
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        dets, gts, kept = set(), set(), []
-        rows = rows.sort_values(["n_inside", "det", "gt"], ascending=[False, True, True])
-        for i, det, gt in zip(rows.index, rows["det"], rows["gt"], strict=True):
-            if det not in dets and gt not in gts:
-                dets.add(det)
-                gts.add(gt)
-                kept.append(i)
-        return rows.loc[kept, ["image", "det", "gt", "n_inside", "fraction"]]
-
-    types = dict(candidates.dtypes)
-    schema = f"image {types['image']}, det {types['det']}, gt {types['gt']}, n_inside int, fraction double"
-    return candidates.groupBy("image").applyInPandas(take, schema)
+    """(image, det, gt, n_inside, fraction): pairs taken by n_inside, ties by det and gt, each det and gt once.
+
+    Rounds of joins and least values: a pair that comes first for its det and for its gt is taken, and all pairs of the
+    two go; that gives the pairs of a single sweep in order. An image with many pairs is no task of its own."""
+    order = F.struct(-F.col("n_inside"), "det", "gt")
+    left = scratch.written(candidates.select("image", "det", "gt", F.col("n_inside").cast("int").alias("n_inside"), F.col("fraction").cast("double").alias("fraction")))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        by_det, by_gt = (left.groupBy("image", side).agg(F.min(order).alias(f"_{side}")) for side in ("det", "gt"))
+        first = left.join(by_det, ["image", "det"]).join(by_gt, ["image", "gt"]).where((order == F.col("_det")) & (order == F.col("_gt")))
+        first = scratch.written(first.select(left.columns))
+        taken = taken.union(first)
+        for side in ("det", "gt"):
+            left = left.join(first.select("image", side), ["image", side], "left_anti").select(taken.columns)
+        left = scratch.written(left)
+    return taken
 
 
 def match_by_patches(detections: DataFrame, truth: DataFrame, min_fraction: float = 0.2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +73,24 @@ def auc_of_counts(h: DataFrame, score: str, positive: str, n: str) -> DataFrame:
 
 
 def pooled(patches: DataFrame, detection: str, valid: str, vec_col: str) -> DataFrame:
-    """(detection, vec): mean of the valid patches, at unit length if it has any; zeros if no patch is valid."""
-    long = patches.select(F.col(detection).alias("detection"), F.col(valid).alias("ok"), F.posexplode(F.col(vec_col).cast("array<double>")).alias("d", "x"))
-    mean = long.groupBy("detection", "d").agg(F.coalesce(F.avg(F.when(F.col("ok"), F.col("x"))), F.lit(0.0)).alias("x"))
-    vecs = mean.groupBy("detection").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
-    return vecs.select("detection", V.unit("vec", 0.0).alias("vec"))
+    """(detection, vec): mean of the valid patches, at unit length if it has any; zeros if no patch is valid. Batches are
+    summed within tasks, so a detection shuffles one row for each batch that holds some of its patches."""
+    key = patches.schema[detection].dataType.simpleString()
+
+    def sums(batches):
+        for batch in batches:
+            x, ok = B.column(batch.column(2)), batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            ids, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            total, n = np.zeros((len(ids), x.shape[1])), np.bincount(at, ok, len(ids))
+            np.add.at(total, at[ok], x[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(list(total)), pa.array(n)], names=["detection", "s", "n"])
+
+    rows = patches.select(F.col(detection).alias("detection"), F.col(valid).alias("ok"), F.col(vec_col).cast("array<double>").alias("v"))
+    part = rows.where("detection is not null and v is not null").mapInArrow(sums, f"detection {key}, s array<double>, n double")
+    parts = part.groupBy("detection").agg(F.collect_list("s").alias("s"), F.sum("n").alias("n"))  # as many as batches hold its patches
+    add = F.aggregate("s", F.transform(F.get("s", F.lit(0)), lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    mean = V.bound(F.greatest(F.col("n"), F.lit(1.0)), lambda n: F.transform(add, lambda x: x / n))
+    return parts.select("detection", V.unit(mean, 0.0).alias("vec"))
 
 
 def texture_separation(df: DataFrame, neighbours: int = 50, skip: int = 0, min_same: int = 1) -> DataFrame:
@@ -102,9 +116,9 @@ def texture_separation(df: DataFrame, neighbours: int = 50, skip: int = 0, min_s
 def health(long: DataFrame, by: str, threshold: float = 20.0) -> DataFrame:
     """(by, median, mad, max_z, n_outliers, least, greatest, asymmetry, bottleneck) of x per group."""
     med = long.groupBy(by).agg(F.median("x").alias("median"))
-    dev = long.join(F.broadcast(med), by)
+    dev = long.join(med, by)
     mad = dev.groupBy(by).agg((F.median(F.abs(F.col("x") - F.col("median"))) + 1e-12).alias("mad"))
-    z = dev.join(F.broadcast(mad), by).withColumn("z", F.abs(F.col("x") - F.col("median")) / F.col("mad"))
+    z = dev.join(mad, by).withColumn("z", F.abs(F.col("x") - F.col("median")) / F.col("mad"))
     out = z.groupBy(by).agg(
         F.first("median").alias("median"), F.first("mad").alias("mad"), F.max("z").alias("max_z"), F.count_if(F.col("z") > threshold).alias("n_outliers"),
         F.min("x").alias("least"), F.max("x").alias("greatest"),

@@ -29,9 +29,22 @@ def batch_ranges(counts: DataFrame, batch: str) -> DataFrame:
     return counts.withColumn("stop", F.sum("n").over(w)).select(batch, (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
-def rows_in_ranges(rows: DataFrame, ranges: DataFrame, index: str) -> DataFrame:
-    """rows with the range that holds their index; ranges is one row per batch, broadcast."""
-    return rows.join(F.broadcast(ranges), (F.col(index) >= F.col("start")) & (F.col(index) < F.col("stop")))
+def rows_in_ranges(rows: DataFrame, ranges: DataFrame, index: str, width: int = 1 << 16) -> DataFrame:
+    """rows with the range that holds their index, by an equality join on buckets of `width` numbers; a range is a row in
+    every bucket it touches."""
+    bucket = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width)))
+    ranges = ranges.where("stop > start").withColumn("_bucket", bucket)
+    held = (F.col(index) >= F.col("start")) & (F.col(index) < F.col("stop"))
+    return rows.withColumn("_bucket", F.floor(F.col(index) / width)).join(ranges, "_bucket").where(held).drop("_bucket")
+
+
+def digest(df: DataFrame, key: str, width: int = 1000) -> DataFrame:
+    """One row: digest, the first eight letters of a digest over the digests of the keys of each range of `width`, so that
+    no task holds more than a range, and the last one a digest a range."""
+    ranges = df.groupBy(F.floor(F.col(key) / width).alias("r")).agg(F.array_sort(F.collect_list(key)).alias("v"))
+    ranges = ranges.select("r", F.md5(F.array_join(F.col("v").cast("array<string>"), "")).alias("d"))
+    every = ranges.agg(F.array_sort(F.collect_list(F.struct("r", "d"))).alias("v"))
+    return every.select(F.substring(F.md5(F.array_join(F.col("v.d"), "")), 1, 8).alias("digest"))
 
 
 def at_least_two(df: DataFrame, identity: str) -> DataFrame:

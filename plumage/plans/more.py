@@ -62,16 +62,16 @@ def atlas_cells(spark, sf_dir):
     return layout.atlas_cells(X.table(spark, sf_dir, "events").select("event_id"), "event_id", 100)
 
 
-@query("""select event_id, round(value + a.range * 360 - 360, 6) + 0.0 as x, round(cast(user_id as double) + b.range * 360 - 360, 6) + 0.0 as y from events, range(0, 3) a, range(0, 3) b where event_id % 50 = 0""")
+@query("""select event_id, round(value + a.range * 360 - 360, 6) + 0.0 as x, round(cast(user_id as double) + b.range * 360 - 360, 6) + 0.0 as y from events, range(0, 3) a, range(0, 3) b""")
 def tiled_points(spark, sf_dir):
-    pts = X.table(spark, sf_dir, "events").where("event_id % 50 = 0").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    pts = X.table(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
     return rounded(layout.tiled(pts), "x", "y")
 
 
-@query("""with p as (select event_id as rank, value as x, cast(user_id as double) as y from events where event_id < 400)
+@query("""with p as (select event_id as rank, value as x, cast(user_id as double) as y from events)
     select a.rank, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as distance from p a join p b on b.rank < a.rank group by a.rank""")
 def nearest_before(spark, sf_dir):
-    pts = X.table(spark, sf_dir, "events").where("event_id < 400").select(F.col("event_id").alias("rank"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    pts = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("rank"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
     return rounded(layout.nearest_before(pts), "distance")
 
 
@@ -92,17 +92,18 @@ def distinct_paths(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("path")).distinct().orderBy("path")
 
 
-@query("select substring(md5(string_agg(cast(vec_id as varchar), '' order by vec_id)), 1, 8) as digest from embeddings")
+@query("""with r as (select vec_id // 1000 as range, md5(string_agg(cast(vec_id as varchar), '' order by vec_id)) as digest from embeddings group by range)
+    select substring(md5(string_agg(digest, '' order by range)), 1, 8) as digest from r""")
 def dataset_digest(spark, sf_dir):
-    ids = X.table(spark, sf_dir, "embeddings").agg(F.array_sort(F.collect_list("vec_id")).alias("v"))  # ids of one view
-    return ids.select(F.substring(F.md5(F.array_join(F.col("v").cast("array<string>"), "")), 1, 8).alias("digest"))
+    return sampling.digest(X.table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@query("""with r as (select 0 as batch, 0 as start, 100 as stop union all select 1, 100, 250 union all select 2, 250, 1000)
-    select batch, count(*) as n from events join r on event_id >= start and event_id < stop group by batch""")
+@query("""with c as (select event_type as batch, count(*) as n from events group by event_type), r as (select batch, sum(n) over (order by batch) - n as start, sum(n) over (order by batch) as stop from c)
+    select batch, count(*) as n, sum(event_id) as ids from events join r on event_id >= start and event_id < stop group by batch""")
 def rows_in_ranges(spark, sf_dir):
-    ranges = sampling.batch_ranges(spark.createDataFrame([(0, 100), (1, 150), (2, 750)], "batch int, n long"), "batch")
-    return sampling.rows_in_ranges(X.table(spark, sf_dir, "events"), ranges, "event_id").groupBy("batch").agg(F.count("*").alias("n"))
+    e = X.table(spark, sf_dir, "events")
+    ranges = sampling.batch_ranges(e.groupBy(F.col("event_type").alias("batch")).agg(F.count("*").alias("n")), "batch")
+    return sampling.rows_in_ranges(e, ranges, "event_id").groupBy("batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query(f"with {SQL_POST} select id, p, round(sum(g * case k when 0 then 1.0 when 1 then -0.5 when 2 then 0.25 else 2.0 end), 6) + 0.0 as contribution from post where valid group by id, p")

@@ -59,13 +59,14 @@ def topk_neighbors(spark, sf_dir):
     return ranking.top_k(v, v, 5, image_col="image").withColumn("rank", F.col("rank").cast("long"))
 
 
-SQL_TWO = f"""{SQL_SIM}, ab as (select q as i, c as j, s from sim where qi = 0 and ci = 1),
+SQL_TWO = f"""{SQL_SIM}, ab as (select q as i, c as j, s from sim where q % 2 = 0 and c % 2 = 1),
     fwd as (select *, row_number() over (partition by i order by s desc, j) as ri, row_number() over (partition by j order by s desc, i) as rj from ab)"""
 
 
 def _two(spark, sf_dir):
+    """Even against odd images."""
     v = X.vectors(spark, sf_dir)
-    return v.where("identity = 0"), v.where("identity = 1")
+    return v.where("id % 2 = 0"), v.where("id % 2 = 1")
 
 
 @query(f"with {SQL_TWO} select i, j, s as similarity from fwd where ri = 1 and rj = 1 and s >= 0.0")
@@ -287,13 +288,13 @@ def mlr_step(spark, sf_dir):
     return rounded(_frame(spark, rows, "k long, i long, j long, a double, var_s double, var_r double"), "a", "var_s", "var_r")
 
 
-@query(f"""with {X.SQL_DIMS}, f as (select id, d, x from dims where d <= 8), m as (select d, avg(x) as m from f group by d)
+@query(f"""with {X.SQL_DIMS}, f as (select id, d, x from dims), m as (select d, avg(x) as m from f group by d)
     select cast(a.d as bigint) as i, cast(b.d as bigint) as j, round(sum((a.x - ma.m) * (b.x - mb.m)) / (count(*) - 1), 6) + 0.0 as cov from f a join f b using (id) join m ma on ma.d = a.d join m mb on mb.d = b.d group by a.d, b.d""")
 def pca_covariance(spark, sf_dir):
-    m = models.moments(X.vectors(spark, sf_dir).select(F.slice("vec", 1, 8).alias("x")), "x", 8)
+    m = models.moments(X.vectors(spark, sf_dir), "vec", 64)
     p = models.pca(m)
     cov = p["components"].T @ np.diag(p["variance"]) @ p["components"]
-    return rounded(_frame(spark, [(i + 1, j + 1, float(cov[i, j])) for i in range(8) for j in range(8)], "i long, j long, cov double"), "cov")
+    return rounded(_frame(spark, [(i + 1, j + 1, float(cov[i, j])) for i in range(64) for j in range(64)], "i long, j long, cov double"), "cov")
 
 
 @query()
@@ -314,7 +315,7 @@ def conditional_regression(spark, sf_dir):
 
 @query()
 def gmm_fit(spark, sf_dir):
-    m = models.gmm_fit(X.patches(spark, sf_dir).withColumn("key", F.col("id") * 16 + F.col("p")), "x", "key", 4, max_iter=5)
+    m = models.gmm_fit(X.patches(spark, sf_dir).withColumn("key", F.col("id") * 16 + F.col("p")), "x", "key", 4)
     return _frame(spark, [(k, float(m["weight"][k]), m["mean"][k].tolist(), m["var"][k].tolist()) for k in range(4)], "k int, weight double, mean array<double>, var array<double>")
 
 
@@ -349,15 +350,14 @@ def laplacian_polar(spark, sf_dir):
 # ---------------------------------------------------------------- boxes
 
 SQL_BOXES = """b as (select l_orderkey as image, l_linenumber as ln, (min(l_partkey) * 37 + l_linenumber * 101) % 400 as x1, (min(l_suppkey) * 53 + l_linenumber * 67) % 300 as y1,
-        80 + 4 * min(l_quantity) as w, 60 + 3 * min(l_quantity) as h from lineitem where l_orderkey <= 2000 group by l_orderkey, l_linenumber),
+        80 + 4 * min(l_quantity) as w, 60 + 3 * min(l_quantity) as h from lineitem group by l_orderkey, l_linenumber),
     box as (select image, ln, image * 10 + ln as id, cast(x1 as double) as x1, cast(y1 as double) as y1, cast(x1 + w as double) as x2, cast(y1 + h as double) as y2 from b),
     pair as (select d.image, d.id as det, g.id as gt, d.x1 as dx1, d.y1 as dy1, d.x2 as dx2, d.y2 as dy2, g.x1, g.y1, g.x2, g.y2 from box d join box g on d.image = g.image and d.ln % 2 = 0 and g.ln % 2 = 1
         and d.x1 < g.x2 and g.x1 < d.x2 and d.y1 < g.y2 and g.y1 < d.y2)"""
 
 
 def _boxes(spark, sf_dir):
-    li = X.table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
-    b = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    b = X.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
     x1, y1 = ((F.col("a") * 37 + F.col("l_linenumber") * 101) % 400).cast("double"), ((F.col("s") * 53 + F.col("l_linenumber") * 67) % 300).cast("double")
     return b.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ln"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
@@ -449,12 +449,12 @@ def circular_pairs(spark, sf_dir):
     return e.select("event_id", r6(L.circular_distance("a", "b")).alias("distance"), (F.round(L.circular_midpoint("a", "b"), 5) + 0.0).alias("middle"))
 
 
-@query(f"""with {X.SQL_DIMS}, f as (select d, x from dims where d <= 12), m as (select d, median(x) as med from f group by d), a as (select d, median(abs(x - med)) + 1e-12 as mad from f join m using (d) group by d),
+@query(f"""with {X.SQL_DIMS}, f as (select d, x from dims), m as (select d, median(x) as med from f group by d), a as (select d, median(abs(x - med)) + 1e-12 as mad from f join m using (d) group by d),
     z as (select d, max(abs(x - med) / mad) as max_z, count(*) filter (abs(x - med) / mad > 4) as n_outliers, min(x) as least, max(x) as greatest, any_value(med) as med, any_value(mad) as mad from f join m using (d) join a using (d) group by d),
     y as (select *, greatest(greatest - med, med - least) / greatest(least(greatest - med, med - least), 1e-12) as asym from z)
     select cast(d as bigint) as d, round(med, 6) + 0.0 as median, round(mad, 6) as mad, round(max_z, 5) as max_z, n_outliers, round(asym, 5) as asymmetry, (n_outliers > 0 and max_z > 8) or asym > 20 as bottleneck from y""")
 def eigenvector_health(spark, sf_dir):
-    long = metrics.dimensions(X.vectors(spark, sf_dir), "vec", "id").where("d <= 12")
+    long = metrics.dimensions(X.vectors(spark, sf_dir), "vec", "id")
     out = metrics.health(long, "d", 4.0)
     five = lambda c: (F.round(c, 5) + 0.0).alias(c)
     return out.select(F.col("d").cast("long").alias("d"), r6("median").alias("median"), r6("mad").alias("mad"), five("max_z"), "n_outliers", five("asymmetry"), "bottleneck")
