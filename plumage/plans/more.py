@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from plumage import scratch
 from plumage.functions import extractors
 from plumage.functions import geometry as G
 from plumage.functions import labels as L
@@ -11,6 +14,8 @@ from plumage.operators import encode as E
 from plumage.operators import graph, kernels, layout, metrics, ranking, sampling
 from plumage.plans import fixtures as X
 from plumage.plans.queries import SQL_COARSE, SQL_HALVES, SQL_POST, _view, query, r6, rounded
+from plumage.sources import stores
+from plumage.streaming import ingest
 
 SQL_CROP = """crop as (select p_partkey as id, cast(40 + p_partkey * 7 % 600 as double) as w, cast(30 + p_partkey * 11 % 450 as double) as h from part),
     pad as (select id, w, h, least(512.0 / w, 512.0 / h) as sc, floor((512 - trunc(w * least(512.0 / w, 512.0 / h))) / 2) as l, floor((512 - trunc(h * least(512.0 / w, 512.0 / h))) / 2) as t from crop),
@@ -171,3 +176,56 @@ def viewpoint_subgraphs(spark, sf_dir):
         row = metrics.fisher_ratio(long, "identity", ["d"]).withColumn("side", F.lit(side))
         out = row if out is None else out.union(row)
     return out
+
+
+# ---------------------------------------------------------------- stores and ingestion
+
+
+def _place(spark):
+    return f"{scratch.folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query("""select count(distinct event_id) as detections, 4 as batches, count(distinct user_id) as images, round(sum(value + case when event_id % 7 = 0 then 1 else 0 end), 4) as total,
+    count(*) filter (event_id % 7 <> 0 and event_id % 3 = 1) as second, count(*) filter (event_id % 7 = 0 or event_id % 3 <> 1) as others from events""")
+def detection_store(spark, sf_dir):
+    """All events as detections in three batches, a seventh of them replaced by a fourth batch."""
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("detection_id"), F.col("user_id").cast("string").alias("image_path"), "event_id", "value")
+    store = stores.Detections(spark, _place(spark))
+    for b in range(3):
+        store.write(e.where(F.col("event_id") % 3 == b).drop("event_id"), b)
+    store.upsert(e.where("event_id % 7 = 0").drop("event_id").withColumn("value", F.col("value") + 1), 9)
+    sums = store.read().agg(F.round(F.sum("value"), 4).alias("total"), F.count_if(F.col("batch") == 1).alias("second"))
+    return store.counts().crossJoin(sums).crossJoin(store.without_batch(1).agg(F.count("*").alias("others")))  # one row each
+
+
+@query("""select vec_id % 2 as batch, count(*) as n, min(len(embedding)) as dim, round(sum(cast(embedding[1] as double)), 4) as first, 'interleaved' as layout from embeddings group by all""")
+def vector_store(spark, sf_dir):
+    v = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("detection_id"), F.col("embedding").alias("vec"))
+    place = _place(spark)
+    for b in range(2):
+        stores.write_vectors(v.where(F.col("vec_id") % 2 == b), place, b, "interleaved", "fv")
+    found = stores.read_or_none(spark, place)
+    return found.groupBy(F.col("batch").cast("long").alias("batch"), "layout").agg(
+        F.count("*").alias("n"), F.min("dim").cast("long").alias("dim"), F.round(F.sum(F.get("vec", F.lit(0)).cast("double")), 4).alias("first")
+    )
+
+
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def ingested_events(spark, sf_dir):
+    """The events streamed in from their files, each key once."""
+    rows, place = X.table(spark, sf_dir, "events"), _place(spark)
+    stream = ingest.read_files(spark, f"{sf_dir}/events.parque[t]", rows.schema)
+    ingest.ingest(stream, f"{place}-out", f"{place}-done", f"{place}-log", lambda r: r, "event_id").awaitTermination()
+    return stores.Detections(spark, f"{place}-out").read().groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""with v as (select vec_id, label from embeddings), m as (select a.vec_id as det, b.vec_id as gt, a.label from v a join v b on b.vec_id = a.vec_id + 1 and a.label = b.label)
+    select count(*) as n, sum(det) as dets, sum(gt) as gts from m""")
+def match_store(spark, sf_dir):
+    """Matches computed once, kept with their parameters and read again."""
+    v = X.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    of = lambda: v.select(F.col("vec_id").alias("det"), "label", (F.col("vec_id") + 1).alias("gt")).join(v.select(F.col("vec_id").alias("gt"), "label"), ["gt", "label"])
+    place = _place(spark)
+    stores.cached_matches(spark, place, {"next": 1}, of)
+    found = stores.cached_matches(spark, place, {"next": 1}, lambda: v.limit(0))
+    return found.agg(F.count("*").alias("n"), F.sum("det").alias("dets"), F.sum("gt").alias("gts"))
