@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -265,3 +266,55 @@ def test_windowed_stream(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted((r.k, r.n) for r in spark.sql("select * from windowed").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_greedy_pairs_equal_a_single_sweep(spark):
+    """Images with few and with many pairs, with ties, against pairs taken one after the other."""
+    rng = np.random.default_rng(2)
+    rows = {(int(i), int(i) * 100 + int(d), int(i) * 100 + int(g)): int(n) for i, d, g, n in zip(rng.integers(0, 4, 900) ** 2, rng.integers(0, 40, 900), rng.integers(0, 40, 900), rng.integers(1, 6, 900), strict=True)}
+    df = spark.createDataFrame([(*k, n, n / 16) for k, n in rows.items()], "image long, det long, gt long, n_inside int, fraction double")
+    dets, gts, want = set(), set(), set()
+    for (image, det, gt), _ in sorted(rows.items(), key=lambda r: (-r[1], r[0][1], r[0][2])):
+        if (image, det) not in dets and (image, gt) not in gts:
+            dets.add((image, det))
+            gts.add((image, gt))
+            want.add((image, det, gt))
+    assert {(r.image, r.det, r.gt) for r in matching.greedy_one_to_one(df).collect()} == want
+    assert matching.greedy_one_to_one(df.limit(0)).count() == 0
+
+
+def test_long_vectors_are_normalised_in_linear_time(spark):
+    x = np.random.default_rng(1).uniform(0, 1, 4000)
+    df = spark.createDataFrame([(x.tolist(),)] * 4, "v array<double>").coalesce(1)
+    start = time.time()
+    got = df.select(vec.root_l1("v").alias("r"), vec.unit("v").alias("u"), vec.power_unit("v").alias("p"), vec.stats("v").alias("s")).collect()[0]
+    assert time.time() - start < 20
+    root = np.sqrt(x / x.sum())
+    power = np.sqrt(x)
+    for have, want in ((got.r, root / np.linalg.norm(root)), (got.u, x / np.linalg.norm(x)), (got.p, power / np.linalg.norm(power))):
+        assert np.allclose(have, want)
+    assert np.isclose(got.s["std"], x.std())
+
+
+def test_ranges_nearest_and_digest_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    xy = rng.uniform(0, 10, (300, 2))
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "rank long, x double, y double")
+    near = {r["rank"]: r.distance for r in layout.nearest_before(pts, block=64).collect()}
+    assert set(near) == set(range(1, 300)) and all(np.isclose(near[i], np.sqrt(((xy[:i] - xy[i]) ** 2).sum(axis=1)).min()) for i in near)
+    ranges = spark.createDataFrame([("a", 0, 7), ("b", 7, 7), ("c", 7, 250)], "batch string, start long, stop long")
+    got = {(r["rank"], r.batch) for r in sampling.rows_in_ranges(pts, ranges, "rank", width=16).collect()}
+    assert got == {(i, "a" if i < 7 else "c") for i in range(250)}
+    one, other = (sampling.digest(pts.where(f"rank < {n}"), "rank", 50).first().digest for n in (300, 299))
+    assert one == sampling.digest(pts.repartition(5), "rank", 50).first().digest != other
+
+
+def test_pooled_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 6))
+    rows = [(i % 7, bool(i % 3) and i % 7 != 6, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "d long, ok boolean, v array<double>").repartition(5)
+    for r in metrics.pooled(df, "d", "ok", "v").collect():
+        own = x[[i for i, (d, ok, _) in enumerate(rows) if d == r.detection and ok]]
+        want = own.mean(axis=0) / np.linalg.norm(own.mean(axis=0)) if len(own) else np.zeros(6)
+        assert np.allclose(r.vec, want)
