@@ -267,11 +267,11 @@ def _compared(now: DataFrame, found: DataFrame, group: int, to_the_end: bool) ->
 def _rare(now: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of large groups under finer keys: the group and one of the k + 1 rarest symbols of the line. k edits change at
     most k different symbols, so under any order of the symbols two such lines share one of their first k + 1; the
-    order here is how often the symbol's bucket of BUCKETS is met."""
+    order here is in how many of the kinds that share keys the symbol's bucket of BUCKETS is met."""
     symbols = found.select("id", F.array_distinct("hashes").alias("hashes"))
     now = C.materialize(now.join(symbols, "id"))
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    met = now.select("id").distinct().join(symbols, "id").select(F.explode("hashes").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("times"))
+    met = symbols.select(F.explode("hashes").alias("h")).groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("times"))
     met = now.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(met, "b", "left").select("b", F.coalesce("times", F.lit(0)).alias("times"))
     met = met.agg(F.array_sort(F.collect_list(F.struct("b", "times"))).alias("met"))  # one row of BUCKETS numbers
     met = C.materialize(met.select(F.col("met.times").alias("met")))
