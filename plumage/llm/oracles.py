@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumage.llm import clustering, secret_scan
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,4 +57,54 @@ OP9 = f"""with recursive v as (select vec_id as id, label, cast(embedding as dou
     link as (select a.id as a, b.id as b from v a join v b on a.label = b.label and a.id <> b.id where list_cosine_similarity(a.e, b.e) >= 0.93), {_components('v', 'link')}
     select v.id as vec_id, (select count(*) from link where a = v.id) as n_links, component as component_id, v.id = component as kept from v join comp on comp.id = v.id"""
 
-ORACLES = {"op2_segment_line_dedup": OP2, "op4_minmax_near_dedup": OP4, "op5_block_nearest": OP5, "op9_hyperplane_dedup": OP9}
+
+def _spans(kind: str, pattern: str, value: str, least: int) -> str:
+    """Rows (id, kind, i, s, e, v) of one kind, from the lengths of the hits and of what lies between them."""
+    return rf"""select id, {KINDS.index(kind)} as k, '{kind}' as kind, s, s + length(m) as e, v from (select id, m, {value} as v,
+            coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as s
+            from (select id, gaps, hits, unnest(hits) as m, unnest(generate_series(1, len(hits))) as i from
+                (select id, regexp_split_to_array(t, '{pattern}') as gaps, regexp_extract_all(t, '{pattern}') as hits from d))) where length(v) >= {least}"""
+
+
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+KINDS = secret_scan.KINDS
+
+OP11 = rf"""with d as (select row_number() over () as id, doc_id, source, source || '/' || lang as repo, coalesce(text, '') as t from documents),
+    base as ({_spans('assign', _ASSIGN, f"regexp_extract(m, '{_ASSIGN}', 2)", 8)} union all {_spans('access', secret_scan.ACCESS, 'm', 16)} union all {_spans('hex', '[0-9a-f]+', 'm', 32)}),
+    wide as (select * from ({_spans('owner', '[A-Za-z0-9+/_-]+', 'm', 16)}) where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')),
+    cand as (select * from base union all select * from wide),
+    own as (select v, count(distinct source) as owners, string_split(v, '') as cs from cand join d using (id) group by v),
+    known as (select v, case when owners >= {secret_scan.SHARED_OWNERS} then 'shared' when not regexp_matches(v, '{secret_scan.PLACEHOLDERS}') and
+        -list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) / len(cs) * log2(len(list_filter(cs, lambda x: x = c)) / len(cs)))) >= {secret_scan.LEAST_BITS} then 'live' else 'unsure' end as verdict from own),
+    every as (select base.*, verdict from base join known using (v) union all
+        select w.*, verdict from wide w join known using (v) where verdict = 'live' and not exists (select 1 from base b where b.id = w.id and b.s < w.e and w.s < b.e)),
+    said as (select *, kind || ':' || s || ':' || e as span from every),
+    per as (select id, count(*) filter (k = 0) as n0, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2, count(*) filter (k = 3) as n3,
+        string_agg(span, ',' order by s, k, e) filter (k < 3) as base, string_agg(span, ',' order by s, k, e) as spans,
+        string_agg(span, ',' order by s, k, e) filter (verdict = 'live') as live, string_agg(span, ',' order by s, k, e) filter (verdict = 'shared') as shared from said group by id)
+    select doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+        coalesce(n3, 0) as n_added, coalesce(live, '') as live_spans, coalesce(shared, '') as shared_spans from d left join per using (id)"""
+
+
+def _clusters(clusters: int, rounds: int, dim: int, seed: int) -> str:
+    """Rounds of assignments over all pairs of a vector and a centroid, whole distances, whole numbers."""
+    far = "cast(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    sql = f"""with v as materialized (select row_number() over () as id, vec_id, list_transform(embedding, lambda y: cast(floor(256 * cast(y as double)) as bigint)) as x from embeddings
+            where len(embedding) = {dim} and len(list_filter(embedding, lambda y: y is null or isnan(y) or isinf(y))) = 0),
+        c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id), x) - 1 as k, x from v where vec_id is not null order by sha256('{seed}:' || vec_id), x limit {clusters})"""
+    for i in range(rounds + 1):
+        sql += f""", a{i} as materialized (select id, k, f from (select id, k, {far} as f from v, c{i} c) qualify row_number() over (partition by id order by f, k) = 1)"""
+        if i < rounds:
+            sql += f""", s{i} as (select k, j, cast(sum(y) as bigint) as s, count(*) as n from (select k, unnest(x) as y, unnest(generate_series(1, {dim})) as j from a{i} join v using (id)) group by k, j),
+                m{i} as (select k, list((s - ((s % n) + n) % n) // n order by j) as x from s{i} group by k),
+                c{i + 1} as materialized (select c.k, coalesce(m.x, c.x) as x from c{i} c left join m{i} m on c.k = m.k)"""
+    return sql + f""" select vec_id, cast(a.k as int) as cluster, f as distance, cast(sum(f) over (partition by a.k) as bigint) as cluster_inertia, cast(sum(f) over () as bigint) as inertia,
+        sha256(array_to_string(c.x, ',')) as centroid_sha256 from a{rounds} a join v using (id) join c{rounds} c on c.k = a.k"""
+
+
+OP12 = _clusters(clustering.CLUSTERS, clustering.ROUNDS, clustering.DIM, clustering.SEED)
+
+ORACLES = {
+    "op2_segment_line_dedup": OP2, "op4_minmax_near_dedup": OP4, "op5_block_nearest": OP5, "op9_hyperplane_dedup": OP9, "op11_secret_ownership": OP11,
+    "op12_partial_distance_clusters": OP12,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import ann, bpe, embed_dedup, html, line_dedup, lm, minhash, oracles, packing, quality, toxicity
+from plumage.llm import ann, bpe, clustering, embed_dedup, html, line_dedup, lm, minhash, oracles, packing, quality, secret_scan, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_bloom_lm": lm.op8,
         "op9_hyperplane_dedup": embed_dedup.op9,
         "op10_template_html": html.op10,
+        "op11_secret_ownership": secret_scan.op11,
+        "op12_partial_distance_clusters": clustering.op12,
+        "op13_lanczos_whitening": whitening.op13,
     }
 
 
