@@ -11,6 +11,7 @@ from plumage.functions import labels as L
 from plumage.functions import vec as V
 from plumage.operators import blocks as B
 from plumage.operators import ranking as R
+from plumage.operators import selection as S
 
 
 def dimensions(df: DataFrame, vec_col: str, *keep: str) -> DataFrame:
@@ -113,17 +114,21 @@ def texture_separation(df: DataFrame, neighbours: int = 50, skip: int = 0, min_s
     return out.withColumn("verdict", verdict)
 
 
-def health(long: DataFrame, by: str, threshold: float = 20.0) -> DataFrame:
-    """(by, median, mad, max_z, n_outliers, least, greatest, asymmetry, bottleneck) of x per group."""
-    med = long.groupBy(by).agg(F.median("x").alias("median"))
-    dev = long.join(med, by)
-    mad = dev.groupBy(by).agg((F.median(F.abs(F.col("x") - F.col("median"))) + 1e-12).alias("mad"))
-    z = dev.join(mad, by).withColumn("z", F.abs(F.col("x") - F.col("median")) / F.col("mad"))
-    out = z.groupBy(by).agg(
-        F.first("median").alias("median"), F.first("mad").alias("mad"), F.max("z").alias("max_z"), F.count_if(F.col("z") > threshold).alias("n_outliers"),
-        F.min("x").alias("least"), F.max("x").alias("greatest"),
-    )
+def health(long: DataFrame, by: str, threshold: float = 20.0, at_once: int = S.AT_ONCE) -> DataFrame:
+    """(by, median, mad, max_z, n_outliers, least, greatest, asymmetry, bottleneck) of x per group; rows without x don't count.
+    Both medians are exact; where a group has more than at_once rows they come from counts (see selection), so that a
+    group of any size is no task of its own."""
+    long = long.where("x is not null")
+    sizes = long.groupBy(by).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("greatest"))
+    most, groups = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    near = lambda df: F.broadcast(df) if groups <= S.SMALL else df  # noqa: E731  a row for each group
+    med = S.medians(long, [by], F.col("x"), most <= at_once, at_once)
+    dev = long.join(near(med), by)
+    mad = S.medians(dev, [by], F.abs(F.col("x") - F.col("median")), most <= at_once, at_once).select(by, (F.col("median") + 1e-12).alias("mad"))
+    both = med.join(near(mad), by)
+    far = long.join(near(both), by).groupBy(by).agg(F.count_if(F.abs(F.col("x") - F.col("median")) / F.col("mad") > threshold).alias("n_outliers"))
     up, down = F.col("greatest") - F.col("median"), F.col("median") - F.col("least")
+    out = sizes.join(near(both), by).join(near(far), by).select(by, "median", "mad", (F.greatest(up, down) / F.col("mad")).alias("max_z"), "n_outliers", "least", "greatest")
     asym = F.greatest(up, down) / F.greatest(F.least(up, down), F.lit(1e-12))
     return out.withColumn("asymmetry", asym).withColumn("bottleneck", ((F.col("n_outliers") > 0) & (F.col("max_z") > 2 * threshold)) | (F.col("asymmetry") > 20))
 

@@ -5,16 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumage import scratch
+from plumage.operators import selection
+
 
 def integer_hash(key: Column, seed: int = 42) -> Column:
     """A spread of whole numbers that any SQL engine can repeat."""
-    mixed = F.pmod(key.cast("long") * 1103515245 + seed * 12345, F.lit(2147483647).cast("long"))
-    return F.pmod(mixed * 48271 + seed, F.lit(2147483647).cast("long"))
+    prime = F.lit(2147483647).cast("long")  # keys are reduced first, as large ones times a factor leave 64 bits
+    mixed = F.pmod(F.pmod(key.cast("long"), prime) * 1103515245 + seed * 12345, prime)
+    return F.pmod(mixed * 48271 + seed, prime)
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, or all if there are no more: those of the least hashes, ties by key."""
-    return df.orderBy(integer_hash(F.col(key), seed), key).limit(n)
+    """n rows without replacement, or all if there are no more: those of the least hashes, ties by key, a missing key first; of
+    rows with one key any. The n-th hash is found by counts (see selection) and the rest is a filter, so no task gets
+    n rows however large n is."""
+    if n < 1:
+        return df.limit(0)
+    h = F.coalesce(integer_hash(F.col(key), seed), F.lit(0).cast("long"))
+    cut = selection.order_statistics(df, [], h, F.array(F.lit(n - 1)), bits=31).first()  # one row
+    if cut is None:
+        return df
+    if cut["before"] + 1 == cut["same"]:
+        return df.where(h <= cut["key"])
+    return df.where(h < cut["key"]).unionByName(_first(scratch.written(df.where(h == cut["key"])), cut["before"] + 1, key))
+
+
+def _first(tied: DataFrame, n: int, key: str) -> DataFrame:
+    """n rows of a written table of one hash, by key: whole keys, then as many rows of the next key as are left, by files and
+    their places in them."""
+    w = Window.orderBy(key)  # a row for each key of one hash
+    keys = tied.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_left", F.lit(n) - F.sum("_n").over(w) + F.col("_n")).where("_left > 0")
+    keys = scratch.written(keys.select(F.col(key).alias("_k"), "_n", "_left"))
+    whole = tied.join(F.broadcast(keys.where("_left >= _n").select("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    place = tied.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    part = place.join(F.broadcast(keys.where("_left < _n").select("_k", "_left")), F.col(key).eqNullSafe(F.col("_k")))  # one key at most
+    files = part.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_file")) - F.col("_n"))  # a row a file
+    turn = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    part = part.join(F.broadcast(files.select("_file", "_before")), "_file").where(F.col("_before") < F.col("_left"))
+    return whole.unionByName(part.withColumn("_turn", turn + F.col("_before")).where(F.col("_turn") <= F.col("_left")).select(tied.columns))
 
 
 def patches_per_batch(df: DataFrame, batch: str, valid: str) -> DataFrame:

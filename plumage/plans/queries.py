@@ -381,12 +381,11 @@ SQL_CENTRES = f"""{SQL_BOXES}, g as (select unnest(generate_series(0, 15)) as i)
 
 def _patch_candidates(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    box = F.col("box")
     at = lambda lo, hi, i: lo + (hi - lo) * (i + 0.5) / 4
-    centres = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(at(box["x1"], box["x2"], i % 4).alias("x"), at(box["y1"], box["y2"], F.floor(i / 4)).alias("y")))
-    det = b.where("ln % 2 = 0").select("image", F.col("id").alias("det"), "box", centres.alias("centres"))
+    grid = lambda box: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(at(box["x1"], box["x2"], i % 4).alias("x"), at(box["y1"], box["y2"], F.floor(i / 4)).alias("y")))
+    det = b.where("ln % 2 = 0").select("image", F.col("id").alias("det"), "box")
     gt = b.where("ln % 2 = 1").select("image", F.col("id").alias("gt"), "box", F.lit(False).alias("region"))
-    return matching.overlap_candidates(det, gt, 0.2)
+    return matching.overlap_candidates(det, gt, 0.2, grid)
 
 
 @query(f"with {SQL_CENTRES} select image, det, gt, n_inside, round(n_inside / 16.0, 6) as fraction from cand where n_inside / 16.0 >= 0.2 and n_inside > 0")
@@ -395,9 +394,13 @@ def patch_overlap_candidates(spark, sf_dir):
     return rounded(out, "fraction")
 
 
-@query()
+@query(f"""with recursive {SQL_CENTRES}, o as (select *, row_number() over (partition by image order by n_inside desc, det, gt) as n from cand where n_inside / 16.0 >= 0.2 and n_inside > 0),
+    s as (select image, n, det, gt, true as taken, [det] as dets, [gt] as gts from o where n = 1 union all
+        select o.image, o.n, o.det, o.gt, not (contains(dets, o.det) or contains(gts, o.gt)), case when contains(dets, o.det) or contains(gts, o.gt) then dets else list_append(dets, o.det) end,
+        case when contains(dets, o.det) or contains(gts, o.gt) then gts else list_append(gts, o.gt) end from s join o on o.image = s.image and o.n = s.n + 1)
+    select s.image, s.det, s.gt, cast(n_inside as int) as n_inside, round(n_inside / 16.0, 6) as fraction from s join o using (image, n) where taken""")
 def patch_overlap_matches(spark, sf_dir):
-    return matching.greedy_one_to_one(_patch_candidates(spark, sf_dir))
+    return rounded(matching.greedy_one_to_one(_patch_candidates(spark, sf_dir)), "fraction")
 
 
 @query(f"""with {SQL_BOXES}, i as (select id, trunc(x1) as x1, trunc(y1) as y1, trunc(x2) as x2, trunc(y2) as y2 from box),
