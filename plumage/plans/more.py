@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plumage import scratch
+from plumage import files, scratch
 from plumage.functions import extractors
 from plumage.functions import geometry as G
 from plumage.functions import labels as L
@@ -229,3 +229,44 @@ def match_store(spark, sf_dir):
     stores.cached_matches(spark, place, {"next": 1}, of)
     found = stores.cached_matches(spark, place, {"next": 1}, lambda: v.limit(0))
     return found.agg(F.count("*").alias("n"), F.sum("det").alias("dets"), F.sum("gt").alias("gts"))
+
+
+_STORE = "select vec_id, vec_id // 3 as image, vec_id // 3 % 8 as b, embedding from embeddings"
+
+
+def _stored(spark, sf_dir):
+    """All vectors as detections of images in eight batches, and the marks of the images."""
+    rows, place = X.table(spark, sf_dir, "embeddings"), _place(spark)
+    rows = rows.select(F.col("vec_id").cast("string").alias("detection_id"), F.expr("vec_id div 3").alias("image_path"), "vec_id", "embedding", F.transform("embedding", lambda x: x > 0).alias("mask"))
+    at = F.col("image_path") % 8
+    rows.withColumn("batch", at.cast("int")).repartition("batch").write.partitionBy("batch").parquet(f"{place}-out")
+    marks = rows.groupBy("image_path").agg(F.count("*").alias("n")).withColumn("batch", at.cast("int"))
+    marks.write.partitionBy("batch").parquet(f"{place}-done")
+    return rows, place
+
+
+@query(f"""with d as ({_STORE}) select b as batch, count(*) as detections, min(len(embedding)) as least_dim, max(len(embedding)) as most_dim, 'float' as dtype, max(len(embedding)) * 4 / 1048576.0 as features_mb,
+    max(len(embedding)) / 1024.0 as patch_mask_kb, true as has_files from d group by b""")
+def batch_content(spark, sf_dir):
+    """Content and size of every batch of a store of all vectors."""
+    _, place = _stored(spark, sf_dir)
+    out = stores.Detections(spark, f"{place}-out").content("embedding", "mask")
+    return out.select(F.col("batch").cast("long").alias("batch"), "detections", F.col("least_dim").cast("long").alias("least_dim"), F.col("most_dim").cast("long").alias("most_dim"), "dtype", "features_mb", "patch_mask_kb", ((F.col("files") >= 1) & (F.col("mb") > 0)).alias("has_files"))
+
+
+@query(f"""with d as ({_STORE}), n as (select *, case when b in (2, 5) then {ingest.REPAIRS} else b end as batch from d)
+    select batch, count(*) as detections, count(distinct image) as images, sum(vec_id) as ids, count(distinct case when b in (2, 5) then image end) as recovered from n group by batch""")
+def recovered_store(spark, sf_dir):
+    """A store of all vectors of which one batch lost the content of its files and one has files that are no tables: the damaged
+    batches are found and dropped with the marks of their images, which are then processed again."""
+    rows, place = _stored(spark, sf_dir)
+    store = stores.Detections(spark, f"{place}-out")
+    for f in store.file_sizes().where("batch in (2, 5)").collect():  # the files of two batches
+        files.overwrite(spark, f"{place}-out/batch={f.batch}/{f.name}", b"" if f.batch == 2 else b"no table at all")
+    lost = ingest.recover(spark, f"{place}-out", f"{place}-done")
+    images = rows.select("image_path").distinct()
+    ingest.reprocess(images, lost, f"{place}-out", f"{place}-done", lambda again: rows.join(again, "image_path", "left_semi"))
+    held = store.read().withColumn("again", F.when(F.col("batch") >= ingest.REPAIRS, F.col("image_path")))
+    return held.groupBy(F.col("batch").cast("long").alias("batch")).agg(
+        F.count("*").alias("detections"), F.countDistinct("image_path").alias("images"), F.sum("vec_id").alias("ids"), F.countDistinct("again").alias("recovered")
+    )

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from plumage import files, scratch
+
+#: A file of a table without rows is no larger than this, in bytes.
+EMPTY_TABLE = 1 << 20
+#: The listing's columns and the number of the folder.
+BINARY = "path string, modificationTime timestamp, length long, content binary, batch int"
+
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at path, or None if there is none; a damaged table raises."""
@@ -33,21 +40,73 @@ class Detections:
         return read_or_none(self.spark, self.path)
 
     def upsert(self, rows: DataFrame, batch: int, key: str = "detection_id") -> None:
-        """Append rows; of those with an older row the older one goes, by rewriting only the batches that hold one."""
-        old = self.read()
-        if old is not None:
-            hit = old.join(rows.select(key), key, "left_semi").select("batch").distinct()
-            for b in [r.batch for r in hit.collect() if r.batch != batch]:  # batches touched, by number
-                self.write(self._held(old.where(F.col("batch") == b).drop("batch").join(rows.select(key), key, "left_anti")), b)
-            kept = old.where(F.col("batch") == batch).drop("batch").join(rows.select(key), key, "left_anti")
-            rows = self._held(kept.unionByName(rows))
-        self.write(rows, batch)
-
-    def _held(self, df: DataFrame) -> DataFrame:
-        """df written beside the store before what it reads is replaced."""
-        path = f"{self.path.rstrip('/')}-new"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        """Rows as a batch; of rows that share a key one is kept, and older rows of their keys go. All batches that change are
+        written beside the store first, and then replaced by one job; a batch left without rows is deleted last."""
+        rows = scratch.written(rows.dropDuplicates([key]))
+        old, new = self.read(), rows.withColumn("batch", F.lit(batch))
+        if old is None:
+            return self.write(rows, batch)
+        touched = scratch.written(old.join(rows.select(key), key, "left_semi").select("batch").union(self.spark.range(1).select(F.lit(batch))).distinct())
+        kept = old.join(touched, "batch", "left_semi").join(rows.select(key), key, "left_anti")
+        held = scratch.written(kept.unionByName(new))
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        for r in touched.join(held.select("batch").distinct(), "batch", "left_anti").collect():  # numbers of batches
+            self.drop(r.batch)
+
+    def drop(self, batch: int) -> None:
+        files.remove(self.spark, f"{self.path}/batch={batch}")
+
+    def file_sizes(self) -> DataFrame:
+        """(batch, name, bytes) of every file that has any bytes, readable or not; reads the listing only."""
+        listed = self.spark.read.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.parquet").load(self.path)
+        return listed.select("batch", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"))
+
+    def content(self, features: str, mask: str) -> DataFrame:
+        """(batch, detections, least_dim, most_dim, dtype, features_mb, patch_mask_kb, files, mb): what a batch holds; sizes in memory are those
+        of one detection (the largest), as its array's length times the width of its kind; mb is that of the files."""
+        kind = dict(self.read().select(features).dtypes)[features].removeprefix("array<").removesuffix(">")
+        width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4}.get(kind, 8)
+        held = self.read().groupBy("batch").agg(
+            F.count("*").alias("detections"), F.min(F.size(features)).alias("least_dim"), F.max(F.size(features)).alias("most_dim"), F.lit(kind).alias("dtype"),
+            (F.max(F.size(features)) * width / 2**20).alias("features_mb"), (F.max(F.size(mask)) / 1024).alias("patch_mask_kb"),
+        )
+        return held.join(self.file_sizes().groupBy("batch").agg(F.count("*").alias("files"), (F.sum("bytes") / 2**20).alias("mb")), "batch")
+
+    def damaged(self, index: DataFrame | None = None, key: str = "image_path", deep: bool = False) -> DataFrame:
+        """(batch, reason) of batches that cannot be trusted, once each: "no content" (a folder without any byte), "unreadable" (a file that gives no rows
+        and does not end as a table without rows does), "rows" (an image of the index with another number of detections, also where one
+        of several files has lost its bytes, as Spark never lists those).
+        index: (key, batch, n). deep reads every column, else only the footers and the keys are read."""
+        read = self.spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
+        listed, folders = self.file_sizes(), files.folders(self.spark, self.path, "batch=")
+        held = {r.batch for r in listed.select("batch").distinct().collect()}  # numbers of batches
+        bare = [(int(f), "no content") for f in folders if int(f) not in held]
+        reasons = [self.spark.createDataFrame(bare, "batch int, reason string")]
+        try:
+            rows = read.parquet(self.path) if held else None
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            rows = None
+        if rows is None:  # not one footer can be read
+            reasons.append(listed.select("batch", F.lit("unreadable").alias("reason")))
+            if index is not None:
+                reasons.append(index.where("n > 0").select("batch", F.lit("rows").alias("reason")))
+        else:
+            every = F.count(F.xxhash64(*[c for c in rows.columns if c != "batch"])) if deep else F.count("*")
+            good = rows.groupBy("batch", F.col("_metadata.file_name").alias("name")).agg(every.alias("rows"))
+            suspect = listed.join(good, ["batch", "name"], "left_anti")
+            tail = self.spark.read.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.parquet").load(self.path).where(F.col("length") <= EMPTY_TABLE)
+            whole = tail.where(F.expr("substring(content, -4, 4) = X'50415231'")).select("batch", F.substring_index("path", "/", -1).alias("name"))
+            reasons.append(suspect.join(whole, ["batch", "name"], "left_anti").select("batch", F.lit("unreadable").alias("reason")))
+            if index is not None:
+                found = rows.groupBy("batch", key).agg(F.count("*").alias("found"))
+                off = index.select("batch", key, "n").join(found, ["batch", key], "full").where(F.coalesce("n", F.lit(0)) != F.coalesce("found", F.lit(0)))
+                reasons.append(off.select("batch", F.lit("rows").alias("reason")))
+        every = reasons[0]
+        for more in reasons[1:]:
+            every = every.union(more)
+        return every.groupBy("batch").agg(F.min("reason").alias("reason"))
 
     def one(self, detection_id: str) -> DataFrame:
         return self.read().where(F.col("detection_id") == detection_id)
