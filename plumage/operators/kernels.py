@@ -16,6 +16,29 @@ def log_normal(x: np.ndarray, mean: np.ndarray, var: np.ndarray, constant: bool
     return out - 0.5 * (np.log(var).sum(axis=1) + (LOG_2PI * mean.shape[1] if constant else 0.0))
 
 
+def covariance_kind(m: dict) -> str:
+    """Of a mixture: "tied" with one matrix `shared`, else by `var`: "full" (K, D, D), "diag" (K, D) or "spherical" (K)."""
+    return "tied" if "shared" in m else {3: "full", 2: "diag", 1: "spherical"}[m["var"].ndim]
+
+
+def whitener(m: dict) -> np.ndarray:
+    """(K, D, D) or (1, D, D): inverses of the Cholesky factors of full or tied covariances."""
+    return np.stack([np.linalg.inv(np.linalg.cholesky(c)) for c in (m["shared"][None] if "shared" in m else m["var"])])
+
+
+def log_mixture(x: np.ndarray, m: dict, inverse: np.ndarray | None = None) -> np.ndarray:
+    """(N, K) log densities of the components of a mixture of any kind; inverse: whitener(m), if the caller has it."""
+    kind, d = covariance_kind(m), m["mean"].shape[1]
+    if kind in ("diag", "spherical"):
+        return log_normal(x, m["mean"], m["var"] if kind == "diag" else np.tile(m["var"][:, None], (1, d)))
+    inverse = whitener(m) if inverse is None else inverse
+    out = np.empty((len(x), len(m["mean"])))
+    for k, mean in enumerate(m["mean"]):
+        w = inverse[k % len(inverse)]
+        out[:, k] = -0.5 * (((x - mean) @ w.T) ** 2).sum(axis=1) + np.log(np.diag(w)).sum()
+    return out - 0.5 * LOG_2PI * d
+
+
 def softmax(log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of each row and the log of its sum."""
     top = log.max(axis=1, keepdims=True)

@@ -1,13 +1,15 @@
-"""Fitting: principal components, diagonal Gaussian mixtures, mixtures of linear regressions, conditional regressions.
+"""Fitting: principal components, Gaussian mixtures, mixtures of linear regressions, conditional regressions.
 
 Each iteration is one pass that sums fixed-size statistics; models are small arrays on the driver."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumage.operators import blocks as B
 from plumage.operators import encode as E
 from plumage.operators import kernels as K
 from plumage.operators import sampling
@@ -50,41 +52,143 @@ def variance_summary(model: dict) -> dict:
 # ---------------------------------------------------------------- mixtures
 
 
-def _spread(df: DataFrame, vec: str, d: int) -> np.ndarray:
-    m = moments(df, vec, d)
-    return np.maximum(np.diag(m["outer"]) / m["n"] - (m["sum"] / m["n"]) ** 2, 1e-6)
+#: Rounds of k-means||, rows drawn in each as a multiple of k, and rounds of k-means after it.
+SEED_ROUNDS, OVERSAMPLE, MEANS_ROUNDS = 4, 2, 5
 
 
-def gmm_start(df: DataFrame, vec: str, key: str, k: int, seed: int = 42) -> dict:
-    """Means: an exact sample of rows; variances: those of all rows."""
-    rows = sampling.exact_sample(df.select(key, F.col(vec).cast("array<double>").alias("v")), k, key, seed).collect()
-    mean = np.array([r.v for r in rows])
-    return {"weight": np.full(len(mean), 1 / len(mean)), "mean": mean, "var": np.tile(_spread(df, vec, mean.shape[1]), (len(mean), 1))}
+def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances, in blocks of centres so that no (N, K, D) array is made."""
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None], 0)
 
 
-def gmm_step(df: DataFrame, vec: str, m: dict, reg: float = 1e-6) -> tuple[dict, float]:
-    """One turn of expectation-maximisation, and the mean log likelihood before it. Moments are taken around the old
-    means, which keeps their precision."""
-    k, d = m["mean"].shape
+def kmeans_seeds(df: DataFrame, vec: str, key: str, k: int, seed: int = 42, rounds: int = SEED_ROUNDS, oversample: int = OVERSAMPLE) -> np.ndarray:
+    """k starting centres by k-means||, fewer if there are fewer different rows.
+
+    From one row, each round draws every row with a chance of its share of the squared distances to the centres so far, times
+    oversample * k, by a hash of its key; the driver gets about rounds * oversample * k rows. They are weighted by the rows
+    nearest to them and reduced to k by k-means++ and k-means over the weights."""
+    rows = df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("x")).where("x is not null")
+    first = sampling.exact_sample(rows, 1, "key", seed).collect()
+    if not first:
+        return np.zeros((0, 0))
+    c = np.array([first[0].x])
+    for turn in range(rounds):
+        cost = E.total(rows, ["x"], lambda x, c=c: np.array([_squared(x, c).min(axis=1).sum()]), 1)[0]
+        if cost <= 0:
+            break
+        u = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(turn)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+        def draw(batches, c=c, rate=oversample * k / cost):
+            for b in batches:
+                if b.num_rows:
+                    near = _squared(B.column(b.column(0)), c).min(axis=1)
+                    yield b.filter(pa.array(b.column(1).to_numpy() < rate * near))
+
+        drawn = rows.select("x", u.alias("u")).mapInArrow(draw, "x array<double>, u double").select("x").collect()
+        c = np.unique(np.vstack([c, *[np.array([r.x]) for r in drawn]]), axis=0)
+    weight = E.total(rows, ["x"], lambda x: np.bincount(_squared(x, c).argmin(axis=1), minlength=len(c)).astype(float), len(c))
+    return _reduced(c[weight > 0], weight[weight > 0], k, np.random.default_rng(seed))
+
+
+def _reduced(c: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """At most k centres of weighted points: k-means++, then k-means."""
+    chosen = [int(weight.argmax())]
+    near = _squared(c, c[chosen]).min(axis=1)
+    while len(chosen) < min(k, len(c)) and (near * weight).sum() > 0:
+        chosen.append(int(rng.choice(len(c), p=near * weight / (near * weight).sum())))
+        near = np.minimum(near, _squared(c, c[chosen[-1:]])[:, 0])
+    out = c[chosen]
+    for _ in range(20):
+        own = _squared(c, out).argmin(axis=1)
+        n = np.bincount(own, weight, len(out))
+        sums = np.stack([np.bincount(own, weight * c[:, j], len(out)) for j in range(c.shape[1])], axis=1)
+        out = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], out)
+    return out
+
+
+def kmeans(df: DataFrame, vec: str, centres: np.ndarray, rounds: int = MEANS_ROUNDS) -> np.ndarray:
+    """Centres after so many rounds of k-means; each is one pass, and a centre without rows stays."""
+    k, d = centres.shape
+
+    def stats(x, c):
+        own = _squared(x, c).argmin(axis=1)
+        return np.concatenate([np.bincount(own, minlength=k), *[np.bincount(own, x[:, j], k) for j in range(d)]])
+
+    for _ in range(rounds):
+        v = E.total(df, [vec], lambda x, c=centres: stats(x, c), k * (1 + d))
+        n, sums = v[:k], v[k:].reshape(d, k).T
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
+
+
+def gmm_start(df: DataFrame, vec: str, key: str, k: int, seed: int = 42, kind: str = "diag", start: str = "kmeans", reg: float = 1e-6) -> dict:
+    """A mixture to begin with. "kmeans": k-means from k-means|| seeds, and the weights, means and covariances of its clusters.
+    "rows": means are an exact sample of rows, every covariance that of all rows (kinds diag and spherical)."""
+    if start == "rows":
+        rows = sampling.exact_sample(df.select(key, F.col(vec).cast("array<double>").alias("v")), k, key, seed).collect()
+        mean = np.array([r.v for r in rows])
+        m = moments(df, vec, mean.shape[1])
+        var = np.maximum(np.diag(m["outer"]) / m["n"] - (m["sum"] / m["n"]) ** 2, 1e-6)
+        return {"weight": np.full(len(mean), 1 / len(mean)), "mean": mean, "var": np.tile(var, (len(mean), 1)) if kind == "diag" else np.full(len(mean), var.mean())}
+    c = kmeans(df, vec, kmeans_seeds(df, vec, key, k, seed))
+    hard = lambda x: (np.eye(len(c))[_squared(x, c).argmin(axis=1)], np.zeros(len(x)))
+    return _maximised(df, vec, {"mean": c}, kind, hard, reg)[0]
+
+
+def _maximised(df: DataFrame, vec: str, m: dict, kind: str, expect, reg: float) -> tuple[dict, float]:
+    """Weights, means and covariances under expect(x) = (shares, log likelihoods), and the mean log likelihood. Moments are
+    taken around the old means, which keeps their precision."""
+    mean = m["mean"]
+    k, d = mean.shape
+    size = {"full": k * d * d, "tied": d * d, "diag": k * d, "spherical": k}[kind]
 
     def stats(x):
-        g, ll = K.softmax(K.log_normal(x, m["mean"], m["var"]) + np.log(m["weight"] + 1e-300))
+        g, ll = expect(x)
         s0 = g.sum(axis=0)
-        s1 = g.T @ x - s0[:, None] * m["mean"]
-        s2 = np.stack([g[:, i] @ (x - m["mean"][i]) ** 2 for i in range(k)])
-        return np.concatenate([[len(x), ll.sum()], s0, s1.ravel(), s2.ravel()])
-
-    v = E.total(df, [vec], stats, 2 + k + 2 * k * d)
+        s1 = g.T @ x - s0[:, None] * mean
+        s2 = np.zeros((d, d)) if kind == "tied" else []
+        for i in range(k):
+            y = x - mean[i]
+            if kind in ("full", "tied"):
+                one = (y * g[:, i, None]).T @ y
+                s2 = s2 + one if kind == "tied" else [*s2, one]
+            else:
+                one = g[:, i] @ y**2
+                s2.append(one if kind == "diag" else one.sum())
+        return np.concatenate([[len(x), ll.sum()], s0, s1.ravel(), np.asarray(s2).ravel()])
+
+    v = E.total(df, [vec], stats, 2 + k + k * d + size)
     n, s0 = v[0], np.maximum(v[2 : 2 + k], 1e-10)
     shift = v[2 + k : 2 + k + k * d].reshape(k, d) / s0[:, None]
-    var = v[2 + k + k * d :].reshape(k, d) / s0[:, None] - shift**2
-    return {"weight": s0 / n, "mean": m["mean"] + shift, "var": var + reg}, float(v[1] / n)
+    s2, out = v[2 + k + k * d :], {"weight": s0 / n, "mean": mean + shift}
+    if kind == "diag":
+        out["var"] = s2.reshape(k, d) / s0[:, None] - shift**2 + reg
+    elif kind == "spherical":
+        out["var"] = (s2 / s0 - (shift**2).sum(axis=1)) / d + reg
+    elif kind == "full":
+        out["var"] = s2.reshape(k, d, d) / s0[:, None, None] - shift[:, :, None] * shift[:, None, :] + reg * np.eye(d)
+    else:
+        out["shared"] = (s2.reshape(d, d) - (shift * s0[:, None]).T @ shift) / n + reg * np.eye(d)
+    return out, float(v[1] / n)
+
 
+def gmm_step(df: DataFrame, vec: str, m: dict, reg: float = 1e-6) -> tuple[dict, float]:
+    """One turn of expectation-maximisation for a mixture of any kind of covariance (kernels.covariance_kind), and the mean log
+    likelihood before it."""
+    kind = K.covariance_kind(m)
+    inverse = K.whitener(m) if kind in ("full", "tied") else None
+    return _maximised(df, vec, m, kind, lambda x: K.softmax(K.log_mixture(x, m, inverse) + np.log(m["weight"] + 1e-300)), reg)
 
-def gmm_fit(df: DataFrame, vec: str, key: str, k: int, max_iter: int = 100, tol: float = 1e-3, seed: int = 42) -> dict:
-    m, last = gmm_start(df, vec, key, k, seed), -np.inf
+
+def gmm_fit(
+    df: DataFrame, vec: str, key: str, k: int, max_iter: int = 100, tol: float = 1e-3, seed: int = 42, kind: str = "diag", start: str = "kmeans", reg: float = 1e-6,
+) -> dict:
+    m, last = gmm_start(df, vec, key, k, seed, kind, start, reg), -np.inf
     for _ in range(max_iter):
-        m, ll = gmm_step(df, vec, m)
+        m, ll = gmm_step(df, vec, m, reg)
         if abs(ll - last) < tol:
             break
         last = ll
@@ -92,7 +196,7 @@ def gmm_fit(df: DataFrame, vec: str, key: str, k: int, max_iter: int = 100, tol:
 
 
 def gmm_size_mb(m: dict) -> float:
-    return 4 * (m["weight"].size + m["mean"].size + m["var"].size) / 2**20
+    return 4 * (m["weight"].size + m["mean"].size + m["shared" if "shared" in m else "var"].size) / 2**20
 
 
 def mlr_from_gmm(g: dict, d_s: int, d_t: int, reg: float = 1e-3) -> dict:
@@ -175,6 +279,8 @@ def mlr_diagnostics(df: DataFrame, s: str, t: str, m: dict) -> dict:
 def conditional_fit(df: DataFrame, s: str, t: str, gmm: dict, ridge: float = 1e-6) -> dict:
     """For each component, the ridge regression of t on s weighted by p(k | s): one pass of weighted moments. Diagonal
     or spherical variances, or the diagonals of full ones, are taken."""
+    if "shared" in gmm:
+        raise ValueError("a covariance shared by all components is not supported")
     var = gmm["var"]
     if var.ndim == 3:
         var = np.stack([np.diag(v) for v in var])

@@ -271,6 +271,21 @@ def gmm_step(spark, sf_dir):
     return rounded(_frame(spark, rows, "k long, d long, weight double, mean double, var double"), "weight", "mean", "var")
 
 
+@query(f"""with {X.SQL_PATCH} {X.SQL_MODEL}, q as (select patch.id, p, k, sum((x - m) * (x - m)) as ss, sum(x - m) as s1 from patch join comp using (d) group by patch.id, p, k),
+    lw as (select id, p, k, -0.5 * (4 * ln(2 * pi()) + 3 * ln(0.02) + ln(0.06) + (ss - 0.01 / 0.06 * s1 * s1) / 0.02) as l from q),
+    e as (select id, p, k, exp(l - max(l) over (partition by id, p)) as e from lw), g as (select id, p, k, e / sum(e) over (partition by id, p) as g from e),
+    s as (select k, sum(g) as s0 from g group by k), y as (select g.id, g.p, g.k, d, g, x, s0, sum(g * x) over (partition by g.k, d) / s0 as mean from g join patch using (id, p) join s on s.k = g.k)
+    select a.k, cast(a.d as bigint) as i, cast(b.d as bigint) as j, round(any_value(a.mean), 6) + 0.0 as mean, round(sum(a.g * (a.x - a.mean) * (b.x - b.mean)) / any_value(a.s0) + case when a.d = b.d then 1e-6 else 0 end, 6) + 0.0 as cov
+    from y a join y b on a.id = b.id and a.p = b.p and a.k = b.k group by a.k, a.d, b.d""")
+def gmm_full_step(spark, sf_dir):
+    """One turn with full covariances, from 0.02 I + 0.01."""
+    m = X.model(spark, sf_dir)
+    k, d = m["mean"].shape
+    new, _ = models.gmm_step(X.patches(spark, sf_dir), "x", {"weight": m["weight"], "mean": m["mean"], "var": np.tile(0.02 * np.eye(d) + 0.01, (k, 1, 1))})
+    rows = [(a, i + 1, j + 1, float(new["mean"][a, i]), float(new["var"][a, i, j])) for a in range(k) for i in range(d) for j in range(d)]
+    return rounded(_frame(spark, rows, "k long, i long, j long, mean double, cov double"), "mean", "cov")
+
+
 @query(f"""with {SQL_SEM}, n as (select k, sum(g) as n from joint group by k),
     ms as (select joint.k, d, sum(g * x) / any_value(n) as m from joint join sdim using (id, p) join n on n.k = joint.k group by joint.k, d),
     nt as (select joint.k, d, sum(g * x) / any_value(n) as m from joint join tdim using (id, p) join n on n.k = joint.k group by joint.k, d),
