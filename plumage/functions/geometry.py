@@ -91,10 +91,11 @@ def patch_centres(square: Column, mask: Column, width: Column, height: Column, t
     return F.when((w > 0) & (h > 0), F.flatten(rows)).otherwise(F.flatten(F.slice(rows, 1, 0)))
 
 
-def content_mask(left: int, top: int, right: int, bottom: int, size: int = 224, patch: int = 16) -> Column:
-    """Row-major flags of the patches that do not lie wholly in the padding."""
+def content_mask(left, top, right, bottom, size: int = 224, patch: int = 16) -> Column:
+    """Row-major flags of the patches that do not lie wholly in the padding; paddings are numbers or columns."""
     n = size // patch
-    keep = lambda i: (F.floor(i / n) >= top // patch) & (F.floor(i / n) < n - bottom // patch) & (i % n >= left // patch) & (i % n < n - right // patch)
+    cells = lambda v: F.floor((v if isinstance(v, Column) else F.lit(v)) / patch)
+    keep = lambda i: (F.floor(i / n) >= cells(top)) & (F.floor(i / n) < n - cells(bottom)) & (i % n >= cells(left)) & (i % n < n - cells(right))
     return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), keep)
 
 

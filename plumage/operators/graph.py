@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from plumage import scratch
 from plumage.functions import vec as V
+from plumage.operators import encode as E
 from plumage.operators import ranking as R
 
 #: dense_eigenvectors(), a reference for tests, takes graphs of up to so many nodes (a dense matrix of 8 bytes squared).
 DENSE_NODES = 4000
-#: Vectors iterated beside the wanted ones, at least; products between two rotations; norm of L v - value * v to reach.
-GUARD, DEGREE, TOLERANCE = 10, 12, 1e-8
+#: Vectors of a block beside the wanted ones, and in all, at least (the wider a block, the fewer turns; the columns multiplied stay about
+#: as many); columns of a basis before it is cut; norm of L v - value * v to reach.
+GUARD, BLOCK, BASIS, TOLERANCE = 10, 64, 1024, 1e-8
 
 
 def knn_edges(df: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -55,43 +57,94 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
     largest component is positive (among equal ones, at nine decimals, that of the smallest node). Equal eigenvalues leave
     their vectors free up to rotation.
 
-    Subspace iteration at every size: blocks of vectors that start from hashes of the node go through Chebyshev filters of
-    L, whose every product is one join with the vectors and one sum, and are rotated by sums of fixed size, until L v -
-    value * v is at most TOLERANCE for each. Raises if that takes more than `turns` products. Nothing that grows with the
-    graph leaves Spark."""
+    Block Lanczos at every size: each turn multiplies a block of vectors by L, one join and one sum, and takes from the
+    product what is new against the whole basis, twice, by sums of fixed size. A pair has converged when what L adds to it outside the
+    basis is at most TOLERANCE; a basis that gets too wide is cut to its best vectors and goes on from there. Blocks
+    are no narrower than n, so that equal eigenvalues are all found. At the end L v - value * v is worked out
+    and checked. Raises if `turns` products were not enough. Nothing that grows with the graph leaves Spark."""
     lap = scratch.written(lap.select("i", "j", "value"))
     nodes = scratch.written(lap.select(F.col("i").alias("node")).distinct())
     size = nodes.count()
-    n, width = min(n, size), min(size, n + max(GUARD, n))
-    x = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("vec"))
+    n, width = min(n, size), min(size, max(n + GUARD, BLOCK))
+    first = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("w"))
     if not size:
-        return x.select("node", "vec", F.array().cast("array<double>").alias("eigenvalues"))
-    x, done = scratch.written(x), 0
-    while True:
-        both = scratch.written(x.join(_combined([(lap, x, 1.0)], "lv", width), "node"))
-        rotate, values = _ritz(_sums(both, width), width)
-        both, width = _rotated(both, rotate, nodes), len(values)
-        left = np.sqrt(_residuals(both, values))[:n].max()
-        if left <= TOLERANCE:
+        return first.select("node", F.col("w").alias("vec"), F.array().cast("array<double>").alias("eigenvalues"))
+    make, _, r = _new_part(scratch.written(first), 0, width)
+    basis, t, k, block, rest = make(None), np.zeros((0, 0)), len(r), len(r), np.array([np.inf])
+    for _ in range(turns):
+        last = basis.select("node", F.slice("q", k - block + 1, block).alias("vec"))
+        both = scratch.written(basis.join(_combined([(lap, last, 1.0)], "w", block), "node"))
+        make, c, r = _new_part(both, k, block)
+        t = np.pad(t, ((0, k - len(t)), (0, k - len(t))))
+        t[:, k - block :] = c
+        t[k - block :] = c.T
+        values, y = np.linalg.eigh((t + t.T) / 2)
+        rest = np.linalg.norm(r @ y[k - block :, :n], axis=0)
+        if not len(r) or (len(values) >= n and rest.max() <= TOLERANCE / 2):
             break
-        if done + DEGREE > turns:
-            raise RuntimeError(f"no convergence in {done} products: a residual norm of {left:.1e} is left")
-        # the recurrence of Chebyshev polynomials over [values[-1], 2], scaled to 1 at 0
-        mid, half = (2 + values[-1]) / 2, max((2 - values[-1]) / 2, 1e-3)
-        sigma = first = -half / mid
-        old = scratch.written(both.select("node", "vec", "lv"))
-        new = scratch.written(old.select("node", F.zip_with("vec", "lv", lambda v, w: (w - v * mid) * (sigma / half)).alias("vec")))
-        old = old.select("node", "vec")
-        for _ in range(DEGREE - 1):
-            after = 1 / (2 / first - sigma)
-            terms = [(lap, new, 2 * after / half), (None, new, -2 * after * mid / half), (None, old, -sigma * after)]
-            old, new, sigma = new, scratch.written(_combined(terms, "vec", width)), after
-        x, done = new, done + DEGREE
-    both = scratch.written(both.select("node", F.slice("vec", 1, n).alias("vec")))
+        if k + len(r) > max(BASIS, 4 * width):  # a restart from the best vectors
+            keep = min(k, max(n + width, BASIS // 2))
+            basis, t, k = make(y[:, :keep]), np.diag(values[:keep]), keep + len(r)
+        else:
+            basis, k = make(None), k + len(r)
+        block = len(r)
+    else:
+        raise RuntimeError(f"no convergence in {turns} products: a residual norm of {rest.max():.1e} is left")
+    n = min(n, len(values))
+    found = scratch.written(_times(basis, "q", y[:, :n]))
+    both = found.join(_combined([(lap, found, 1.0)], "lv", n), "node")
+    left = np.sqrt(E.total(both, ["vec", "lv"], lambda v, lv: ((lv - v * values[:n]) ** 2).sum(axis=0), n)).max()
+    if left > 10 * TOLERANCE:
+        raise RuntimeError(f"a residual norm of {left:.1e} is left")
     largest = lambda i: F.min_by(F.signum(F.col("vec")[i]), F.struct(-F.round(F.abs(F.col("vec")[i]), 9), "node"))
-    signs = both.agg(*[largest(i) for i in range(n)]).first()
+    signs = found.agg(*[largest(i) for i in range(n)]).first()
     signed = F.zip_with("vec", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s)
-    return both.select("node", signed.alias("vec"), F.lit(values[:n].tolist()).cast("array<double>").alias("eigenvalues"))
+    return found.select("node", signed.alias("vec"), F.lit(values[:n].tolist()).cast("array<double>").alias("eigenvalues"))
+
+
+def _new_part(both: DataFrame, k: int, block: int):
+    """For (node, q of k orthonormal columns, w of `block` columns): c and r such that w = q c + new r with orthonormal columns `new`, at
+    right angles to q, and a function that writes the basis [q turned by its argument, if any | new]. Both parts of w are
+    taken twice, the second time at unit length; directions of w that hold nothing new are left out."""
+    names = ["q", "w"] if k else ["w"]
+
+    def new(q, w, steps):
+        for c, by in steps:
+            w = (w - q @ c if k else w) @ by
+        return w
+
+    def inner(*cols, steps):
+        q, w = cols if k else (None, cols[0])
+        w = new(q, w, steps)
+        return np.concatenate([(q.T @ w).ravel() if k else np.zeros(0), (w.T @ w).ravel()])
+
+    steps, c, r, width = [], np.zeros((k, block)), np.eye(block), block
+    for _ in range(2):
+        v = E.total(both, names, lambda *cols, steps=tuple(steps): inner(*cols, steps=steps), (k + width) * width)
+        part, gram = v[: k * width].reshape(k, width), v[k * width :].reshape(width, width)
+        c = c + part @ r
+        w, u = np.linalg.eigh(gram - part.T @ part)
+        good = w > max(1e-15 * max(gram.max(), 0), 1e-22)
+        steps.append((part, u[:, good] / np.sqrt(w[good])))
+        r, width = np.sqrt(w[good])[:, None] * u[:, good].T @ r, int(good.sum())
+        if not width:
+            break
+
+    def make(turn: np.ndarray | None) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    q, w = (_matrix(b.column(1)) if k else None), _matrix(b.column(len(names)))
+                    out = [x for x in (q if turn is None or q is None else q @ turn, new(q, w, steps)) if x is not None]
+                    yield pa.RecordBatch.from_arrays([b.column(0), E.lists(np.hstack(out))], names=["node", "q"])
+
+        return scratch.written(both.select("node", *names).mapInArrow(run, f"node {dict(both.dtypes)['node']}, q array<double>"))
+
+    return make, c, r
+
+
+def _times(basis: DataFrame, column: str, by: np.ndarray) -> DataFrame:
+    return E.add_columns(basis, [column], ["vec"], lambda q: (q @ by,)).select("node", "vec")
 
 
 def _combined(terms: list, name: str, width: int) -> DataFrame:
@@ -109,56 +162,6 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _sums(both: DataFrame, width: int) -> np.ndarray:
-    """Z^T Z of the rows' vec and lv side by side; each task hands on one matrix."""
-
-    def run(batches):
-        out = np.zeros((2 * width, 2 * width))
-        for b in batches:
-            if b.num_rows:
-                z = np.hstack([_matrix(b.column(0)), _matrix(b.column(1))])
-                out += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array([out.ravel()])], names=["z"])
-
-    rows = both.select("vec", "lv").mapInArrow(run, "z array<double>").collect()
-    return np.sum([r.z for r in rows], axis=0).reshape(2 * width, 2 * width)
-
-
-def _ritz(z: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rotation of the vectors to orthonormal approximate eigenvectors, and their values in rising order."""
-    gram, product = z[:width, :width], z[:width, width:]
-    scale = 1 / np.sqrt(np.diag(gram))
-    w, u = np.linalg.eigh(gram * scale[:, None] * scale)
-    good = w > 1e-12 * w.max()
-    basis = scale[:, None] * u[:, good] / np.sqrt(w[good])
-    inner = basis.T @ ((product + product.T) / 2) @ basis
-    values, turn = np.linalg.eigh((inner + inner.T) / 2)
-    return basis @ turn, values
-
-
-def _rotated(both: DataFrame, rotate: np.ndarray, nodes: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = [pa.array(list(_matrix(b.column(i)) @ rotate), pa.list_(pa.float64())) for i in (1, 2)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["node", "vec", "lv"])
-
-    return both.select("node", "vec", "lv").mapInArrow(run, f"node {dict(nodes.dtypes)['node']}, vec array<double>, lv array<double>")
-
-
-def _residuals(both: DataFrame, values: np.ndarray) -> np.ndarray:
-    """Squared norms of L v - value * v."""
-
-    def run(batches):
-        out = np.zeros(len(values))
-        for b in batches:
-            if b.num_rows:
-                out += ((_matrix(b.column(1)) - _matrix(b.column(0)) * values) ** 2).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([out])], names=["r"])
-
-    return np.sum([r.r for r in both.select("vec", "lv").mapInArrow(run, "r array<double>").collect()], axis=0)
-
-
 def angle(a: int, b: int, vec_col: str = "vec"):
     """atan2 of components b and a, counted from 0."""
     return F.atan2(F.col(vec_col)[b], F.col(vec_col)[a])
@@ -171,10 +174,11 @@ def polar(vectors: DataFrame) -> DataFrame:
 
 
 def without_subspace(df: DataFrame, basis: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of X - E (E^T X): the part of the vectors that the orthonormal columns of basis (node, vec) don't span."""
+    """(id, vec) of X - E (E^T X): the part of the vectors that the orthonormal columns of basis (node, vec) don't span. E^T X, a
+    number for each column and dimension, is summed within tasks and goes back to them."""
     rows = df.select(F.col(id_col).alias("node"), F.col(vec_col).alias("x")).join(basis.select("node", F.col("vec").alias("e")), "node")
-    long = rows.select(F.posexplode("e").alias("k", "e"), "x").select("k", "e", F.posexplode("x").alias("d", "x"))
-    inner = long.groupBy("k", "d").agg(F.sum(F.col("e") * F.col("x")).alias("p"))
-    table = inner.groupBy("d").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias("p"))  # one row a dimension
-    flat = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "p"))), lambda s: s["p"]).alias("p"))
-    return rows.join(F.broadcast(flat)).select("node", F.transform("x", lambda v, d: v - V.dot("e", F.col("p")[d])).alias("vec"))
+    head = rows.select(F.size("e").alias("k"), F.size("x").alias("d")).first()
+    if head is None:
+        return rows.select("node", F.col("x").alias("vec"))
+    inner = E.total(rows, ["e", "x"], lambda e, x: (e.T @ x).ravel(), head.k * head.d).reshape(head.k, head.d)
+    return E.add_columns(rows, ["e", "x"], ["vec"], lambda e, x: (x - e @ inner,)).select("node", "vec")

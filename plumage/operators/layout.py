@@ -1,4 +1,4 @@
-"""Tables behind maps of points: scaled coordinates, atlas cells, zoom levels, tiles, colours."""
+"""Tables behind maps of points: scaled coordinates, atlas cells, tiles, colours. Zoom levels are in nets."""
 
 from __future__ import annotations
 
@@ -42,30 +42,6 @@ def tiled(points: DataFrame, period: float = 360.0) -> DataFrame:
     return points.withColumn("t", F.explode(steps)).withColumns({"x": F.col("x") + F.col("t.dx"), "y": F.col("y") + F.col("t.dy")}).drop("t")
 
 
-def farthest_first(xy: np.ndarray) -> np.ndarray:
-    """Order of points, each the farthest from those before, from the one nearest the centre. For one screenful."""
-    order, near = [int(((xy - xy.mean(axis=0)) ** 2).sum(axis=1).argmin())], np.full(len(xy), np.inf)
-    for _ in range(len(xy) - 1):
-        near = np.minimum(near, ((xy - xy[order[-1]]) ** 2).sum(axis=1))
-        near[order] = -1
-        order.append(int(near.argmax()))
-    return np.array(order)
-
-
-def min_zoom(xy: np.ndarray, spacing: float = 50.0, budget: float = 0.0) -> np.ndarray:
-    """Zoom from which each point is shown: the log of spacing over the distance to the nearest point before it in
-    farthest-first order, between -5 and 5; -4 for the first, 5 for copies."""
-    if not len(xy):
-        return np.zeros(0)
-    order, out = farthest_first(xy), np.empty(len(xy))
-    out[order[0]] = -4.0
-    near = np.full(len(xy), np.inf)
-    for a, b in zip(order[:-1], order[1:], strict=True):
-        near = np.minimum(near, np.sqrt(((xy - xy[a]) ** 2).sum(axis=1)))
-        out[b] = np.clip((np.log2(spacing / near[b]) if near[b] > 0 else 10.0) - budget, -5, 5)
-    return out
-
-
 def nearest_before(points: DataFrame, block: int = B.BLOCK) -> DataFrame:
     """(rank, distance): for ranked points (rank, x, y), distance to the nearest of a smaller rank; blocks of points
     against blocks, with one row a point and pair of blocks."""

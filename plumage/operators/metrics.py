@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumage import scratch
 from plumage.functions import labels as L
 from plumage.functions import vec as V
 from plumage.operators import blocks as B
@@ -29,19 +30,8 @@ def fisher_ratio(long: DataFrame, label: str, by: list[str]) -> DataFrame:
 
 
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """One row, auc: chance that a positive row scores above another, ties half; 0.5 if there is one class only.
-
-    Rows are first summed by score, so the running count is over different scores; they are ranked within score ranges
-    that carry an offset, never in one task."""
-    h = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    h = h.select("s", F.col("p").cast("long").alias("p"), (F.col("n") - F.col("p")).alias("q"))
-    cut = F.floor(F.col("s") * 1000)  # ranges of scores
-    parts = h.groupBy(cut.alias("b")).agg(F.sum("q").alias("q"))
-    below = parts.select("b", F.coalesce(F.sum("q").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = h.withColumn("b", cut).join(below, "b").select("p", "q", (F.col("before") + inside).alias("lower"))
-    wins = F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2))
-    return ranked.agg(F.coalesce(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q")), F.lit(0.5)).alias("auc"))
+    """One row, auc: chance that a positive row scores above another, ties half; 0.5 if there is one class only."""
+    return auc_of_counts(scored.withColumn("_n", F.lit(1)), score, positive, "_n")
 
 
 def same_class_auc(df: DataFrame, id_col: str, vec_col: str, label: str, decimals: int = 4) -> DataFrame:
@@ -64,13 +54,18 @@ def same_class_auc(df: DataFrame, id_col: str, vec_col: str, label: str, decimal
 
 
 def auc_of_counts(h: DataFrame, score: str, positive: str, n: str) -> DataFrame:
-    """auc() of rows that stand for n rows each."""
+    """auc() of rows that stand for n rows each. Rows are summed by score first and sorted into ranges of about equal numbers of
+    scores, one a partition; the running count starts in each from the sum of those before it, so that no task gets them all."""
     wide = h.groupBy(F.col(score).alias("s")).agg(
         F.sum(F.when(F.col(positive), F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col(n))).alias("q")
     )
-    lower = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per distance
+    wide = scratch.written(wide.repartitionByRange("s").withColumn("b", F.spark_partition_id()))  # written, as ranges are drawn from a sample
+    parts = wide.groupBy("b").agg(F.sum("q").alias("q"))
+    below = parts.select("b", F.coalesce(F.sum("q").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = wide.join(F.broadcast(below), "b").select("p", "q", (F.col("before") + inside).alias("lower"))
     wins = F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2))
-    return wide.select("p", "q", lower.alias("lower")).agg(F.coalesce(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q")), F.lit(0.5)).alias("auc"))
+    return ranked.agg(F.coalesce(F.try_divide(wins, F.sum("p").cast("double") * F.sum("q")), F.lit(0.5)).alias("auc"))
 
 
 def pooled(patches: DataFrame, detection: str, valid: str, vec_col: str) -> DataFrame:
@@ -101,7 +96,7 @@ def texture_separation(df: DataFrame, neighbours: int = 50, skip: int = 0, min_s
     near = R.top_k(df, df, skip + neighbours, "id", "semantic").where(F.col("rank") > skip)
     side = df.select("id", "textural", "identity")
     pairs = near.join(side.toDF("query", "qt", "qi"), "query").join(side.toDF("candidate", "ct", "ci"), "candidate")
-    pairs = pairs.select("query", (F.col("qi") == F.col("ci")).alias("same"), F.round(V.dot("qt", "ct") / ((V.norm("qt") + 1e-8) * (V.norm("ct") + 1e-8)), 9).alias("s"))
+    pairs = scratch.written(pairs.select("query", (F.col("qi") == F.col("ci")).alias("same"), F.round(V.dot("qt", "ct") / ((V.norm("qt") + 1e-8) * (V.norm("ct") + 1e-8)), 9).alias("s")))
     enough = pairs.groupBy("query").agg(F.count_if("same").alias("n")).where(F.col("n") >= min_same).select("query")
     pairs = pairs.join(enough, "query")
     of = lambda same, agg: agg(F.when(F.col("same") == same, F.col("s")))

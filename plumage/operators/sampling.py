@@ -67,13 +67,15 @@ def rows_in_ranges(rows: DataFrame, ranges: DataFrame, index: str, width: int =
     return rows.withColumn("_bucket", F.floor(F.col(index) / width)).join(ranges, "_bucket").where(held).drop("_bucket")
 
 
-def digest(df: DataFrame, key: str, width: int = 1000) -> DataFrame:
-    """One row: digest, the first eight letters of a digest over the digests of the keys of each range of `width`, so that
-    no task holds more than a range, and the last one a digest a range."""
-    ranges = df.groupBy(F.floor(F.col(key) / width).alias("r")).agg(F.array_sort(F.collect_list(key)).alias("v"))
-    ranges = ranges.select("r", F.md5(F.array_join(F.col("v").cast("array<string>"), "")).alias("d"))
-    every = ranges.agg(F.array_sort(F.collect_list(F.struct("r", "d"))).alias("v"))
-    return every.select(F.substring(F.md5(F.array_join(F.col("v.d"), "")), 1, 8).alias("digest"))
+def digest(df: DataFrame, key: str, bits: int = 16) -> DataFrame:
+    """One row: digest, the first eight letters of a digest over the digests of ranges, over those of ranges of ranges and so on:
+    as many levels as take 64 bits, each over 2^bits keys or digests at most, so that no task holds more than that. Keys
+    are different whole numbers of 0 or more."""
+    step = lambda rows, at: rows.groupBy(F.shiftright(at, bits).alias("r")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "v"))).alias("v")).select("r", F.md5(F.array_join(F.col("v.v"), "")).alias("v"))
+    rows = step(df.select(F.col(key).cast("long").alias("at"), F.col(key).cast("string").alias("v")), F.col("at"))
+    for _ in range(-(-64 // bits) - 1):
+        rows = step(rows, F.col("r"))
+    return rows.agg(F.substring(F.max("v"), 1, 8).alias("digest"))  # of the one range that is left, or null
 
 
 def at_least_two(df: DataFrame, identity: str) -> DataFrame:

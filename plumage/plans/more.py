@@ -11,7 +11,7 @@ from plumage.functions import extractors
 from plumage.functions import geometry as G
 from plumage.functions import labels as L
 from plumage.operators import encode as E
-from plumage.operators import graph, kernels, layout, metrics, ranking, sampling
+from plumage.operators import graph, kernels, layout, metrics, nets, ranking, sampling
 from plumage.plans import fixtures as X
 from plumage.plans.queries import SQL_COARSE, SQL_HALVES, SQL_POST, _view, query, r6, rounded
 from plumage.sources import stores
@@ -47,12 +47,19 @@ def patch_centres_in_crop(spark, sf_dir):
     return out.select("id", "r", "c", (F.round("p.x", 5) + 0.0).alias("x"), (F.round("p.y", 5) + 0.0).alias("y"))
 
 
-@query("""select r.range * 32 + c.range as i, (c.range * 16 + 8.0) / 512 * 2 - 1 as x, (r.range * 16 + 8.0) / 512 * 2 - 1 as y,
-    r.range >= 3 and r.range < 29 and c.range >= 0 and c.range < 32 as valid from range(0, 32) r, range(0, 32) c""")
+@query(f"""with {SQL_CROP}, g as (select id, r.range as r, c.range as c, (c.range * 16 + 8.0) / 512 * 2 - 1 as x, (r.range * 16 + 8.0) / 512 * 2 - 1 as y from pad, range(0, 32) r, range(0, 32) c
+        where r.range >= floor(t / 16) and r.range < 32 - floor((512 - trunc(h * sc) - t) / 16) and c.range >= floor(l / 16) and c.range < 32 - floor((512 - trunc(w * sc) - l) / 16))
+    select id, count(*) as n, min(r * 32 + c) as first, max(r * 32 + c) as last, round(sum((r * 32 + c) * (x + 2 * y)), 6) + 0.0 as place from g group by id""")
 def patch_grid(spark, sf_dir):
-    both = spark.range(1).select(G.grid_points(512, 16).alias("g"), G.content_mask(0, 48, 0, 48, 512, 16).alias("m"))
-    rows = both.select(F.posexplode(F.arrays_zip("g", "m")).alias("i", "z"))
-    return rows.select(F.col("i").cast("long").alias("i"), F.col("z.g.x").alias("x"), F.col("z.g.y").alias("y"), F.col("z.m").alias("valid"))
+    """Patches of each part's crop that hold some of its content, and where they are."""
+    p = X.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (40 + F.col("p_partkey") * 7 % 600).cast("double").alias("w"), (30 + F.col("p_partkey") * 11 % 450).cast("double").alias("h")
+    ).withColumn("p", G.padding(F.col("w"), F.col("h")))
+    rest = lambda side, pad: 512 - (F.col(side) * F.col("p.scale")).cast("int") - F.col(pad)
+    mask = G.content_mask(F.col("p.left"), F.col("p.top"), rest("w", "p.left"), rest("h", "p.top"), 512, 16)
+    rows = p.select("id", F.posexplode(F.arrays_zip(G.grid_points(512, 16).alias("g"), mask.alias("m"))).alias("i", "z")).where("z.m")
+    place = F.round(F.sum(F.col("i") * (F.col("z.g.x") + 2 * F.col("z.g.y"))), 6) + F.lit(0.0)
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first"), F.max("i").cast("long").alias("last"), place.alias("place"))
 
 
 @query("""with r as (select min(value) as a, max(value) as b, min(user_id) as c, max(user_id) as d from events)
@@ -80,6 +87,13 @@ def nearest_before(spark, sf_dir):
     return rounded(layout.nearest_before(pts), "distance")
 
 
+@query()
+def minimum_zoom(spark, sf_dir):
+    """The zoom from which each vector is shown on a map of the first two components."""
+    v = X.vectors(spark, sf_dir)
+    return nets.minimum_zoom(v.select("id", (F.col("vec")[0] * 2000).alias("x"), (F.col("vec")[1] * 2000).alias("y")))
+
+
 @query("select event_id, value / 20 - 4 + log2(80.0 / 50.0) - (1.5 - 2.0) <= 1.0 - log2(64.0) + 6 as visible from events")
 def visible_points(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select("event_id", (F.col("value") / 20 - 4).alias("z"), F.lit(64.0).alias("s"), F.lit(7.0).alias("zoom"))
@@ -97,8 +111,11 @@ def distinct_paths(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("path")).distinct().orderBy("path")
 
 
-@query("""with r as (select vec_id // 1000 as range, md5(string_agg(cast(vec_id as varchar), '' order by vec_id)) as digest from embeddings group by range)
-    select substring(md5(string_agg(digest, '' order by range)), 1, 8) as digest from r""")
+_LEVELS = "".join(f", r{i} as (select r // 65536 as r, md5(string_agg(v, '' order by r)) as v from r{i - 1} group by r // 65536)" for i in range(2, 5))
+
+
+@query(f"""with r1 as (select vec_id // 65536 as r, md5(string_agg(cast(vec_id as varchar), '' order by vec_id)) as v from embeddings group by vec_id // 65536){_LEVELS}
+    select substring(max(v), 1, 8) as digest from r4""")
 def dataset_digest(spark, sf_dir):
     return sampling.digest(X.table(spark, sf_dir, "embeddings"), "vec_id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumage import scratch
+
 SCHEMA = """
     categories array<struct<id: int, species: string, name: string>>,
     images array<struct<uuid: string, image_path: string, width: int, height: int, latitude: double, longitude: double, datetime: string>>,
@@ -14,8 +16,10 @@ SCHEMA = """
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """categories, images and annotations; the schema is given, so nothing is inferred and unused fields aren't parsed."""
-    raw = spark.read.schema(SCHEMA).json(path, multiLine=True, primitivesAsString=False)
+    """categories, images and annotations; the schema is given, so nothing is inferred and unused fields aren't parsed. The
+    document is parsed once, in one task for each file as JSON over lines can't be split, and written; each table reads its
+    column of that."""
+    raw = scratch.written(spark.read.schema(SCHEMA).json(path, multiLine=True, primitivesAsString=False))
     rows = lambda name: raw.select(F.explode(name).alias("r")).select("r.*")
     categories = rows("categories").select("id", F.coalesce("species", "name").alias("species"))
     return {"categories": categories, "images": rows("images"), "annotations": annotations(rows("annotations"), categories)}

@@ -217,9 +217,6 @@ def test_eigenvectors_of_the_spark_path_have_signs_and_tell_if_not_converged(spa
 def test_sampling_and_layout(spark):
     df = spark.range(1000)
     assert sampling.exact_sample(df, 10, "id").count() == 10 and sampling.exact_sample(df, 5000, "id").count() == 1000
-    xy = np.array([[0.0, 0], [1, 0], [0, 1], [10, 10], [10, 10]])
-    z = layout.min_zoom(xy)
-    assert sorted(z)[0] == -4.0 or (z <= 5).all() and (z >= -5).all()
     pts = spark.createDataFrame([(1, 0.0, 5.0), (2, 10.0, 5.0)], "id long, x double, y double")
     assert sorted((r.x, r.y) for r in layout.scaled(pts).collect()) == [(0, 0), (1, 0)]
     assert layout.tiled(pts).count() == 18 and layout.atlas_columns(10) == 4
@@ -305,8 +302,8 @@ def test_ranges_nearest_and_digest_against_plain_loops(spark):
     ranges = spark.createDataFrame([("a", 0, 7), ("b", 7, 7), ("c", 7, 250)], "batch string, start long, stop long")
     got = {(r["rank"], r.batch) for r in sampling.rows_in_ranges(pts, ranges, "rank", width=16).collect()}
     assert got == {(i, "a" if i < 7 else "c") for i in range(250)}
-    one, other = (sampling.digest(pts.where(f"rank < {n}"), "rank", 50).first().digest for n in (300, 299))
-    assert one == sampling.digest(pts.repartition(5), "rank", 50).first().digest != other
+    one, other = (sampling.digest(pts.where(f"rank < {n}"), "rank", 5).first().digest for n in (300, 299))
+    assert one == sampling.digest(pts.repartition(5), "rank", 5).first().digest != other
 
 
 def test_pooled_against_numpy(spark):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumage.operators import matching, metrics, sampling, selection
+from plumage.operators import matching, metrics, nets, sampling, selection
 
 
 @pytest.mark.parametrize("at_once", [1, 50, 1 << 14])
@@ -124,3 +124,46 @@ def test_a_path_of_ten_thousand_falling_priorities(spark):
     turns: list = []
     got = matching.in_rounds(pairs_of(spark, pairs), turns).collect()
     assert {(r.image, r.det, r.gt) for r in got} == sweep(pairs) and len(turns) <= 40
+
+
+def plain_net(points, distance):
+    """Points (prio, id, x, y) taken one after the other."""
+    kept = []
+    for p in sorted(points):
+        if all((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 >= distance**2 for q in kept):
+            kept.append(p)
+    return kept
+
+
+@pytest.mark.parametrize("distance", [0.7, 5.0, 200.0])
+def test_a_net_is_the_first_maximal_set_by_priority(spark, distance):
+    rng = np.random.default_rng(9)
+    xy = rng.normal(0, 20, (700, 2))
+    xy[:40] = np.stack([np.arange(40) * 0.69, np.full(40, 300.0)], axis=1)  # a chain of falling priority, longer than a tile sees
+    prio = np.concatenate([np.arange(40), rng.integers(100, 200, 660)])
+    rows = [(i, float(x), float(y), int(p)) for i, ((x, y), p) in enumerate(zip(xy, prio, strict=True))]
+    got = nets.net(spark.createDataFrame(rows, "id long, x double, y double, prio long"), distance)
+    assert {r.id for r in got.where("state = 1").collect()} == {p[1] for p in plain_net([(p, i, x, y) for i, x, y, p in rows], distance)} and got.count() == 700
+
+
+@pytest.mark.parametrize("budget", [0.0, 1.5])
+def test_minimum_zoom_covers_and_packs_every_level(spark, budget):
+    rng = np.random.default_rng(10)
+    xy = np.concatenate([rng.uniform(0, 3000, (800, 2)), rng.normal(500, 4, (400, 2)), np.full((5, 2), 700.0)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(9000, None, 1.0)], "id long, x double, y double")
+    zoom = {r.id: r.min_zoom for r in nets.minimum_zoom(df, budget=budget).collect()}
+    assert len(zoom) == len(xy) and min(zoom.values()) >= -5 and max(zoom.values()) <= 5
+    z = np.array([zoom[i] for i in range(len(xy))])
+    assert z[((xy - xy.mean(axis=0)) ** 2).sum(axis=1).argmin()] == -4 and sorted(z[-5:])[1:] == [5.0] * 4
+    for level in range(-4, 5):
+        shown = xy[z <= level]
+        d = np.sqrt(((xy[:, None] - shown[None]) ** 2).sum(axis=2))
+        r = 50 / 2 ** (level + budget)
+        assert d.min(axis=1).max() < 2 * r
+        own = np.sqrt(((shown[:, None] - shown[None]) ** 2).sum(axis=2)) + np.eye(len(shown)) * 1e9
+        assert own.min() >= r * (1 - 1e-9)
+
+
+def test_minimum_zoom_of_one_point_and_of_none(spark):
+    one = spark.createDataFrame([(4, 1.0, 2.0)], "id long, x double, y double")
+    assert [tuple(r) for r in nets.minimum_zoom(one).collect()] == [(4, -4.0)] and nets.minimum_zoom(one.limit(0)).count() == 0
