@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 
 from plumage.llm import ann, embed_dedup
@@ -114,3 +116,34 @@ def test_op5_repeated_rows_and_two_vectors_of_one_id(spark):
             best = sorted(((-float(np.dot(x, y)), i) for i, y in kinds if i != q))[:6]
             want += [(q, r, i) for r, (_, i) in enumerate(best, 1)]
     assert sorted(t[:3] for t in got) == sorted(want)
+
+
+def test_op5_any_finite_vectors(spark):
+    """Components of 1e200 and 1e-310, together with plain ones; products beyond the doubles are ties."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, -3e200]), (2, [2e200, 1e199]), (3, [1.0, 2.0]), (4, [1e-310, 3e-310]), (5, [-1e200, 1.0]), (6, [1e100, 2e100]),
+            (20, [1e-310, 0.0]), (40, [1e-200, 3.0]), (60, [1.0, 1.0]), (7, [1.7e308, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df.where("vec_id % 20 = 0"), df, 20).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, x in rows:
+        if q % 20 == 0:
+            true = {i: sum(Fraction(a) * Fraction(b) for a, b in zip(x, y, strict=True)) for i, y in rows if i != q}
+            score = {i: float(s) if abs(s) < Fraction(1.7e308) else (np.inf if s > 0 else -np.inf) for i, s in true.items()}
+            assert [i for i, _ in got[q]] == sorted(score, key=lambda i: (-score[i], i))
+            assert all(s == score[i] or abs(s - score[i]) <= 1e-15 * abs(score[i]) for i, s in got[q])
+
+
+def test_op5_candidates_stream_in_chunks():
+    rng = np.random.default_rng(2)
+    q, x = rng.normal(size=(300, 16)), rng.normal(size=(2000, 16))
+    x[500:1200] = x[499]  # a third are copies
+    best = ann.Best(ann.Rows(np.arange(300), q), 7)
+    for i in range(0, 2000, 130):
+        best.see(ann.Rows(np.arange(i, min(i + 130, 2000)), x[i : i + 130]))
+    a, ids, score = best.rows()
+    want = np.array([(x * row).sum(axis=1) for row in q])
+    want[np.arange(300), np.arange(300)] = -np.inf
+    order = np.array([np.lexsort((np.arange(2000), -row))[:7] for row in want])
+    assert (a.reshape(300, 7) == np.arange(300)[:, None]).all() and (ids.reshape(300, 7) == order).all()
+    assert np.allclose(score.reshape(300, 7), np.take_along_axis(want, order, 1))
