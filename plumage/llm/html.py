@@ -4,8 +4,10 @@ A page is read into elements and runs of text. Every element's subtree is hashed
 every host on how many of its different pages each hash occurs. A subtree outside the article goes if it recurs on
 OUTSIDE_PAGES pages of its host and on OUTSIDE_SHARE of them, for sites have several variants of a menu; a subtree that may
 be the article's own (within it, or anywhere on a page that marks none) goes if it recurs on INSIDE_PAGES and
-INSIDE_SHARE. Rules for tags, roles and classes then take what never recurs, as on hosts of fewer than OUTSIDE_PAGES
+INSIDE_SHARE, and then outside of articles too. Rules for tags, roles and classes then take what never recurs, as on hosts of fewer than OUTSIDE_PAGES
 different pages, where nothing can: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+Of what stays, only the text within the elements that mark an article counts, unless they hold less than the rest: then they
+are teasers, and all of it counts.
 
 Plan: one Arrow pass hashes subtrees (8 bytes each); two sums with partial aggregation count them; the templates of a
 host are joined to its pages (broadcast up to BROADCAST_HASHES hashes in all, else a shuffle join with skew handling), and a
@@ -62,7 +64,7 @@ _DROP = {
 _WHOLE = {"html", "body", "article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
-#: Words of a class or id that mark what is no article.
+#: Words that mark what is no article where a class or id, one name between spaces, is made of them alone and of `_BESIDE`.
 _WORDS = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "adslot", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar",
@@ -70,6 +72,18 @@ _WORDS = {
     "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 
+#: Words that say no more than where such a part is or what shape it has.
+_BESIDE = {
+    "area", "bar", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "icons", "inner", "item", "items", "left", "link", "links",
+    "list", "local", "main", "media", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot", "top", "unit", "wrap", "wrapper",
+}
+
+
+def _marks(name: str) -> bool:
+    """Whether a class or id names what is no article: "ad", "site-footer", "ad-slot-2", but not "share-price"."""
+    words = {w for w in re.split(r"[_-]+", name) if w and not w.isdigit()}
+    return bool(words & _WORDS) and words <= _WORDS | _BESIDE
+
 
 class Page:
     """elements: tag, parent, whether the rules drop it, whether an article holds it, its subtree's hash (0: no text);
@@ -170,10 +184,10 @@ class Page:
         drop = self.drop[above] or name in _DROP
         if attributes and not drop and name not in ("html", "body"):
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-            words = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+            names = f"{found.get('class') or ''} {found.get('id') or ''}".lower().split()
             role = found.get("role", "").lower()
             article |= role in ("main", "article")
-            drop = bool(words & _WORDS) or role in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+            drop = any(map(_marks, names)) or role in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         drop |= name == "header"
         if name in _HEADINGS and self._own_header(above):
             drop = False
@@ -236,14 +250,16 @@ class Page:
         for e in range(1, len(self.tag)):
             above = self.parent[e]
             heading = self.drop[above] and not self.drop[e]  # which an article's header keeps
-            site = self.hash[e] != 0 and self.key(e) in template and self.tag[e] not in _WHOLE
+            site = self.hash[e] != 0 and (self.key(e) in template or self.hash[e] & ~1 in template) and self.tag[e] not in _WHOLE
             gone[e] = self.drop[e] or site or (gone[above] and not heading)
             gone_by_site[e] = site or gone_by_site[above]
             by_site += site and not gone_by_site[above]
             by_rule += self.hash[e] != 0 and self.drop[e] and not self.drop[above] and not gone_by_site[e]
-        out = []
-        for block in self.blocks:
-            raw = "".join(t for e, t in block if not gone[e] and (self.article[e] or not self.main))
+        stays = [[(e, t) for e, t in block if not gone[e]] for block in self.blocks]
+        within, beside = (sum(len(t.strip()) for block in stays for e, t in block if self.article[e] == own) for own in (True, False))
+        out, whole = [], not self.main or beside > within
+        for block in stays:
+            raw = "".join(t for e, t in block if whole or self.article[e])
             if raw and (text := " ".join(unescape(raw).split())):
                 out.append(text)
         return "\n\n".join(out), by_site, by_rule

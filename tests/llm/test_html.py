@@ -57,6 +57,15 @@ def test_rules():
     assert html.Page("a <!-- b").text() == "a" and html.Page("").text() == ""
 
 
+def test_no_text_is_lost_beside_a_teaser_or_by_one_word_of_a_name():
+    assert html.Page("<div><p>Main story</p></div><article>teaser</article>").text() == "Main story\n\nteaser"
+    assert html.Page("<div>by</div><article>the story</article>").text() == "the story"
+    for name in ('class="share-price"', 'class="post-header x"', 'id="notice-board"', "class='layout with-sidebar'", "class", 'class="widgetry"'):
+        assert html.Page(f"<article><p>one</p><div {name}><p>two</p></div></article>").text() == "one\n\ntwo", name
+    for name in ('class="share"', 'class="wide social-share-buttons"', 'id="comments-area"', 'class="ad_slot-2"', 'class="Site-Footer"', "class=related-posts"):
+        assert html.Page(f"<article><p>one</p><div {name}><p>two</p></div></article>").text() == "one", name
+
+
 def test_templates(spark):
     url = "http://h.example/%d"
     box = "<div><b>Our house</b> style</div>"
