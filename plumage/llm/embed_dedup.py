@@ -156,14 +156,12 @@ def near_duplicates(
     links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     comps = C.connected_components(found.where("v is not null")).withColumnRenamed("node", "rep")
     known = reps.select("g", "ha", "hb", "rep", "n").join(links, "rep", "left").join(comps, "rep", "left")
-    known = known.select(
-        "g", "ha", "hb", F.lit(True).alias("good"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
-    )
-    out = rows.select("vec_id", "g", "ha", "hb", "good").join(known, ["g", "ha", "hb", "good"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+    known = known.select("g", "ha", "hb", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    # rows that link with nothing have equal keys, so they stay out of the join
+    alone = rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    out = full.join(known, ["g", "ha", "hb"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    return out.unionByName(alone).select(
+        "vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept")
     )
 
 
