@@ -28,20 +28,13 @@ def _vectors(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(v).cast("array<double>").alias(k) if k == "vec" else F.col(v).alias(k) for k, v in cols.items()])
 
 
-def top_k(
-    queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", image_col: str | None = None,
-    distance: bool = False, keep_self: bool = False,
-) -> DataFrame:
-    """(query, candidate, similarity, rank): the k best by cosine (or least distance: `similarity` is then its
-    negative), without the query itself and, given image_col, without its image; a missing image equals a missing one."""
-    cols = {"id": id_col, "vec": vec_col} | ({"image": image_col} if image_col else {})
-    q, c = _vectors(queries, **cols), _vectors(candidates, **cols)
-    measure = negative_distances if distance else similarities
+def best_of_block(k: int, by_image: bool, keep_self: bool, measure):
+    """Function of a block of queries and one of candidates: the k best of each query; equal ones rank by id."""
 
     def reduce(q, c):
         s = measure(q, c)
         out = np.zeros(s.shape, bool) if keep_self else q["id"][:, None] == c["id"][None, :]
-        if image_col:
+        if by_image:
             out |= B.same(q["image"], c["image"])
         order = np.argsort(c["id"], kind="stable")
         s, out, ids = np.where(out, -np.inf, s)[:, order], out[:, order], c["id"][order]
@@ -51,6 +44,18 @@ def top_k(
         good = s[a, b] > -np.inf
         return {"query": q["id"][a[good]], "candidate": ids[b[good]], "similarity": s[a[good], b[good]]}
 
+    return reduce
+
+
+def top_k(
+    queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", image_col: str | None = None,
+    distance: bool = False, keep_self: bool = False,
+) -> DataFrame:
+    """(query, candidate, similarity, rank): the k best by cosine (or least distance: `similarity` is then its
+    negative), without the query itself and, given image_col, without its image; a missing image equals a missing one."""
+    cols = {"id": id_col, "vec": vec_col} | ({"image": image_col} if image_col else {})
+    q, c = _vectors(queries, **cols), _vectors(candidates, **cols)
+    reduce = best_of_block(k, image_col is not None, keep_self, negative_distances if distance else similarities)
     id_type = dict(q.dtypes)["id"]
     lists = B.compare(q, c, reduce, f"query {id_type}, candidate {id_type}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "candidate")

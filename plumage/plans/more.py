@@ -11,9 +11,9 @@ from plumage.functions import extractors
 from plumage.functions import geometry as G
 from plumage.functions import labels as L
 from plumage.operators import encode as E
-from plumage.operators import graph, kernels, layout, metrics, nets, ranking, sampling
+from plumage.operators import graph, kernels, layout, metrics, nets, pivots, ranking, sampling
 from plumage.plans import fixtures as X
-from plumage.plans.queries import SQL_COARSE, SQL_HALVES, SQL_POST, _view, query, r6, rounded
+from plumage.plans.queries import ORACLES, SQL_COARSE, SQL_HALVES, SQL_POST, _view, query, r6, rounded
 from plumage.sources import stores
 from plumage.streaming import ingest
 
@@ -287,3 +287,10 @@ def recovered_store(spark, sf_dir):
     return held.groupBy(F.col("batch").cast("long").alias("batch")).agg(
         F.count("*").alias("detections"), F.countDistinct("image_path").alias("images"), F.sum("vec_id").alias("ids"), F.countDistinct("again").alias("recovered")
     )
+
+
+@query(ORACLES["topk_neighbors"])
+def pivot_neighbors(spark, sf_dir):
+    """The rows of topk_neighbors, by pivots."""
+    v = X.vectors(spark, sf_dir)
+    return pivots.top_k(v, v, 5, image_col="image").select("query", "candidate", "similarity", F.col("rank").cast("long").alias("rank"))
