@@ -1,12 +1,12 @@
 """Exact nearest neighbours by pivots: the triangle inequality leaves out what cannot be among a query's k best.
 
-At most MAX_PIVOTS candidates, the square root of their number, are pivots; every candidate belongs to the cell of its nearest one. A
-query first sees the nearest cells that hold FIRST times k candidates. Its k-th best similarity by then says how near a vector
+One candidate of `cell` is a pivot, MAX_PIVOTS at most; every candidate belongs to the cell of its nearest one. A query first sees the nearest cells that hold FIRST times k candidates. Its k-th best similarity by then says how near a vector
 must be, and of the other cells it sees those whose least and greatest distance from their pivot allow one as near. Cells are cut into
 blocks of bounded size, as are their visitors, and each pair of blocks is one group of one shuffle, so a cell of any size or
 fame is many tasks. Driver and broadcasts hold a few numbers for each pivot, and the pivots.
 
-It saves work where vectors form groups; where all are about as far from each other, every cell is seen once.
+It saves work where vectors form groups; where all are about as far from each other, every cell is seen once, and as cells are
+about as large as the blocks of operators.blocks, at about the cost of comparing those.
 """
 
 from __future__ import annotations
@@ -49,6 +49,28 @@ def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [more])
 
 
+def _best(k: int, by_image: bool, keep_self: bool):
+    """Function of a block of queries and one of candidates: the k best of each query among those that reach its `kth`."""
+
+    def reduce(q, c):
+        s = R.similarities(q, c)
+        out = np.zeros(s.shape, bool) if keep_self else q["id"][:, None] == c["id"][None, :]
+        if by_image:
+            out |= B.same(q["image"], c["image"])
+        s[out] = -np.inf
+        least = q["kth"] - SLACK
+        if k < s.shape[1]:
+            least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+        a, b = np.nonzero((s >= least[:, None]) & ~out)
+        ids, near = c["id"][b], s[a, b]
+        order = np.lexsort((ids, -near, a))
+        a, ids, near = a[order], ids[order], near[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return {"query": q["id"][a[keep]], "candidate": ids[keep], "similarity": near[keep]}
+
+    return reduce
+
+
 def _seen(visits: DataFrame, cells: DataFrame, cols: list[str], sizes: dict[int, int], reduce, schema: str, block: int) -> DataFrame:
     """reduce of every visitor of a cell (a row of `visits` has `cells`) with the candidates of the cell."""
     spark = visits.sparkSession
@@ -59,7 +81,8 @@ def _seen(visits: DataFrame, cells: DataFrame, cols: list[str], sizes: dict[int,
     at = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     q = visits.join(n, "_cell").select("_cell", at("_nq").alias("_q"), every("_nc").alias("_c"), F.lit(True).alias("_query"), *cols)
-    c = cells.join(n, "_cell").select("_cell", every("_nq").alias("_q"), at("_nc").alias("_c"), F.lit(False).alias("_query"), *cols)
+    c = cells.withColumn("kth", F.lit(None).cast("double")).join(n, "_cell")
+    c = c.select("_cell", every("_nq").alias("_q"), at("_nc").alias("_c"), F.lit(False).alias("_query"), *cols)
 
     def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
         is_query = t.column("_query").to_numpy()
@@ -73,7 +96,7 @@ def _seen(visits: DataFrame, cells: DataFrame, cols: list[str], sizes: dict[int,
 
 def top_k(
     queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", image_col: str | None = None,
-    keep_self: bool = False, block: int = B.BLOCK,
+    keep_self: bool = False, block: int = B.BLOCK, cell: int = B.BLOCK,
 ) -> DataFrame:
     """(query, candidate, similarity, rank, compared): the rows of ranking.top_k by cosine, and with how many candidates the
     query was compared. Null and empty vectors, and those of another length than most candidates have, take no part; ids are unique in each
@@ -86,7 +109,7 @@ def top_k(
     if usual is None:
         return spark.createDataFrame([], f"{schema}, rank int, compared long")
     q, c = (df.where(F.size("vec") == usual.dim) for df in (q, c))
-    few = min(MAX_PIVOTS, int(np.ceil(np.sqrt(usual.n))))
+    few = min(MAX_PIVOTS, -(-usual.n // cell))
     pivots = B.units(np.array([r.vec for r in c.orderBy(F.xxhash64("id"), "id").limit(few).collect()]))
 
     def nearest(b: pa.RecordBatch) -> list[dict]:
@@ -118,14 +141,15 @@ def top_k(
         can = (norm[:, None] + 1 - gap**2) / 2 >= B.column(b.column("kth"))[:, None] - SLACK
         return [label[row] for row in can & ~first]
 
-    reduce = R.best_of_block(k, image_col is not None, keep_self, R.similarities)
+    reduce, seen = _best(k, image_col is not None, keep_self), [*names, "kth"]
+    q = q.withColumn("kth", F.lit(-2.0))
     first = q.mapInArrow(_with(lambda b: [label[row] for row in opening(B.column(b.column("vec")))[2]], "cells", pa.list_(pa.int32())), _schema(q, "cells array<int>"))
-    one = scratch.written(_seen(first, cells, names, sizes, reduce, schema, block))
+    one = scratch.written(_seen(first, cells, seen, sizes, reduce, schema, block))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "candidate")
     kth = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("similarity").alias("kth"))
-    known = q.join(kth, "id", "left").select(*names, F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+    known = q.drop("kth").join(kth, "id", "left").select(*names, F.coalesce("kth", F.lit(-2.0)).alias("kth"))
     second = scratch.written(known.mapInArrow(_with(others, "cells", pa.list_(pa.int32())), _schema(known, "cells array<int>")))
-    two = _seen(second, cells, names, sizes, reduce, schema, block)
+    two = _seen(second, cells, seen, sizes, reduce, schema, block)
     counts = F.broadcast(spark.createDataFrame([(int(i), int(n)) for i, n in sizes.items()], "_cell int, n long"))
     visits = first.select("id", "cells").unionByName(second.select("id", "cells")).select(F.col("id").alias("query"), F.explode("cells").alias("_cell"))
     compared = visits.join(counts, "_cell").groupBy("query").agg(F.sum("n").alias("compared"))

@@ -19,12 +19,12 @@ def test_pivots_skip_cells_and_lose_nothing(spark):
     df = spark.createDataFrame(data, "id long, vec array<double>, image string")
     whole = df.where("id < 1000")
     for image, keep in ((None, False), ("image", False), (None, True)):
-        got = pivots.top_k(df, df, 6, image_col=image, keep_self=keep, block=128)
+        got = pivots.top_k(df, df, 6, image_col=image, keep_self=keep, block=128, cell=32)
         want = rows(ranking.top_k(whole, whole, 6, image_col=image, keep_self=keep))
         found = rows(got)
         assert [r[:3] for r in found] == [r[:3] for r in want]
         assert np.allclose([r[3] for r in found], [r[3] for r in want], atol=1e-9)
-    compared = {r.query: r.compared for r in pivots.top_k(whole, whole, 6).select("query", "compared").distinct().collect()}
+    compared = {r.query: r.compared for r in pivots.top_k(whole, whole, 6, cell=32).select("query", "compared").distinct().collect()}
     assert len(compared) == 900 and np.mean(list(compared.values())) < 450, np.mean(list(compared.values()))
 
 
