@@ -2,7 +2,7 @@
 
 One candidate of `cell` is a pivot, MAX_PIVOTS at most; every candidate belongs to the cell of its nearest one. A query first sees the nearest cells that hold FIRST times k candidates. Its k-th best similarity by then says how near a vector
 must be, and of the other cells it sees those whose least and greatest distance from their pivot allow one as near. Cells are cut into
-blocks of bounded size, as are their visitors, and each pair of blocks is one group of one shuffle, so a cell of any size or
+blocks of bounded size, their visitors into VISITORS times larger ones, and each pair of blocks is one group of one shuffle, so a cell of any size or
 fame is many tasks. Driver and broadcasts hold a few numbers for each pivot, and the pivots.
 
 It saves work where vectors form groups; where all are about as far from each other, every cell is seen once, and as cells are
@@ -22,7 +22,7 @@ from plumage import scratch
 from plumage.operators import blocks as B
 from plumage.operators import ranking as R
 
-MAX_PIVOTS, FIRST = 1024, 4
+MAX_PIVOTS, FIRST, VISITORS = 1024, 4, 16
 #: What rounding may change in a similarity, that to nine decimals included.
 SLACK = 1e-8
 
@@ -76,7 +76,7 @@ def _seen(visits: DataFrame, cells: DataFrame, cols: list[str], sizes: dict[int,
     spark = visits.sparkSession
     visits = visits.withColumn("_cell", F.explode("cells")).select("_cell", *cols)
     asked = {r["_cell"]: r["n"] for r in visits.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot at most
-    n = [(int(c), -(-sizes[c] // block), -(-asked[c] // block)) for c in asked]
+    n = [(int(c), -(-sizes[c] // block), -(-asked[c] // (VISITORS * block))) for c in asked]
     n = F.broadcast(spark.createDataFrame(n, "_cell int, _nc int, _nq int"))
     at = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -88,7 +88,9 @@ def _seen(visits: DataFrame, cells: DataFrame, cols: list[str], sizes: dict[int,
         is_query = t.column("_query").to_numpy()
         if is_query.any() and not is_query.all():
             sides = [{n: B.column(t.filter(pa.array(side)).column(n)) for n in cols} for side in (is_query, ~is_query)]
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in reduce(*sides).items()})
+            for i in range(0, len(sides[0]["id"]), block):  # distances to the candidates, for a block of visitors at a time
+                found = reduce({n: v[i : i + block] for n, v in sides[0].items()}, sides[1])
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in found.items()})
 
     by = ["_cell", "_q", "_c"]
     return q.union(c).repartition(*by).sortWithinPartitions(*by).mapInArrow(B.grouped(3, group), schema)
