@@ -11,9 +11,9 @@ from plumage.functions import extractors
 from plumage.functions import geometry as G
 from plumage.functions import labels as L
 from plumage.operators import encode as E
-from plumage.operators import graph, kernels, layout, metrics, nets, pivots, ranking, sampling
+from plumage.operators import graph, kernels, layout, maps, metrics, nets, pivots, ranking, sampling
 from plumage.plans import fixtures as X
-from plumage.plans.queries import ORACLES, SQL_COARSE, SQL_HALVES, SQL_POST, _view, query, r6, rounded
+from plumage.plans.queries import ORACLES, SQL_COARSE, SQL_HALVES, SQL_POST, SQL_SIM, _view, query, r6, rounded
 from plumage.sources import stores
 from plumage.streaming import ingest
 
@@ -294,3 +294,50 @@ def pivot_neighbors(spark, sf_dir):
     """The rows of topk_neighbors, by pivots."""
     v = X.vectors(spark, sf_dir)
     return pivots.top_k(v, v, 5, image_col="image").select("query", "candidate", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+SQL_SHARES = f"""{SQL_SIM}, near as (select q as src, c as dst, greatest(0, 2 - 2 * s) as d, row_number() over (partition by q order by s desc, c) as rk from sim),
+    lists as (select src, list(dst order by rk) as dst, list(d order by rk) as d0 from near where rk <= 90 group by src),
+    base as (select src, dst, list_transform(d0, lambda v: v - d0[1]) as d from lists),
+    widths as (select src, dst, d, cast(-64 as double) as low, cast(64 as double) as high, 0 as step from base
+        union all select src, dst, d, case when wide then t else low end, case when wide then high else t end, step + 1 from (
+            select *, ln(s) + pow(2, t) * list_sum(list_transform(d, lambda v: v * exp(-v * pow(2, t)))) / s > ln(30) as wide from (
+                select *, list_sum(list_transform(d, lambda v: exp(-v * pow(2, t)))) as s from (select *, (low + high) / 2 as t from widths where step < {maps.STEPS})))),
+    weights as (select src, dst, list_transform(d, lambda v: exp(-v * pow(2, (low + high) / 2))) as w from widths where step = {maps.STEPS}),
+    shares as (select src, unnest(dst) as dst, unnest(list_transform(w, lambda v: v / list_sum(w))) as p from weights),
+    pairs as (select src, dst, sum(p) / 2 / (select count(*) from v) as p from (select src, dst, p from shares union all select dst, src, p from shares) group by src, dst)"""
+
+
+def _affinities(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    return maps.affinities(ranking.top_k(v, v, 90), 30.0)
+
+
+@query(f"with recursive {SQL_SHARES} select src, dst, round(p * (select count(*) from v), 6) as weight from pairs")
+def neighbour_affinities(spark, sf_dir):
+    """Weights of the pairs of a map of all vectors, times the number of rows."""
+    n = X.table(spark, sf_dir, "embeddings").count()
+    return _affinities(spark, sf_dir).select("src", "dst", r6(F.col("p") * n).alias("weight"))
+
+
+SQL_PLACES = """places as (select id, vec[1] * 64 as x, vec[33] * 64 as y from v),
+    frame as (select min(x) as x0, min(y) as y0, greatest(max(x) - min(x), max(y) - min(y)) / 64 as w from places),
+    put as (select id, x, y, least(63, floor((x - x0) / w)) * 64 + least(63, floor((y - y0) / w)) as cell from places, frame),
+    cells as (select cell, count(*) as n, sum(x) as sx, sum(y) as sy from put group by cell),
+    others as (select id, x, y, case when own then n - 1 else n end as n, case when own then sx - x else sx end as sx, case when own then sy - y else sy end as sy
+        from (select p.id, p.x, p.y, c.n, c.sx, c.sy, p.cell = c.cell as own from put p, cells c)),
+    apart as (select id, n, x - sx / n as dx, y - sy / n as dy from others where n > 0),
+    push as (select id, sum(n * dx / (1 + dx * dx + dy * dy) ** 2) as rx, sum(n * dy / (1 + dx * dx + dy * dy) ** 2) as ry, sum(n / (1 + dx * dx + dy * dy)) as q from apart group by id),
+    pull as (select src as id, sum(p * dx / (1 + dx * dx + dy * dy)) as ax, sum(p * dy / (1 + dx * dx + dy * dy)) as ay
+        from (select e.src, e.p, a.x - b.x as dx, a.y - b.y as dy from pairs e join places a on a.id = e.src join places b on b.id = e.dst) group by src)"""
+
+
+@query(f"""with recursive {SQL_SHARES}, {SQL_PLACES} select id, round(4 * (ax - rx / (select sum(q) from push)) * (select count(*) from v), 6) as gx,
+    round(4 * (ay - ry / (select sum(q) from push)) * (select count(*) from v), 6) as gy, round(q, 6) as near from push join pull using (id)""")
+def map_gradient(spark, sf_dir):
+    """The gradient of a map that starts at two components of the vectors, times the number of rows."""
+    places = X.vectors(spark, sf_dir).select("id", (F.get("vec", F.lit(0)) * 64).alias("x"), (F.get("vec", F.lit(32)) * 64).alias("y"))
+    found = scratch.written(maps.forces(*maps.laid(places, _affinities(spark, sf_dir))))
+    sums = found.agg(F.sum(F.col("push")[2]).alias("q"), F.count("*").alias("n")).first()
+    slope = maps.gradient(found, sums.q)
+    return found.select("id", *[r6(slope[c] * sums.n).alias(c) for c in ("gx", "gy")], r6(F.col("push")[2]).alias("near"))

@@ -20,8 +20,13 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a written table: lineage ends there, and a lost executor loses nothing."""
-    path = f"{folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
+def place(spark: SparkSession) -> str:
+    """A new path in that folder."""
+    return f"{folder(spark)}/t-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df as a written table, at a new path if none is given: lineage ends there, and a lost executor loses nothing."""
+    path = path or place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
