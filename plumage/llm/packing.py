@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from json import loads
 
 import numpy as np
 import pyarrow as pa
@@ -45,22 +46,27 @@ def byte_of() -> dict[str, int]:
 
 class Tokens:
     """Ids of a byte-level BPE file of `tokenizers`. A text that holds the string of a special token goes through that
-    library; all others through `tiktoken` with the file's vocabulary as ranks, which gives the same ids (tests compare
-    them over every code point) in a sixth of the time."""
+    library, which is loaded at the first such text; all others through `tiktoken` with the file's vocabulary as ranks, which
+    gives the same ids (tests compare them over every code point) in a sixth of the time."""
 
     def __init__(self, json: str):
         import public_tokenizers as P
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        byte = byte_of()
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.json, self.tokenizer = json, None
+        held = loads(json)
+        self.special = [t["content"] for t in held["added_tokens"]]
+        byte, special = byte_of(), set(self.special)
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
+        del held
         self.quick = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_str(self.json)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.quick.encode_ordinary(text), np.uint32)
 
