@@ -51,15 +51,19 @@ def patch_centres_in_crop(spark, sf_dir):
         where r.range >= floor(t / 16) and r.range < 32 - floor((512 - trunc(h * sc) - t) / 16) and c.range >= floor(l / 16) and c.range < 32 - floor((512 - trunc(w * sc) - l) / 16))
     select id, count(*) as n, min(r * 32 + c) as first, max(r * 32 + c) as last, round(sum((r * 32 + c) * (x + 2 * y)), 6) + 0.0 as place from g group by id""")
 def patch_grid(spark, sf_dir):
-    """Patches of each part's crop that hold some of its content, and where they are."""
+    """Patches of each part's crop that hold some of its content, and where they are. They depend on the padding in whole patches alone,
+    so they are made once for each padding that occurs, of at most 33^4."""
     p = X.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), (40 + F.col("p_partkey") * 7 % 600).cast("double").alias("w"), (30 + F.col("p_partkey") * 11 % 450).cast("double").alias("h")
     ).withColumn("p", G.padding(F.col("w"), F.col("h")))
     rest = lambda side, pad: 512 - (F.col(side) * F.col("p.scale")).cast("int") - F.col(pad)
-    mask = G.content_mask(F.col("p.left"), F.col("p.top"), rest("w", "p.left"), rest("h", "p.top"), 512, 16)
-    rows = p.select("id", F.posexplode(F.arrays_zip(G.grid_points(512, 16).alias("g"), mask.alias("m"))).alias("i", "z")).where("z.m")
-    place = F.round(F.sum(F.col("i") * (F.col("z.g.x") + 2 * F.col("z.g.y"))), 6) + F.lit(0.0)
-    return rows.groupBy("id").agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first"), F.max("i").cast("long").alias("last"), place.alias("place"))
+    pads = {"left": F.col("p.left"), "top": F.col("p.top"), "right": rest("w", "p.left"), "bottom": rest("h", "p.top")}
+    p = p.select("id", *[F.floor(v / 16).alias(k) for k, v in pads.items()])
+    mask = G.content_mask(*[F.col(k) * 16 for k in pads], 512, 16)
+    rows = p.select(*pads).distinct().select(*pads, F.posexplode(F.arrays_zip(G.grid_points(512, 16).alias("g"), mask.alias("m"))).alias("i", "z")).where("z.m")
+    place = F.sum(F.col("i") * (F.col("z.g.x") + 2 * F.col("z.g.y")))
+    kinds = rows.groupBy(*pads).agg(F.count("*").alias("n"), F.min("i").cast("long").alias("first"), F.max("i").cast("long").alias("last"), place.alias("place"))
+    return p.join(kinds, [*pads]).groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), (F.round(F.sum("place"), 6) + F.lit(0.0)).alias("place"))
 
 
 @query("""with r as (select min(value) as a, max(value) as b, min(user_id) as c, max(user_id) as d from events)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumage.operators import matching, metrics, nets, sampling, selection
+from plumage.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize("at_once", [1, 50, 1 << 14])
@@ -167,3 +168,13 @@ def test_minimum_zoom_covers_and_packs_every_level(spark, budget):
 def test_minimum_zoom_of_one_point_and_of_none(spark):
     one = spark.createDataFrame([(4, 1.0, 2.0)], "id long, x double, y double")
     assert [tuple(r) for r in nets.minimum_zoom(one).collect()] == [(4, -4.0)] and nets.minimum_zoom(one.limit(0)).count() == 0
+
+
+def test_patches_of_a_crop_are_made_once_for_each_padding(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.crossJoin(spark.range(12)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 1800).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["patch_grid"](spark, str(tmp_path))
+    below = df._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[1]
+    assert any(line.lstrip(" :+-").startswith("Aggregate") for line in below.splitlines())  # of the paddings, not of the parts
+    at = {r.id: tuple(r)[1:] for r in df.collect()}
+    assert len(at) == 12 * part.count() and all(v == at[k - 1800] for k, v in at.items() if k > 1800 and k - 1800 in at)
