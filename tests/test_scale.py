@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumage.functions import extractors
 from plumage.operators import matching, metrics, nets, sampling, selection
 from plumage.plans.queries import QUERIES
 
@@ -178,3 +179,11 @@ def test_patches_of_a_crop_are_made_once_for_each_padding(spark, tmp_path):
     assert any(line.lstrip(" :+-").startswith("Aggregate") for line in below.splitlines())  # of the paddings, not of the parts
     at = {r.id: tuple(r)[1:] for r in df.collect()}
     assert len(at) == 12 * part.count() and all(v == at[k - 1800] for k, v in at.items() if k > 1800 and k - 1800 in at)
+
+
+def test_means_at_the_threshold_are_added_in_order(spark):
+    rows = [(g, 0, i % 16, v, i) for g, values in (("up", (0.1, 0.2, 0.3)), ("down", (0.3, 0.2, 0.1)), ("far", (0.1, 0.1, 0.9)), ("odd", (0.2, float("nan")))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id string, y long, x long, value double, at long")
+    for dealt in (df.orderBy("at"), df.orderBy(F.desc("at")), df.repartition(9, "at")):
+        got = {r.id: r.valid for r in extractors.patch_mask(dealt, 16, 0.2, "at").collect()}
+        assert got == {"up": (0.1 + 0.2 + 0.3) / 3 > 0.2, "down": (0.3 + 0.2 + 0.1) / 3 > 0.2, "far": True, "odd": True} and got["up"] and not got["down"]
