@@ -24,6 +24,103 @@ def negative_distances(q: dict, c: dict) -> np.ndarray:
     return np.round(out, DECIMALS) + 0.0
 
 
+class Pairs:
+    """Similarities (or negative distances) of a block of queries and one of candidates. `rough` gives a tile of them in single precision,
+    increasing with the exact value; `least` turns exact values into what `rough` is at least for these, and `exact` works single pairs out."""
+
+    def __init__(self, q: np.ndarray, c: np.ndarray, distance: bool = False):
+        self.distance, dim = distance, q.shape[1]
+        if not distance:
+            self.q, self.c = B.units(q), B.units(c)
+            self.fast, self.shift, x, y, scale = True, None, self.q, self.c, 1.0
+            self.slack = np.full(len(q), (dim + 8) * 2.0**-23)
+        else:
+            self.q, self.c = q, c
+            with np.errstate(over="ignore"):
+                scale = max(np.linalg.norm(q, axis=1).max(initial=0), np.linalg.norm(c, axis=1).max(initial=0))
+            self.fast = bool(1e-100 < scale < 1e100)
+            x, y = (q / scale, c / scale) if self.fast else (q, c)
+            self.norm, norm = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            self.shift, most = (norm / 2).astype(np.float32), np.sqrt(norm.max(initial=0))
+            self.slack = 2.0**-22 * (dim + 8) * (np.sqrt(self.norm) * most + most * most) + 1e-30
+        self.scale, self.x, self.y = scale, x.astype(np.float32), y.astype(np.float32)
+
+    def rough(self, i: slice, j: slice) -> np.ndarray:
+        out = self.x[i] @ self.y[j].T
+        return out if self.shift is None else np.subtract(out, self.shift[j], out=out)
+
+    def least(self, i: slice, s: np.ndarray, more: float = 1.0) -> np.ndarray:
+        """With `more` = -1: the least that `rough` must be for the exact value to be above s."""
+        step = 2 * 10.0**-DECIMALS * more
+        if self.distance:
+            far = np.maximum(0, step - s) / self.scale
+            s, step = (self.norm[i] - far * far) / 2, 0.0
+        return (s - step - more * self.slack[i]).astype(np.float32)
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for t in B.tiles(len(i), 1 << 16):
+            a, b = self.q[i[t]], self.c[j[t]]
+            out[t] = -np.sqrt(((a - b) ** 2).sum(axis=1)) if self.distance else np.einsum("ij,ij->i", a, b)
+        return np.round(out, DECIMALS) + 0.0
+
+    def dense(self, i: slice, j: slice) -> np.ndarray:
+        if self.distance:
+            return negative_distances({"vec": self.q[i]}, {"vec": self.c[j]})
+        return np.round(self.q[i] @ self.c[j].T, DECIMALS) + 0.0
+
+
+#: A tile of which more than this share needs exact values is worked out exactly as a whole.
+CROWDED = 1 / 32
+
+
+def nearest(q: dict, c: dict, k: int, distance: bool, out) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, s): for each query its k best candidates, which are sorted by id; out(i, j) says which pairs don't count, of index arrays that
+    broadcast. After a first tile only what may reach a query's k-th best in single precision is worked out exactly."""
+    good = np.isfinite(q["vec"]).all(axis=1), np.isfinite(c["vec"]).all(axis=1)
+    qi, cj = map(np.flatnonzero, good)
+    pairs, found = Pairs(q["vec"][qi], c["vec"][cj], distance), []
+    for i in B.tiles(len(qi), B.TILE[0]):
+        held, kth = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(i.stop - i.start, -np.inf)
+        for j in B.tiles(len(cj), B.TILE[1]):
+            crowded = not pairs.fast
+            if pairs.fast:
+                s = pairs.rough(i, j)
+                if j.start == 0:
+                    s[out(qi[i][:, None], cj[j][None, :])] = -np.inf
+                    need = np.full(len(s), -np.inf, np.float32)
+                    if k < s.shape[1]:
+                        need = (np.partition(s, -k, axis=1)[:, -k] - 2 * pairs.slack[i] - (0 if distance else 4 * 10.0**-DECIMALS)).astype(np.float32)
+                        need = np.nextafter(need, np.float32(-np.inf))
+                        if distance:  # a tie after rounding is a little farther
+                            need = need - np.float32(1e-7) * np.abs(need) - (8 * 10.0**-DECIMALS / pairs.scale * np.maximum(1, np.sqrt(pairs.norm[i]))).astype(np.float32)
+                else:
+                    need = pairs.least(i, kth)
+                a, b = np.nonzero((s >= need[:, None]) & (s > -np.inf))
+                crowded = len(a) > max(s.size * CROWDED, 2 * k * len(s))
+            if crowded:
+                s = pairs.dense(i, j)
+                s[np.broadcast_to(out(qi[i][:, None], cj[j][None, :]), s.shape)] = -np.inf
+                b = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                a = np.repeat(np.arange(len(s)), b.shape[1])
+                b = b.reshape(-1)
+                s = s[a, b]
+            else:
+                s = pairs.exact(a + i.start, b + j.start)
+            b = b + j.start
+            some = (s > kth[a]) & ~np.broadcast_to(out(qi[a + i.start], cj[b]), s.shape)  # candidates come in the order of their ids, so ties come too late
+            if not some.any():
+                continue
+            a, b, s = (np.concatenate([x, y[some]]) for x, y in zip(held, (a, b, s), strict=True))
+            order = np.lexsort((b, -s, a))
+            a, b, s = a[order], b[order], s[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            kth[a[place == k - 1]] = s[place == k - 1]
+            held = tuple(x[place < k] for x in (a, b, s))
+        found.append((qi[held[0] + i.start], cj[held[1]], held[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def _vectors(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(v).cast("array<double>").alias(k) if k == "vec" else F.col(v).alias(k) for k, v in cols.items()])
 
@@ -36,20 +133,18 @@ def top_k(
     negative), without the query itself and, given image_col, without its image; a missing image equals a missing one."""
     cols = {"id": id_col, "vec": vec_col} | ({"image": image_col} if image_col else {})
     q, c = _vectors(queries, **cols), _vectors(candidates, **cols)
-    measure = negative_distances if distance else similarities
 
     def reduce(q, c):
-        s = measure(q, c)
-        out = np.zeros(s.shape, bool) if keep_self else q["id"][:, None] == c["id"][None, :]
-        if image_col:
-            out |= B.same(q["image"], c["image"])
         order = np.argsort(c["id"], kind="stable")
-        s, out, ids = np.where(out, -np.inf, s)[:, order], out[:, order], c["id"][order]
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        a = np.repeat(np.arange(len(s)), best.shape[1])
-        b = best.reshape(-1)
-        good = s[a, b] > -np.inf
-        return {"query": q["id"][a[good]], "candidate": ids[b[good]], "similarity": s[a[good], b[good]]}
+        c = {n: v[order] for n, v in c.items()}
+        a, b = B.codes(q["image"], c["image"]) if image_col else (None, None)
+
+        def out(i, j):
+            own = np.False_ if keep_self else q["id"][i] == c["id"][j]
+            return own | (a[i] == b[j]) if image_col else own
+
+        i, j, s = nearest(q, c, k, distance, out)
+        return {"query": q["id"][i], "candidate": c["id"][j], "similarity": s}
 
     id_type = dict(q.dtypes)["id"]
     lists = B.compare(q, c, reduce, f"query {id_type}, candidate {id_type}, similarity double")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumage.functions import extractors
-from plumage.operators import matching, metrics, nets, sampling, selection
+from plumage.operators import blocks, matching, metrics, nets, ranking, sampling, selection
 from plumage.plans.queries import QUERIES
 
 
@@ -187,3 +187,29 @@ def test_means_at_the_threshold_are_added_in_order(spark):
     for dealt in (df.orderBy("at"), df.orderBy(F.desc("at")), df.repartition(9, "at")):
         got = {r.id: r.valid for r in extractors.patch_mask(dealt, 16, 0.2, "at").collect()}
         assert got == {"up": (0.1 + 0.2 + 0.3) / 3 > 0.2, "down": (0.3 + 0.2 + 0.1) / 3 > 0.2, "far": True, "odd": True} and got["up"] and not got["down"]
+
+
+@pytest.mark.parametrize("distance", [False, True])
+@pytest.mark.parametrize("kind", ["plain", "copies", "odd", "huge", "tiny"])
+def test_nearest_by_tiles_equals_all_pairs(monkeypatch, distance, kind):
+    monkeypatch.setattr(blocks, "TILE", (16, 32))
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (150, 12))
+    if kind == "copies":
+        x = x[rng.integers(0, 5, 150)]
+        x[::9] += rng.normal(0, 1e-7, x[::9].shape)
+    if kind == "odd":
+        x[3], x[5, 2], x[7, 1], x[9] = 0, np.nan, np.inf, x[10] + 1e-9
+    x = x * {"huge": 1e160, "tiny": 1e-11}.get(kind, 1)
+    ids, image = rng.permutation(150), rng.integers(0, 30, 150)
+    by_id = np.argsort(ids)
+    q, c = {"vec": x, "id": ids, "image": image}, {"vec": x[by_id], "id": ids[by_id], "image": image[by_id]}
+    out = lambda i, j: (q["id"][i] == c["id"][j]) | (q["image"][i] == c["image"][j])
+    with np.errstate(all="ignore"):
+        got = sorted(zip(*(v.tolist() for v in ranking.nearest(q, c, 6, distance, out)), strict=True), key=lambda r: (r[0], -r[2], r[1]))
+        s = (ranking.negative_distances if distance else ranking.similarities)(q, c)
+    want = []
+    for i in range(150):
+        near = sorted((-s[i, j], j) for j in range(150) if s[i, j] > -np.inf and not out(i, j))[:6]
+        want += [(i, j, -v) for v, j in near]
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9, rtol=1e-12)
