@@ -41,13 +41,32 @@ def same_class_auc(df: DataFrame, id_col: str, vec_col: str, label: str, decimal
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label).alias("label"))
 
     def count(q, c):
-        later = q["id"][:, None] < c["id"][None, :]
-        s = np.round(R.negative_distances(q, c)[later] * 10**decimals).astype(np.int64)
-        same = B.same(q["label"], c["label"])[later]
-        if not len(s):
+        a, b = B.codes(q["label"], c["label"])
+        by_q, by_c = np.argsort(q["id"], kind="stable"), np.argsort(c["id"], kind="stable")
+        x, y, a, b, ids, others = q["vec"][by_q], c["vec"][by_c], a[by_q], b[by_c], q["id"][by_q], c["id"][by_c]
+        keys, counts = [], []
+        for i in B.tiles(len(ids), B.TILE[0]):
+            for j in B.tiles(len(others), B.TILE[1]):
+                if not others[j][-1] > ids[i][0]:
+                    continue
+                key = R.steps(x[i], y[j], 10**decimals) * 2 + (a[i][:, None] == b[j][None, :])
+                key = key.ravel() if others[j][0] > ids[i][-1] else key[ids[i][:, None] < others[j][None, :]]
+                if not len(key):
+                    continue
+                if key.max() < 8 * B.TILE[1] * B.TILE[0]:
+                    n = np.bincount(key)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+        if not keys:
             return None
-        key, n = np.unique(s * 2 + same, return_counts=True)
-        return {"s": (key - key % 2) // 2 / 10**decimals, "same": key % 2 == 1, "n": n}
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, at, np.concatenate(counts))
+        return {"s": -(key // 2) / 10**decimals + 0.0, "same": key % 2 == 1, "n": n}
 
     h = B.compare(rows, rows, count, "s double, same boolean, n long").groupBy("s", "same").agg(F.sum("n").alias("n"))
     return auc_of_counts(h, "s", "same", "n")

@@ -121,6 +121,22 @@ def nearest(q: dict, c: dict, k: int, distance: bool, out) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def steps(x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
+    """Distances of all pairs, times scale, as whole numbers. By a matrix product where that is as good as nine decimals, so not where its
+    rounding shows: squares below that error, or rounded right at a half, are worked out by differences."""
+    n, m = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    d = n[:, None] + m[None, :] - 2 * (x @ y.T)
+    error = (x.shape[1] + 8) * 2.0**-51 * (n.max(initial=0) + m.max(initial=0))
+    close = d < max(error * 1e9, 1e-300)
+    d = np.sqrt(np.maximum(d, 0, out=d), out=d)
+    if not np.isfinite(error) or np.count_nonzero(close) > close.size * CROWDED:
+        d = -negative_distances({"vec": x}, {"vec": y})
+    elif close.any():
+        i, j = np.nonzero(close)
+        d[i, j] = -Pairs(x, y, True).exact(i, j)
+    return np.rint(np.multiply(d, scale, out=d), out=d).astype(np.int64)
+
+
 def _vectors(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(v).cast("array<double>").alias(k) if k == "vec" else F.col(v).alias(k) for k, v in cols.items()])
 
@@ -160,27 +176,76 @@ def first_match_ranks(df: DataFrame, id_col: str = "id", vec_col: str = "vec", i
     rows = _vectors(df, **cols)
     id_type = dict(rows.dtypes)["id"]
 
-    def allowed(q, c):
-        ok = q["id"][:, None] != c["id"][None, :]
-        return ok & ~B.same(q["image"], c["image"]) if image_col else ok
+    def codes(q, c, name):
+        return B.codes(q[name], c[name])
+
+    def barred(q, c):
+        """Pairs that don't count: of one image, and of one id."""
+        if image_col:
+            yield from B.equal_pairs(*codes(q, c, "image"))
+        for i, j in B.equal_pairs(*codes(q, c, "id")):
+            keep = ~B.alike(q["image"][i], c["image"][j]) if image_col else np.ones(len(i), bool)
+            yield i[keep], j[keep]
 
     def best(q, c):
-        right = allowed(q, c) & B.same(q["identity"], c["identity"])
         order = np.argsort(c["id"], kind="stable")
-        s = np.where(right, similarities(q, c), -np.inf)[:, order]
-        at = s.argmax(axis=1)
-        top = s[np.arange(len(s)), at]
+        c = {n: v[order] for n, v in c.items()}
+        pairs, (qi, ci) = Pairs(q["vec"], c["vec"]), codes(q, c, "identity")
+        a, b = codes(q, c, "image") if image_col else (None, None)
+        top, at = np.full(len(qi), -np.inf), np.zeros(len(qi), np.int64)
+        by_q, by_c = np.argsort(qi, kind="stable"), np.flatnonzero(np.isfinite(pairs.c).all(axis=1))
+        by_c = by_c[np.argsort(ci[by_c], kind="stable")]  # candidates of an identity by their ids
+        for code in np.unique(qi):
+            rows, cols = (by[slice(*np.searchsorted(of[by], [code, code + 1]))] for by, of in ((by_q, qi), (by_c, ci)))
+            for r in B.tiles(len(rows), B.TILE[0]):
+                for t in B.tiles(len(cols), B.TILE[1]):
+                    i, j = rows[r], cols[t]
+                    bar = q["id"][i][:, None] == c["id"][j][None, :]
+                    if image_col:
+                        bar |= a[i][:, None] == b[j][None, :]
+                    s = pairs.rough(i, j)
+                    s[bar] = -np.inf
+                    least = np.maximum(s.max(axis=1) - 2 * pairs.slack[i] - 4 * 10.0**-DECIMALS, pairs.least(i, top[i]))
+                    near = (s >= least.astype(np.float32)[:, None]) & ~bar
+                    if np.count_nonzero(near) > max(s.size * CROWDED, 2 * len(s)):
+                        s = pairs.dense(i, j)
+                        s[bar] = -np.inf
+                        x, y = np.arange(len(s)), s.argmax(axis=1)
+                        v = s[x, y]
+                    else:
+                        x, y = np.nonzero(near)
+                        v = pairs.exact(i[x], j[y])
+                        order = np.lexsort((y, -v, x))
+                        order = order[np.unique(x[order], return_index=True)[1]]
+                        x, y, v = x[order], y[order], v[order]
+                    better = v > top[i[x]]
+                    x, y = i[x[better]], j[y[better]]
+                    top[x], at[x] = v[better], y
         good = top > -np.inf
-        return {"id": q["id"][good], "similarity": top[good], "candidate": c["id"][order][at[good]]}
+        return {"id": q["id"][good], "similarity": top[good], "candidate": c["id"][at[good]]}
 
     found = B.compare(rows, rows, best, f"id {id_type}, similarity double, candidate {id_type}")
     found = found.groupBy("id").agg(F.max("similarity").alias("best"), F.min(F.struct((-F.col("similarity")).alias("s"), "candidate"))["candidate"].alias("best_id"))
     known = rows.join(found, "id", "left")
 
     def before(q, c):
-        s = similarities(q, c)
-        ahead = (s > q["best"][:, None]) | ((s == q["best"][:, None]) & (c["id"][None, :] < np.where(q["best"] == q["best"], q["best_id"], q["id"])[:, None]))
-        return {"id": q["id"], "ahead": (ahead & allowed(q, c)).sum(axis=1)}
+        pairs, count = Pairs(q["vec"], c["vec"]), np.zeros(len(q["id"]), np.int64)
+        ahead = lambda s, i, j: (s > q["best"][i]) | ((s == q["best"][i]) & (c["id"][j] < q["best_id"][i]))
+        for i in B.tiles(len(count), B.TILE[0]):
+            low, high = pairs.least(i, q["best"][i]), pairs.least(i, q["best"][i], -1.0)
+            for j in B.tiles(len(c["id"]), B.TILE[1]):
+                s = pairs.rough(i, j)
+                sure = s > high[:, None]
+                near = (s >= low[:, None]) & ~sure
+                if np.count_nonzero(near) > s.size * CROWDED:
+                    every = np.arange(i.start, i.stop)[:, None], np.arange(j.start, j.stop)[None, :]
+                    count[i] += ahead(pairs.dense(i, j), *every).sum(axis=1)
+                    continue
+                a, b = (x + t.start for x, t in zip(np.nonzero(near), (i, j), strict=True))
+                count[i] += np.count_nonzero(sure, axis=1) + np.bincount(a[ahead(pairs.exact(a, b), a, b)] - i.start, minlength=len(s))
+        for i, j in barred(q, c):
+            count -= np.bincount(i[ahead(pairs.exact(i, j), i, j)], minlength=len(count))
+        return {"id": q["id"], "ahead": count}
 
     q = known.where("best is not null")
     c = rows.withColumn("best", F.lit(None).cast("double")).withColumn("best_id", F.col("id"))

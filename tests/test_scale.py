@@ -213,3 +213,27 @@ def test_nearest_by_tiles_equals_all_pairs(monkeypatch, distance, kind):
         near = sorted((-s[i, j], j) for j in range(150) if s[i, j] > -np.inf and not out(i, j))[:6]
         want += [(i, j, -v) for v, j in near]
     assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9, rtol=1e-12)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e200])
+def test_steps_of_distance_equal_differences(scale):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 1, (60, 8)), np.full((5, 8), 1e3)]) * scale
+    y = np.concatenate([x[:20] + rng.normal(0, 1e-6, (20, 8)) * scale, x[20:40]])
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = np.rint(-ranking.negative_distances({"vec": x}, {"vec": y}) * 1e4).astype(np.int64)
+        assert (ranking.steps(x, y, 1e4) == want).all()
+
+
+def test_ranks_of_first_matches_by_blocks(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (40, 4))[rng.integers(0, 40, 120)]
+    rows = [(i, v.tolist(), ["a", "b", None][i % 3] if i < 110 else f"own {i}", i // 4 if i % 5 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, identity string, image long")
+    s = ranking.similarities({"vec": x}, {"vec": x})
+    for image in (None, "image"):
+        got = {r.id: r["rank"] for r in ranking.first_match_ranks(df, image_col=image).collect()}
+        for i, _, identity, place in rows:
+            order = sorted((-s[i, j], j) for j in range(120) if j != i and not (image and rows[j][3] == place))
+            right = [n + 1 for n, (_, j) in enumerate(order) if rows[j][2] == identity]
+            assert got[i] == (right[0] if right else None)
