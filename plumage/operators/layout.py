@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import colorsys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage import scratch
 from plumage.functions import labels as L
 from plumage.operators import blocks as B
 
@@ -43,19 +46,74 @@ def tiled(points: DataFrame, period: float = 360.0) -> DataFrame:
 
 
 def nearest_before(points: DataFrame, block: int = B.BLOCK) -> DataFrame:
-    """(rank, distance): for ranked points (rank, x, y), distance to the nearest of a smaller rank; blocks of points
-    against blocks, with one row a point and pair of blocks."""
-    rows = points.select("rank", F.array("x", "y").cast("array<double>").alias("vec"))
-
-    def least(q: dict, c: dict):
-        d = ((q["vec"][:, None, :] - c["vec"][None, :, :]) ** 2).sum(axis=2)
-        d[c["rank"][None, :] >= q["rank"][:, None]] = np.inf
-        near = d.min(axis=1)
-        some = np.isfinite(near)
-        return {"rank": q["rank"][some], "distance": np.sqrt(near[some])}
-
-    found = B.compare(rows, rows, least, "rank long, distance double", block, "rank")
-    return found.groupBy("rank").agg(F.min("distance").alias("distance"))
+    """(rank, distance): for ranked points (rank, x, y), distance to the nearest of a smaller rank.
+
+    Of points at one place only the first can be nearest to a later one, which is then at distance 0. Places are sorted into cells of about
+    `block`, strips along y of ranges of x. A place is compared with its own cell, and then with the cells whose bounding box is nearer than
+    what it found there or at the first point of any cell; the table of cells, a row for each, is the only thing that is broadcast."""
+    rows = points.select("rank", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(F.col("rank").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    rows = rows.withColumns({"x": F.col("x") + F.lit(0.0), "y": F.col("y") + F.lit(0.0)})
+    places = scratch.written(rows.groupBy("x", "y").agg(F.min("rank").alias("rank")))
+    later = rows.join(places.withColumnRenamed("rank", "first"), ["x", "y"]).where(F.col("rank") > F.col("first")).select("rank", F.lit(0.0).alias("d"))
+    r = places.agg(F.count("*").alias("n"), *[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()  # one row
+    if not r.n:
+        return later.select("rank", F.col("d").alias("distance"))
+    n_cells = -(-r.n // block)
+    w, h = max(r[2] - r[1], 1e-300), max(r[4] - r[3], 1e-300)
+    strips = int(min(max(round(np.sqrt(n_cells) * np.sqrt(w / h)) if np.isfinite(w / h) else n_cells, 1), n_cells, 1024))
+    cuts = places.stat.approxQuantile("x", [i / strips for i in range(1, strips)], 0.1 / strips) if strips > 1 else []
+    strip = F.lit(0) if not cuts else F.expr(f"aggregate(array({', '.join(map(repr, cuts))}), 0, (n, c) -> n + int(x > c))") if all(map(np.isfinite, cuts)) else F.lit(0)
+    cells = places.withColumn("strip", strip).repartitionByRange(n_cells, "strip", "y").select("rank", "x", "y", F.spark_partition_id().alias("cell"))
+    cells = scratch.written(cells)  # as ranges are drawn from a sample
+    first = F.min(F.struct("rank", "x", "y"))
+    table = cells.groupBy("cell").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), first.alias("f"))
+    table = table.select("cell", "x0", "x1", "y0", "y1", F.col("f.rank").alias("rank"), F.col("f.x").alias("x"), F.col("f.y").alias("y")).toPandas()  # a row for each cell
+    shared = cells.sparkSession.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
+    rank = dict(cells.dtypes)["rank"]
+    lists = "cells array<int>"
+
+    def own(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        c, (rank, x, y) = shared.value, (t.column(n).to_numpy() for n in ("rank", "x", "y"))
+        d = _squares_before(rank, x, y, rank, x, y)
+        d = np.minimum(d, _squares_before(rank, x, y, c["rank"], c["x"], c["y"]))
+        order = np.argsort(d, kind="stable")
+        for i in B.tiles(len(order), 256):  # places of like distances, so that the cells near enough to any of them are few
+            i = order[i]
+            gap = lambda lo, hi, v: np.maximum(0, np.maximum(lo[:, None] - v[None, :], v[None, :] - hi[:, None]))
+            box = lambda a, b, v: np.maximum(0, np.maximum(c[a] - v.max(), v.min() - c[b]))
+            some = np.flatnonzero((box("x0", "x1", x[i]) ** 2 + box("y0", "y1", y[i]) ** 2 <= d[i].max()) & (c["rank"] < rank[i].max()) & (c["cell"] != t.column("cell")[0].as_py()))
+            near = gap(c["x0"][some], c["x1"][some], x[i]) ** 2 + gap(c["y0"][some], c["y1"][some], y[i]) ** 2 < d[i]
+            near &= c["rank"][some][:, None] < rank[i][None, :]
+            yield pa.RecordBatch.from_pydict({"rank": pa.array(rank[i]), "x": pa.array(x[i]), "y": pa.array(y[i]), "d": pa.array(d[i]), "cells": pa.array([c["cell"][some[n]] for n in near.T], pa.list_(pa.int32()))})
+
+    def others(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ask = t.column("ask").to_numpy(zero_copy_only=False)
+        (rank, x, y), (ranks, xs, ys) = ([t.filter(pa.array(side)).column(n).to_numpy() for n in ("rank", "x", "y")] for side in (ask, ~ask))
+        yield pa.RecordBatch.from_pydict({"rank": pa.array(rank), "d": pa.array(_squares_before(rank, x, y, ranks, xs, ys))})
+
+    parts = min(n_cells, B.PARTITIONS)
+    by_cell = lambda df: df.repartition(parts, "cell").sortWithinPartitions("cell")
+    found = scratch.written(by_cell(cells).select("cell", "rank", "x", "y").mapInArrow(B.grouped(1, own), f"rank {rank}, x double, y double, d double, {lists}"))
+    asks = found.select(F.explode("cells").alias("cell"), "rank", "x", "y", F.lit(True).alias("ask"))
+    both = by_cell(asks.union(cells.select("cell", "rank", "x", "y", F.lit(False))))
+    rest = both.mapInArrow(B.grouped(1, others), f"rank {rank}, d double")
+    out = found.select("rank", "d").union(rest).where(F.col("d") < float("inf")).union(later)
+    return out.groupBy("rank").agg(F.sqrt(F.min("d")).alias("distance"))
+
+
+def _squares_before(rank, x, y, ranks, xs, ys) -> np.ndarray:
+    """Squared distance of each point to the nearest of smaller rank among the others, infinite if there is none."""
+    order, by = np.argsort(ranks, kind="stable"), np.argsort(rank, kind="stable")
+    ranks, xs, ys, out = ranks[order], xs[order], ys[order], np.full(len(rank), np.inf)
+    for t in B.tiles(len(by), 256):
+        i = by[t]
+        for j in B.tiles(int(np.searchsorted(ranks, rank[i[-1]], "left")), 4096):
+            d = (x[i][:, None] - xs[j][None, :]) ** 2
+            d += (y[i][:, None] - ys[j][None, :]) ** 2
+            if ranks[j][-1] >= rank[i[0]]:
+                d[ranks[j][None, :] >= rank[i][:, None]] = np.inf
+            out[i] = np.minimum(out[i], d.min(axis=1))
+    return out
 
 
 def palette(n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumage.functions import extractors
-from plumage.operators import blocks, matching, metrics, nets, ranking, sampling, selection
+from plumage.operators import blocks, layout, matching, metrics, nets, ranking, sampling, selection
 from plumage.plans.queries import QUERIES
 
 
@@ -237,3 +237,18 @@ def test_ranks_of_first_matches_by_blocks(spark):
             order = sorted((-s[i, j], j) for j in range(120) if j != i and not (image and rows[j][3] == place))
             right = [n + 1 for n, (_, j) in enumerate(order) if rows[j][2] == identity]
             assert got[i] == (right[0] if right else None)
+
+
+def test_nearest_before_by_cells(spark):
+    rng = np.random.default_rng(11)
+    xy = np.concatenate([rng.uniform(0, 10, (300, 2)), rng.normal(50, 1e-3, (150, 2)), rng.integers(0, 4, (80, 2)) * 1.0, np.stack([np.full(90, 7.0), np.arange(90) * 1e4], axis=1)])
+    ranks = rng.permutation(len(xy)) // 2  # every rank twice
+    pts = spark.createDataFrame([(int(r), float(a), float(b)) for r, (a, b) in zip(ranks, xy, strict=True)], "rank long, x double, y double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    want = {r: d[np.ix_(ranks == r, ranks < r)].min() for r in range(1, ranks.max() + 1)}
+    for block in (16, 2048):
+        got = {r["rank"]: r.distance for r in layout.nearest_before(pts, block).collect()}
+        assert set(got) == set(want) and all(np.isclose(got[r], want[r], rtol=1e-12, atol=0) for r in want)
+    assert layout.nearest_before(pts.limit(0)).count() == 0
+    asked = layout.nearest_before(pts, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_q" not in asked  # no pairs of all blocks
