@@ -11,12 +11,13 @@ which is B(w) for a word v that training has not and for the first word of a doc
 
 Plan: all counts are taken over all training documents by partial and final sums; a pair's key is a 64-bit hash of both
 words. Tasks sum pairs and send them packed, one row for each section of the hash's range (a section holds about
-SECTION_TOKENS pairs at most, so a task can), to where the section's pairs are summed and enter the bits of its buckets:
+SECTION_TOKENS pairs at most, so a task can; SECTIONS of them at least, a power of two from 2^8 on), to where the section's pairs are summed and enter the bits of its buckets:
 BITS_PER_KEY for each level of each pair, and buckets grow in number with the tokens, so the filter grows with the pairs. Only bounded things are broadcast: words more frequent than a
 count that a histogram gives (at most FREQUENT), and the filter up to BROADCAST_BYTES; a larger one stays in buckets over
-the partitions, and probes come to them by a shuffle. Positions with a word outside the broadcast list, or with such a
-filter, are rows (document, pair, times) that get what they lack by shuffle joins on the hash of the word; their part
-of a score is a sum, so it is added afterwards. Both ways give the same scores.
+the partitions, and each chunk of documents sends every section of it its different pairs and rare words, packed, and gets
+levels and counts back. With a broadcast filter, positions with a word outside the broadcast list are rows (document, pair, times)
+that get what they lack by shuffle joins on the hash of the word; their part of a score is a sum, so it is added
+afterwards. Both ways give the same scores. Rows that repeat altogether are scored in one chunk.
 
 Nulls and edge cases: a null or empty text is the end token alone; a null doc_id is not held out and trains; without
 training documents every count is 0; extra columns are ignored; rows that repeat train and are scored each. Words are
@@ -37,11 +38,13 @@ from plumage.llm import common as C
 
 FREQUENT, MU = 1 << 18, 50.0
 BASE, PROBES, BITS_PER_KEY = 1.5, 4, 8
-#: A filter of at most so many bytes is broadcast; probes are shuffled to the buckets of a larger one.
+#: A filter of at most so many bytes is broadcast; chunks of documents ask the buckets of a larger one.
 BROADCAST_BYTES = 1 << 27
 #: Training tokens for each bucket of the filter, and for each section that is summed at once; sections at least.
 BUCKET_TOKENS, SECTION_TOKENS, SECTIONS = 1 << 13, 1 << 22, 1 << 8
 END = np.uint64(0x5BD1E9955BD1E995)
+#: Bytes of the texts that are scored at once where the filter is not broadcast.
+CHUNK_BYTES = 1 << 22
 #: Words, or pairs, that a task counts before it hands on its sums.
 BUFFER, PAIR_BUFFER = 4_000_000, 2_500_000
 
@@ -104,8 +107,21 @@ def _as_rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def pair_codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs, whose upper bits give the bucket."""
-    return C.mix(C.mix(v ^ np.uint64(0xA0761D6478BD642F)) + w)
+    """Hashes of pairs, whose upper bits give the bucket; of 64 bits the lowest eight are 0, so that six bytes and the section give a code."""
+    return C.mix(C.mix(v ^ np.uint64(0xA0761D6478BD642F)) + w) & ~np.uint64(0xFF)
+
+
+def narrow(code: np.ndarray) -> np.ndarray:
+    """The bytes of pair codes without the lowest, which is 0, and the highest, which the section gives: (n, 6)."""
+    return np.ascontiguousarray(code.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, 1:7])
+
+
+def widen(data: bytes, section: int, bits: int) -> np.ndarray:
+    """The pair codes that narrow() took the bytes of; they are of one of 2^bits sections, at least SECTIONS."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 1:7] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out[:, 7] = section >> (bits - 8)
+    return out.view("<u8").ravel()
 
 
 def _pairs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -131,14 +147,19 @@ def bucket_of(code: np.ndarray, bits: int) -> np.ndarray:
     return (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
 
 
+def _cut(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the rows x[cuts[0] : cuts[1]], x[cuts[1] : cuts[2]], ..."""
+    size = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64) * size), pa.py_buffer(x)]).cast(pa.binary())
+
+
 def _packed(bits: int):
     """Sorted codes and counts to one row for each of 2^bits sections: (section, codes, counts), the latter as bytes."""
 
     def pack(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         section = bucket_of(code, bits)
         cuts = np.append(np.flatnonzero(np.append(True, section[1:] != section[:-1])), len(code))
-        of = lambda x: pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(section[cuts[:-1]]), of(code), of(n.astype(np.uint32))], names=["section", "codes", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(section[cuts[:-1]]), _cut(narrow(code), cuts), _cut(n.astype(np.uint32), cuts)], names=["section", "codes", "counts"])
 
     return pack
 
@@ -163,7 +184,7 @@ def bucket_bits(code: np.ndarray, n: np.ndarray, base: float) -> tuple[bytes, in
 
 
 def section_bits(codes: list[bytes], counts: list[bytes], log_buckets: int, base: float) -> pa.RecordBatch:
-    """(bucket, bits, top) of the buckets of a section, from the packed sums of all tasks."""
+    """(bucket, bits, top) of the buckets of a section, from the sums of all tasks."""
     code, at = np.unique(np.frombuffer(b"".join(codes), np.uint64), return_inverse=True)
     n = np.bincount(at, np.frombuffer(b"".join(counts), np.uint32), len(code))
     bucket = bucket_of(code, log_buckets)
@@ -172,7 +193,7 @@ def section_bits(codes: list[bytes], counts: list[bytes], log_buckets: int, base
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(bits, pa.binary()), pa.array(top, pa.int64())], names=["bucket", "bits", "top"])
 
 
-def _fill(log_buckets: int, base: float):
+def _fill(log_sections: int, log_buckets: int, base: float):
     """Arrow batches (section, codes, counts), sorted by section, to (bucket, bits, top)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +204,7 @@ def _fill(log_buckets: int, base: float):
                     yield section_bits(codes, counts, log_buckets, base)
                     codes, counts = [], []
                 now = section
-                codes.append(code)
+                codes.append(widen(code, section, log_sections).tobytes())
                 counts.append(n)
         if codes:
             yield section_bits(codes, counts, log_buckets, base)
@@ -192,7 +213,7 @@ def _fill(log_buckets: int, base: float):
 
 
 class Filter:
-    """The bits of all buckets (or, with `only`, of that one), and what each level stands for."""
+    """The bits of all buckets, or of a section's, and what each level stands for."""
 
     def __init__(self, buckets: list[int], bits: list[bytes], log_buckets: int, base: float, top: int):
         self.log, self.base, self.top = log_buckets, base, top
@@ -205,9 +226,9 @@ class Filter:
 
     def read(self, code: np.ndarray) -> np.ndarray:
         """Quantised counts: probes of level after level until one is missing."""
-        return self.counts[self._levels(code, bucket_of(code, self.log))]
+        return self.counts[self.levels(code, bucket_of(code, self.log))]
 
-    def _levels(self, code: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    def levels(self, code: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         lv = np.zeros(len(code), np.int64)
         left = np.flatnonzero(self.size[bucket])
         for step in range(1, self.top + 1):
@@ -223,18 +244,11 @@ class Filter:
         return lv
 
 
-class OneBucket(Filter):
-    """The bits of one bucket, which holds all codes that are read."""
-
-    def __init__(self, bits: bytes, base: float, top: int):
-        super().__init__([0], [bits], 0, base, top)
-
-
 class Filters:
     """A filter too large to broadcast: the table (bucket, bits) and what is needed to read it."""
 
-    def __init__(self, table: DataFrame, log_buckets: int, base: float, top: int):
-        self.table, self.log, self.base, self.top = table, log_buckets, base, top
+    def __init__(self, table: DataFrame, log_sections: int, log_buckets: int, base: float, top: int):
+        self.table, self.log_sections, self.log, self.base, self.top = table, log_sections, log_buckets, base, top
 
 
 class Model:
@@ -281,14 +295,14 @@ def fit(docs: DataFrame, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES)
     log_sections = log_of(SECTION_TOKENS, SECTIONS)
     log_buckets = max(log_of(BUCKET_TOKENS, 1), log_sections)
     pairs = texts.mapInArrow(_sums(_pairs, PAIR_BUFFER, _packed(log_sections)), "section long, codes binary, counts binary")
-    table = pairs.repartition("section").sortWithinPartitions("section").mapInArrow(_fill(log_buckets, BASE), "bucket long, bits binary, top long")
+    table = pairs.repartition("section").sortWithinPartitions("section").mapInArrow(_fill(log_sections, log_buckets, BASE), "bucket long, bits binary, top long")
     table = C.materialize(table)
     size = table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("bytes"), F.coalesce(F.max("top"), F.lit(0)).alias("top")).first()
     if size.bytes <= broadcast_bytes:
         got = table.select("bucket", "bits").toArrow()  # broadcast_bytes at most
         filter_, filters = Filter(got.column(0).to_pylist(), got.column(1).to_pylist(), log_buckets, BASE, size.top), None
     else:
-        filter_, filters = None, Filters(table, log_buckets, BASE, size.top)
+        filter_, filters = None, Filters(table, log_sections, log_buckets, BASE, size.top)
     return Model(keys, counts, int(total.n), int(total.v), filter_, mu), Words(words, filters)
 
 
@@ -299,8 +313,8 @@ def _sum_by_doc(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(len(first) - 1)
 
 
-#: A position that tasks can't score alone: its pair, and what is known of it (counts of v, w and the pair; else -1).
-_OPEN = "key long, v long, cv long, w long, cw long, pair double, times long"
+#: A position that tasks can't score alone: what is known of it (counts of v and w, else -1, and of the pair).
+_OPEN = "v long, cv long, w long, cw long, pair double, times long"
 
 
 def _scorer(shared):
@@ -321,14 +335,12 @@ def _scorer(shared):
                 before = np.roll(words, 1)
                 v = np.roll(at, 1)
                 key = pair_codes(before, words)
-                count = np.full(len(words), -1.0)
-                if m.filter is not None:
-                    count = m.filter.read(key)
+                count = m.filter.read(key)
                 count[starts] = 0
                 model = np.where(starts, base, 0.0)
-                easy = np.flatnonzero(known & (v >= 0) & ~starts & (count >= 0))
+                easy = np.flatnonzero(known & (v >= 0) & ~starts)
                 model[easy] = np.log10((count[easy] + m.mu * 10 ** base[easy]) / m.whole[v[easy]])
-                left = ~known | (v < 0) & ~starts | (count < 0)
+                left = ~known | (v < 0) & ~starts
                 model[left] = 0
                 left = np.flatnonzero(left)
                 doc = np.repeat(np.arange(j - i), np.diff(first))[left]
@@ -343,7 +355,6 @@ def _scorer(shared):
                 got = there >= 0
                 of = lambda x, i, ok: np.where(ok, x[i] if len(x) else 0, -1)
                 open_ = [
-                    np.where(count[left] < 0, key[left].view(np.int64), 0),
                     np.where(begins | got, 0, before[left].view(np.int64)), np.where(begins, 0, of(m.counts, there, got)),
                     np.where(here >= 0, 0, words[left].view(np.int64)), of(m.counts, here, here >= 0), count[left], times,
                 ]
@@ -362,44 +373,137 @@ def _scorer(shared):
     return run
 
 
-def _probe(base: float, top: int):
-    """Arrow batches (bucket, bits, row, open position), sorted by bucket with its bits first, to the positions with
-    their pair counts."""
+def _section(key: str, log: int):
+    return F.call_function("shiftrightunsigned", F.col(key), F.lit(64 - log))
+
+
+def _chunk_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk's texts, each text's first, and the codes of its pairs (any at a text's first word)."""
+    data, offsets = C.string_bytes(texts.combine_chunks())
+    parts = [tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in C.steps(offsets)]
+    words = np.concatenate([w for w, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+    return words, first, pair_codes(np.roll(words, 1), words)
+
+
+def _inner(first: np.ndarray) -> np.ndarray:
+    """Which positions are no text's first."""
+    out = np.ones(first[-1], bool)
+    out[first[:-1]] = False
+    return out
+
+
+def _ask(shared, log: int):
+    """A chunk of documents to rows (section, chunk, kind, keys): what its score lacks, its different pairs (kind 0) and its different words
+    outside the broadcast list (kind 1), sorted, as bytes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        words, first, code = _chunk_tokens(t.column("text"))
+        rare = np.unique(words[shared.value.lookup(words) < 0])
+        out = []
+        for kind, keys in enumerate((np.unique(code[_inner(first)]), rare)):
+            section = bucket_of(keys, log)
+            cuts = np.append(np.flatnonzero(np.append(len(keys) > 0, section[1:] != section[:-1])), len(keys))
+            n = len(cuts) - 1
+            chunk = pa.array(np.full(n, t.column("chunk")[0].as_py(), np.int64))
+            out.append(pa.RecordBatch.from_arrays([pa.array(section[cuts[:-1]]), chunk, pa.array(np.full(n, kind, np.int32)), _cut(keys if kind else narrow(keys), cuts)], names=["section", "chunk", "kind", "keys"]))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _answer(f: Filters):
+    """Arrow batches of sections, each with its buckets and its words before what is asked of it, to rows (chunk, kind, section, values): the
+    levels of pairs, a byte each, and the counts of words."""
+    log, whole, below, base, top = f.log_sections, f.log, f.log - f.log_sections, f.base, f.top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        now, buckets, bits, words, counts, ready = None, [], [], [], [], None
         for batch in batches:
-            bucket = batch.column(0).to_numpy()
-            is_bits = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            key, pair = (batch.column(name).fill_null(0).to_numpy() for name in ("key", "pair"))  # nulls beside the bits
-            pair = pair.copy()
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i == j:
+            section = batch.column("section").to_numpy()
+            for i in [0, *(np.flatnonzero(section[1:] != section[:-1]) + 1).tolist()] if len(section) else []:
+                own = batch.slice(i, int(np.searchsorted(section, section[i], "right")) - i)
+                if section[i] != now:
+                    now, buckets, bits, words, counts, ready = section[i], [], [], [], [], None
+                kind = own.column("kind").to_numpy()
+                a, b = np.searchsorted(kind, [-1, 0])
+                buckets += own.column("key").slice(0, a).to_pylist()
+                bits += own.column("bits").slice(0, a).to_pylist()
+                words.append(own.column("key").slice(a, b - a).to_numpy(zero_copy_only=False).view(np.uint64))
+                counts.append(own.column("n").slice(a, b - a).to_numpy(zero_copy_only=False))
+                if b == len(own):
                     continue
-                if is_bits[i]:
-                    now, own, i = bucket[i], OneBucket(batch.column(1)[i].as_py(), base, top), i + 1
-                if i < j:
-                    pair[i:j] = own.read(key[i:j].view(np.uint64)) if bucket[i] == now else 0.0  # a bucket without bits has no pairs
-            out = [pa.array(pair) if name == "pair" else batch.column(name) for name in batch.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[2:]).filter(pa.array(~is_bits))
+                if ready is None:
+                    w, n = np.concatenate(words), np.concatenate(counts)
+                    order = np.argsort(w)
+                    first = int(now) << below
+                    ready = Filter([x - first for x in buckets], bits, below, base, top), w[order], n[order]
+                asks, values = own.slice(b), []
+                for k, keys in zip(asks.column("kind").to_pylist(), asks.column("keys").to_pylist(), strict=True):
+                    if k:
+                        x, n = np.frombuffer(keys, np.uint64), 0
+                        if len(ready[1]):
+                            at = np.minimum(np.searchsorted(ready[1], x), len(ready[1]) - 1)
+                            n = np.where(ready[1][at] == x, ready[2][at], 0)
+                        values.append((np.zeros(len(x), np.int64) + n).tobytes())
+                    else:
+                        x = widen(keys, int(now), log)
+                        values.append(ready[0].levels(x, bucket_of(x, whole) & (1 << below) - 1).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([asks.column("chunk"), asks.column("kind"), asks.column("section"), pa.array(values, pa.binary())], names=["chunk", "kind", "section", "values"])
 
     return run
 
 
-def _probed(open_: DataFrame, filters: Filters) -> DataFrame:
-    """Open positions with their pair counts read from the buckets of the filter."""
-    kinds, log = [x.split() for x in f"row long, {_OPEN}".split(", ")], filters.log
-    bucket = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - log)) if log else F.lit(0).cast("long")
-    asks = open_.where("pair < 0").select(bucket.alias("bucket"), F.lit(None).cast("binary").alias("bits"), *[n for n, _ in kinds])
-    have = filters.table.select("bucket", "bits", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
-    both = have.union(asks).repartition("bucket").sortWithinPartitions("bucket", F.col("bits").isNull())
-    read = both.mapInArrow(_probe(filters.base, filters.top), f"row long, {_OPEN}")
-    return C.materialize(read.union(open_.where("pair >= 0")))
+def _score_chunk(shared, top: int, base_: float):
+    """A chunk of documents and the answers to what it asked, to its rows of score()."""
+
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        m: Model = shared.value
+        words, first, code = _chunk_tokens(t.column("text"))
+        answers = answers.sort_by([("kind", "ascending"), ("section", "ascending")])
+        kind, values = answers.column("kind").to_numpy(), answers.column("values").to_pylist()
+        levels, counts = (np.frombuffer(b"".join(v for k, v in zip(kind, values, strict=True) if k == own), dtype) for own, dtype in ((0, np.uint8), (1, np.int64)))
+        at, inner = m.lookup(words), _inner(first)
+        c = m.counts[np.maximum(at, 0)].astype(float) if len(m.counts) else np.zeros(len(words))
+        c[at < 0] = counts[np.unique(words[at < 0], return_inverse=True)[1]]
+        base = np.log10(c + 1.0) - m.log_total
+        model = base.copy()
+        pair = stands(top, base_)[levels[np.unique(code[inner], return_inverse=True)[1]]]
+        model[inner] = np.log10((pair + m.mu * 10 ** base[inner]) / (np.roll(c, 1)[inner] + m.mu))
+        n = len(first) - 1
+        made = [pa.array(np.diff(first)), pa.array(_sum_by_doc((c > 0).astype(np.int64), first)), pa.array(np.full(n, m.n, np.int64)), pa.array(_sum_by_doc(base, first)), pa.array(_sum_by_doc(model, first))]
+        return pa.Table.from_arrays([t.column("doc_id"), t.column("held_out"), *made], names=[x.split()[0] for x in _SCORES.split(", ")])
+
+    return run
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_by_chunks(docs: DataFrame, model: Model, words: Words) -> DataFrame:
+    """score() with a filter that stays in its buckets: documents meet in chunks of about CHUNK_BYTES, a chunk asks each section of the
+    filter and of the words once for all it lacks, sorted, and the answers come back to it in that order. No position is a row."""
+    shared, f = docs.sparkSession.sparkContext.broadcast(model), words.filters
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).first()[0]
+    text = F.coalesce("text", F.lit(""))
+    chunk = F.pmod(F.xxhash64("doc_id", text), F.lit(-(-size // CHUNK_BYTES) or 1)).alias("chunk")
+    docs = docs.select(chunk, F.col("doc_id").cast("long"), "held_out", text.alias("text"))
+    asks = docs.groupBy("chunk").applyInArrow(_ask(shared, f.log_sections), "section long, chunk long, kind int, keys binary")
+    names = {"section": "long", "kind": "int", "key": "long", "bits": "binary", "n": "long", "chunk": "long", "keys": "binary"}
+    row = lambda df, **cols: df.select(*[cols.get(c, F.lit(None)).cast(t).alias(c) for c, t in names.items()])
+    col, whole = F.col, f.log - f.log_sections
+    rows = row(f.table, section=F.shiftright("bucket", whole), kind=F.lit(-2), key=col("bucket"), bits=col("bits"))
+    rows = rows.union(row(words.table, section=_section("key", f.log_sections), kind=F.lit(-1), key=col("key"), n=col("n")))
+    rows = rows.union(row(asks, section=col("section"), kind=col("kind"), chunk=col("chunk"), keys=col("keys")))
+    rows = rows.repartition("section").sortWithinPartitions("section", "kind")
+    answers = rows.mapInArrow(_answer(f), "chunk long, kind int, section long, values binary")
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, f.top, f.base), _SCORES)
 
 
 def score(docs: DataFrame, model: Model, words: Words) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); docs: (doc_id, text, held_out)."""
+    if words.filters is not None:
+        return _score_by_chunks(docs, model, words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     opens = ", ".join(x.replace(" ", ": ") for x in _OPEN.split(", "))
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(
@@ -407,13 +511,11 @@ def score(docs: DataFrame, model: Model, words: Words) -> DataFrame:
     )
     rows = C.materialize(rows)
     open_ = rows.select("row", F.inline("open"))
-    if words.filters is not None:
-        open_ = _probed(open_, words.filters)
     table = words.table
     rest = [c for c in open_.columns if c not in ("v", "cv")]
     of_v = open_.where("cv < 0").join(table.select(F.col("key").alias("v"), "n"), "v", "left").select(*rest, F.coalesce("n", F.lit(0)).alias("cv"))
     open_ = of_v.union(open_.where("cv >= 0").select(*rest, "cv")).withColumn("late", F.col("cw") < 0)
-    rest = [c for c in open_.columns if c not in ("w", "cw", "key")]
+    rest = [c for c in open_.columns if c not in ("w", "cw")]
     of_w = open_.where("cw < 0").join(table.select(F.col("key").alias("w"), "n"), "w", "left").select(*rest, F.coalesce("n", F.lit(0)).alias("cw"))
     open_ = of_w.union(open_.where("cw >= 0").select(*rest, "cw"))
     gain = F.log10(F.col("cw") + F.lit(1.0))

@@ -80,3 +80,30 @@ def test_all_pairs_count_and_a_shuffled_filter_scores_alike(spark, monkeypatch):
     assert np.mean(exact) > 0.2
     seen, unseen = (lm.score(df.sparkSession.createDataFrame([(1, t, True)], df.schema), *fits[0]).first().score for t in ("w5 w6 w7", "w7 w5 w6 w5"))
     assert seen > unseen + 1
+
+
+def test_a_shuffled_filter_makes_no_row_of_a_position(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 300, n)) for n in rng.integers(0, 60, 300)] + [None, "", "unseen", "w1 " * 3000]
+    rows = [(i if i else None, t, i % 5 == 0) for i, t in enumerate(texts)] + [(7, texts[7], False)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    train = df.where("not held_out")
+    want = lm.score(df, *lm.fit(train))
+    for size in (1 << 9, lm.CHUNK_BYTES):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", size, raising=False)
+        got = lm.score(df, *lm.fit(train, broadcast_bytes=0))
+        assert "Generate" not in got._jdf.queryExecution().toString() and got.dtypes == want.dtypes
+        key = lambda r: (r.doc_id or -1, r.held_out, r.n_tokens)
+        a, b = (sorted(df.collect(), key=key) for df in (got, want))
+        assert [r[:5] for r in a] == [r[:5] for r in b] and len(a) == len(rows)
+        assert np.allclose([r[5:] for r in a], [r[5:] for r in b], rtol=1e-9, atol=1e-9)
+
+
+def test_codes_fit_six_bytes_and_a_section():
+    code = np.sort(lm.pair_codes(np.arange(5000, dtype=np.uint64), np.arange(5000, dtype=np.uint64)[::-1]))
+    for bits in (8, 11):
+        section = lm.bucket_of(code, bits)
+        for s in np.unique(section):
+            own = code[section == s]
+            assert (lm.widen(lm.narrow(own).tobytes(), int(s), bits) == own).all()
