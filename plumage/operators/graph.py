@@ -7,16 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage import scratch
+from plumage import files, scratch
 from plumage.functions import vec as V
 from plumage.operators import encode as E
 from plumage.operators import ranking as R
 
 #: dense_eigenvectors(), a reference for tests, takes graphs of up to so many nodes (a dense matrix of 8 bytes squared).
 DENSE_NODES = 4000
-#: Vectors of a block beside the wanted ones, and in all, at least (the wider a block, the fewer turns; the columns multiplied stay about
-#: as many); columns of a basis before it is cut; norm of L v - value * v to reach.
-GUARD, BLOCK, BASIS, TOLERANCE = 10, 64, 1024, 1e-8
+#: Vectors of a block beside the wanted ones; norm of L v - value * v to reach.
+GUARD, TOLERANCE = 10, 1e-8
+#: Vectors of a block, and columns of a basis before it is cut, where the graph is small: wide blocks take fewer turns, whose cost is then
+#: that of starting jobs. Larger graphs get as many as keep to so many numbers, but not fewer than GUARD and four blocks ask for.
+BLOCK, BASIS, BLOCK_CELLS, BASIS_CELLS = 64, 1024, 1 << 20, 1 << 24
 
 
 def knn_edges(df: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -65,15 +67,21 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
     lap = scratch.written(lap.select("i", "j", "value"))
     nodes = scratch.written(lap.select(F.col("i").alias("node")).distinct())
     size = nodes.count()
-    n, width = min(n, size), min(size, max(n + GUARD, BLOCK))
+    n, wide = min(n, size), max(size, 1)
+    width = min(size, max(n + GUARD, min(BLOCK, BLOCK_CELLS // wide)))
+    most = max(4 * width, min(BASIS, BASIS_CELLS // wide))
     first = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("w"))
     if not size:
         return first.select("node", F.col("w").alias("vec"), F.array().cast("array<double>").alias("eigenvalues"))
-    make, _, r = _new_part(scratch.written(first), 0, width)
+    spark, path = lap.sparkSession, scratch.place(lap.sparkSession)
+    both = scratch.written(first, path)
+    make, _, r = _new_part(both, 0, width)
     basis, t, k, block, rest = make(None), np.zeros((0, 0)), len(r), len(r), np.array([np.inf])
     for _ in range(turns):
-        last = basis.select("node", F.slice("q", k - block + 1, block).alias("vec"))
-        both = scratch.written(basis.join(_combined([(lap, last, 1.0)], "w", block), "node"))
+        last, before = basis.select("node", F.slice("q", k - block + 1, block).alias("vec")), path
+        path = scratch.place(spark)
+        both = scratch.written(basis.join(_combined([(lap, last, 1.0)], "w", block), "node"), path)
+        files.remove(spark, before)  # the basis was made of it
         make, c, r = _new_part(both, k, block)
         t = np.pad(t, ((0, k - len(t)), (0, k - len(t))))
         t[:, k - block :] = c
@@ -82,8 +90,8 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
         rest = np.linalg.norm(r @ y[k - block :, :n], axis=0)
         if not len(r) or (len(values) >= n and rest.max() <= TOLERANCE / 2):
             break
-        if k + len(r) > max(BASIS, 4 * width):  # a restart from the best vectors
-            keep = min(k, max(n + width, BASIS // 2))
+        if k + len(r) > most:  # a restart from the best vectors
+            keep = min(k, max(n + width, most // 2))
             basis, t, k = make(y[:, :keep]), np.diag(values[:keep]), keep + len(r)
         else:
             basis, k = make(None), k + len(r)
@@ -91,7 +99,8 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
     else:
         raise RuntimeError(f"no convergence in {turns} products: a residual norm of {rest.max():.1e} is left")
     n = min(n, len(values))
-    found = scratch.written(_times(basis, "q", y[:, :n]))
+    found = scratch.written(_times(both, "q", y[:, :n]))
+    files.remove(spark, path)
     both = found.join(_combined([(lap, found, 1.0)], "lv", n), "node")
     left = np.sqrt(E.total(both, ["vec", "lv"], lambda v, lv: ((lv - v * values[:n]) ** 2).sum(axis=0), n)).max()
     if left > 10 * TOLERANCE:
@@ -104,7 +113,7 @@ def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame
 
 def _new_part(both: DataFrame, k: int, block: int):
     """For (node, q of k orthonormal columns, w of `block` columns): c and r such that w = q c + new r with orthonormal columns `new`, at
-    right angles to q, and a function that writes the basis [q turned by its argument, if any | new]. Both parts of w are
+    right angles to q, and a function that makes the basis [q turned by its argument, if any | new] of that table. Both parts of w are
     taken twice, the second time at unit length; directions of w that hold nothing new are left out."""
     names = ["q", "w"] if k else ["w"]
 
@@ -138,7 +147,7 @@ def _new_part(both: DataFrame, k: int, block: int):
                     out = [x for x in (q if turn is None or q is None else q @ turn, new(q, w, steps)) if x is not None]
                     yield pa.RecordBatch.from_arrays([b.column(0), E.lists(np.hstack(out))], names=["node", "q"])
 
-        return scratch.written(both.select("node", *names).mapInArrow(run, f"node {dict(both.dtypes)['node']}, q array<double>"))
+        return both.select("node", *names).mapInArrow(run, f"node {dict(both.dtypes)['node']}, q array<double>")
 
     return make, c, r
 

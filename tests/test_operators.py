@@ -214,6 +214,19 @@ def test_eigenvectors_of_the_spark_path_have_signs_and_tell_if_not_converged(spa
         graph.smallest_eigenvectors(lap, 4, turns=0)
 
 
+def test_eigenvectors_leave_no_basis_behind_and_narrow_blocks_find_the_same(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 3).tolist()) for i in range(400)], "id long, vec array<double>")
+    lap = graph.laplacian(graph.knn_edges(df, 6)).cache()
+    _, values, want = graph.dense_eigenvectors(lap, 4)
+    monkeypatch.setattr(graph, "BLOCK_CELLS", 1, raising=False)  # blocks of 14, a basis of 56, so it is cut
+    monkeypatch.setattr(graph, "BASIS_CELLS", 1, raising=False)
+    monkeypatch.setattr(graph.scratch, "folder", lambda spark: f"file://{tmp_path}")
+    rows = graph.smallest_eigenvectors(lap, 4).orderBy("node").collect()
+    assert np.allclose(rows[0].eigenvalues, values, atol=1e-8) and np.allclose([r.vec for r in rows], want, atol=1e-5)
+    assert len(list(tmp_path.iterdir())) <= 3  # the matrix, its nodes, the result: before, two tables a turn more
+
+
 def test_sampling_and_layout(spark):
     df = spark.range(1000)
     assert sampling.exact_sample(df, 10, "id").count() == 10 and sampling.exact_sample(df, 5000, "id").count() == 1000
