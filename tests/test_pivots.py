@@ -32,3 +32,13 @@ def test_pivots_few_or_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vec array<double>")
     assert rows(pivots.top_k(df, df, 3)) == [(1, 1, 2, 0.0), (2, 1, 1, 0.0)]
     assert rows(pivots.top_k(df, df.limit(0), 3)) == [] and rows(pivots.top_k(df.limit(0), df, 3)) == []
+
+
+def test_a_visitor_travels_once_to_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(900, 16)).tolist())], "id long, vec array<double>")
+    sent, grouped = spark.sparkContext.accumulator(0), pivots.B.grouped
+    want = rows(ranking.top_k(df, df, 6))
+    monkeypatch.setattr(pivots.B, "grouped", lambda keys, fn: grouped(keys, lambda t: (sent.add(t.num_rows), fn(t))[1]))
+    assert [r[:3] for r in rows(pivots.top_k(df, df, 6, block=128, cell=16))] == [r[:3] for r in want]
+    assert sent.value < 20_000, sent.value  # one copy a cell would be 900 * 57
