@@ -213,10 +213,11 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _members(lines: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(g, id, at) of the kinds that share a key with another one, and (id, p, doc, th, pos) of those kinds: p orders
-    them by preference, the rest is where the kind stands first."""
+    them by preference, the rest is where the kind stands first. A kind is once under a key, by its first place."""
     rows = lines.select("ha", "hb", F.posexplode("keys").alias("at", "g")).where("g is not null")
     shared = C.materialize(rows.groupBy("g").agg(F.min("ha").alias("a"), F.max("ha").alias("b")).where("a <> b").select("g"))
-    rows = C.materialize(rows.join(_small(shared), "g").select("g", "ha", "hb", "at").distinct())
+    # a line that repeats itself meets a key at several places: keys of a class tell them apart only as its own, the first ones, or not
+    rows = C.materialize(rows.join(_small(shared), "g").groupBy("g", "ha", "hb").agg(F.min("at").alias("at")))
     wanted = rows.select("ha", "hb").distinct().join(kinds, ["ha", "hb"])
     wanted = C.materialize(wanted.select(
         F.monotonically_increasing_id().alias("id"), "ha", "hb", F.struct((-F.col("times")).alias("times"), "first").alias("p"), "first.*"

@@ -134,3 +134,15 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id or 0, r.line, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()), key=lambda r: r[:2])
     assert got == [(0, "a", long, 1, 0), (1, "a", None, 0, 0), (2, "a", "", 1, 0), (3, "a", "", 2, 2), (3, "b", "", 2, 2), (4, "a", rows[5][1], 2, 0), (5, "a", "", 1, 1)]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_a_line_that_repeats_itself_is_once_under_a_key(spark):
+    texts = ["la " * 40 + end for end in ("one", "two", "three", "four")] + ["ab" * 30 + end for end in ("x", "yz", "")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.with_class(line_dedup._documents(docs).select("doc", "th", F.lit(0).alias("pos"), F.col("text").alias("line")))
+    lines = lines.select("doc", "th", "pos", F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(1), "line").alias("hb"), line_dedup._all_keys().alias("keys")).localCheckpoint()
+    kinds = lines.groupBy("ha", "hb").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("times"))
+    members = line_dedup._members(lines, kinds)[0].select("g", "id")
+    assert members.count() == members.distinct().count() > 0
+    kept = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.text}
+    assert kept == {0, 4}
