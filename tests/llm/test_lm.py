@@ -90,10 +90,13 @@ def test_a_shuffled_filter_makes_no_row_of_a_position(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
     train = df.where("not held_out")
     want = lm.score(df, *lm.fit(train))
-    for size in (1 << 9, lm.CHUNK_BYTES):
+    plans, materialize = [], lm.C.materialize
+    monkeypatch.setattr(lm.C, "materialize", lambda df: (plans.append(df._jdf.queryExecution().toString()), materialize(df))[1])
+    for size in (1 << 9, 1 << 22):
         monkeypatch.setattr(lm, "CHUNK_BYTES", size, raising=False)
         got = lm.score(df, *lm.fit(train, broadcast_bytes=0))
-        assert "Generate" not in got._jdf.queryExecution().toString() and got.dtypes == want.dtypes
+        plans.append(got._jdf.queryExecution().toString())
+        assert not any("Generate" in p for p in plans) and got.dtypes == want.dtypes
         key = lambda r: (r.doc_id or -1, r.held_out, r.n_tokens)
         a, b = (sorted(df.collect(), key=key) for df in (got, want))
         assert [r[:5] for r in a] == [r[:5] for r in b] and len(a) == len(rows)
