@@ -113,7 +113,8 @@ def _signature_batches(k: int, permutations: int, rows: int):
 
 def signatures(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): size and 128-bit digest of each shingle set, and its band keys."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return C.map_arrow(
+        docs.select(F.col("doc_id").cast("long"), "text"),
         _signature_batches(k, permutations, rows),
         "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>",
     )
@@ -185,7 +186,7 @@ def _with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _compare(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links within each (cluster, block) of rows (cluster, block, doc_id, comp, text)."""
     dealt = rows.select("cluster", "block", "doc_id", "comp", "text").repartition("cluster", "block")
-    return dealt.sortWithinPartitions("cluster", "block", "doc_id").mapInArrow(_block_links(k, num, den), "u long, v long")
+    return C.map_arrow(dealt.sortWithinPartitions("cluster", "block", "doc_id"), _block_links(k, num, den), "u long, v long")
 
 
 def near_duplicates(

@@ -168,13 +168,16 @@ def plan(hist: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarra
     return out, left
 
 
+def _table(rows: list[tuple], **columns: pa.DataType) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(columns, row, strict=True)) for row in rows], pa.schema(list(columns.items())))
+
+
 def measure(docs: DataFrame, json: str, end_id: int = 0) -> DataFrame:
     """(doc_id, n, windows, rest, powers): tokens of each document with the end token, and CRC-32 of its full windows,
     of its remainder and of the powers of two that this is cut into if no combination takes it."""
     shared = docs.sparkSession.sparkContext.broadcast(json)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _measure(shared, end_id), "doc_id long, n long, windows array<long>, rest long, powers array<long>"
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return C.map_arrow(texts, _measure(shared, end_id), "doc_id long, n long, windows array<long>, rest long, powers array<long>")
 
 
 def pack(docs: DataFrame, json: str, end_id: int = 0) -> DataFrame:
@@ -225,8 +228,9 @@ def pack(docs: DataFrame, json: str, end_id: int = 0) -> DataFrame:
         "*", (F.col("c0") + F.row_number().over(inside) - 1).alias("rank"),
         (F.col("w0") + F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("w"),
     )
-    of_length = spark.createDataFrame(lengths, "r int, window_base long, taken long, bases array<long>")
-    spans = spark.createDataFrame(intervals, "r int, low long, high long, base long, at long")
+    # as Arrow tables: lists would go through Python workers of another kind, which stay beside those of the texts
+    of_length = spark.createDataFrame(_table(lengths, r=pa.int32(), window_base=pa.int64(), taken=pa.int64(), bases=pa.list_(pa.int64())))
+    spans = spark.createDataFrame(_table(intervals, r=pa.int32(), low=pa.int64(), high=pa.int64(), base=pa.int64(), at=pa.int64()))
     placed = ranked.join(F.broadcast(of_length), "r").alias("a").join(
         F.broadcast(spans).alias("b"), F.expr("a.r = b.r and a.rank >= b.low and a.rank < b.high"), "left"
     ).select("a.*", "b.low", "b.base", "b.at")

@@ -161,7 +161,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[Scorer, dict[int, float], float, np.ndarray]:
     """The scorer, the posterior of each vote pattern, the prior and the labellers' chances."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = texts.select("text").mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    counted = C.map_arrow(texts.select("text"), _votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     if not len(counted):
         return Scorer(0.0), {}, 0.5, np.zeros((2, len(LABELLERS), 3))
     codes, n = (counted.column(c).to_numpy() for c in ("pattern", "n"))
@@ -169,9 +169,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tup
     p, chance, prior = expectation_maximisation(codes[order], n[order])
     posterior = dict(zip(codes[order].tolist(), p.tolist(), strict=True))
     chosen = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = C.bounded_sample(texts, chosen, size).select("doc_id", "text").mapInArrow(
-        _features, "doc_id long, pattern long, words array<int>, shapes array<int>"
-    ).toArrow()
+    taken = C.bounded_sample(texts, chosen, size).select("doc_id", "text")
+    got = C.map_arrow(taken, _features, "doc_id long, pattern long, words array<int>, shapes array<int>").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     lists = [got.column(c).combine_chunks() for c in ("words", "shapes")]
     flat, offsets = [x.values.to_numpy() for x in lists], lists[0].offsets.to_numpy() if len(got) else [0]
@@ -201,9 +200,8 @@ def score(docs: DataFrame, fitted, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, weak_label, score, kept), one row per row of docs: posterior of good by the labellers, the scorer's
     probability of good, and whether that reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted[:3])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _scorer(shared, threshold), "doc_id long, weak_label double, score double, kept boolean"
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return C.map_arrow(texts, _scorer(shared, threshold), "doc_id long, weak_label double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,7 +214,7 @@ def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             keep = [b.column("kept").to_numpy(zero_copy_only=False) for b in _scorer(shared, threshold)(iter([two]))]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_arrow(docs, run, docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

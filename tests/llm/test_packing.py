@@ -74,3 +74,10 @@ def test_same_ids_as_tokenizers():
         assert tokens.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
     for text in ("a" * 300_000, " " * 300_000, "\n" * 100_000 + "x", " <|endoftext|>x", "ab " * 100_000):
         assert tokens.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_needs_no_python_rows(spark):
+    """The tables of lengths and intervals reach Spark without Python workers of their own."""
+    df = spark.createDataFrame([(i, "word " * i) for i in range(300)], "doc_id long, text string")
+    out = packing.pack(df, packing.read_json())
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()

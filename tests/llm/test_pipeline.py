@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from plumage.llm import common
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -58,3 +60,48 @@ def test_stages_on_odd_tables(spark, tmp_path):
             assert ids.count(3) == 3 and 33 not in ids  # a copy of a document loses every line
         if name == "MinHash near-dedup":
             assert ids.count(3) == 3 and 33 not in ids and {4, 32, 34, None} <= set(ids)
+
+
+def test_texts_travel_in_small_batches(spark, monkeypatch):
+    """No stage gets its texts in Arrow batches of the default 64 MB; the row that reaches the limit still arrives whole."""
+    from plumage.llm import minhash, packing, quality, toxicity
+
+    MOST = common.BATCH_BYTES + 10_000_000
+
+    def flags(name):
+        def make(*_):
+            def run(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b.nbytes > MOST] * len(b))], names=["doc_id", name])
+
+            return run
+
+        return make
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                n, none = pa.array([b.nbytes] * len(b), pa.int64()), pa.nulls(len(b), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), n, none, n, none], names=["doc_id", "n", "windows", "rest", "powers"])
+
+        return run
+
+    def signatures(*_):
+        def run(batches):
+            for b in sizes()(batches):
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 1, 1, 2)], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+
+        return run
+
+    text = "case when id = 7 then repeat('x', 9000000) else repeat('a b ', 2500) end"
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", f"{text} as text", "'en' as lang")
+    for module, name in ((toxicity, "toxic"), (quality, "kept")):
+        monkeypatch.setattr(module, "fit", lambda *_: (None, {None: 0.5}, 0.5))
+        monkeypatch.setattr(module, "_scorer", flags(name))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: (None, {None: 0.5}))
+    monkeypatch.setattr(packing, "_measure", sizes)
+    monkeypatch.setattr(minhash, "_signature_batches", signatures)
+    assert toxicity.drop_toxic(docs, None).count() == 2500
+    assert quality.keep_good(docs).count() == 0
+    assert packing.measure(docs, "").where(f"n <= {MOST}").count() == 2500
+    assert minhash.signatures(docs, 5).where(f"n_shingles <= {MOST}").count() == 2500
