@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -80,23 +81,24 @@ def patch_rows(crops: DataFrame, name: str, batch: int = 32) -> DataFrame:
     return crops.mapInPandas(run, PATCHES)
 
 
-def patch_mask(pixels: DataFrame, patch: int = 16, threshold: float = 0.25, order: str | None = None) -> DataFrame:
+def patch_mask(pixels: DataFrame, patch: int = 16, threshold: float = 0.25, order: str | None = None, exact: bool = False) -> DataFrame:
     """(id, row, col, valid) from pixels (id, y, x, value): a patch is valid if its mean exceeds the threshold.
 
     A sum of doubles depends on the order of its terms. Given `order`, a patch whose mean is so near the threshold that this may decide
-    is added up term by term in the order of that column; a task holds a running sum, so patches of any size will do."""
+    is added up term by term in the order of that column; `exact`: it is added up without error and rounded once, which is the same in
+    every order. A task holds a running sum, so patches of any size will do."""
     cell = lambda c: F.floor(F.col(c) / patch).cast("int")
     rows = pixels.withColumns({"row": cell("y"), "col": cell("x")})
     by, mean, limit = ["id", "row", "col"], F.avg("value"), F.lit(float(threshold))
-    if order is None:
+    if order is None and not exact:
         return rows.groupBy(*by).agg((mean > threshold).alias("valid"))
     n, size = F.count("value"), F.sum(F.abs("value"))
     close = F.abs(F.sum("value") - limit * n) <= n * (size + F.abs(limit) * n) * F.lit(2.0**-51)  # also where the bound itself is rounded
     found = rows.groupBy(*by).agg((mean > threshold).alias("valid"), F.coalesce(close & (size < float("inf")), F.lit(False)).alias("close"))
     found = scratch.written(found)
     near = found.where("close").select(*[F.col(c).alias(f"_{c}") for c in by])
-    again = rows.where("value is not null").join(near, F.expr("id <=> _id and row <=> _row and col <=> _col"), "left_semi").select(*by, "value", F.col(order).alias("o"))
-    again = again.repartition(*by).sortWithinPartitions(*by, "o").select(*by, "value").mapInArrow(_running_means(threshold), _schema(rows, by))
+    again = rows.where("value is not null").join(near, F.expr("id <=> _id and row <=> _row and col <=> _col"), "left_semi").select(*by, "value", F.lit(0).alias("o") if exact else F.col(order).alias("o"))
+    again = again.repartition(*by).sortWithinPartitions(*by, "o").select(*by, "value").mapInArrow(_running_means(threshold, exact), _schema(rows, by))
     return found.where("not close").drop("close").unionByName(again)
 
 
@@ -104,19 +106,20 @@ def _schema(df: DataFrame, by: list[str]) -> str:
     return ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in by] + ["valid boolean"])
 
 
-def _running_means(threshold: float) -> Callable:
-    """Batches (keys..., value), sorted by keys, to (keys..., valid): values of a key are added one after the other."""
+def _running_means(threshold: float, exact: bool = False) -> Callable:
+    """Batches (keys..., value), sorted by keys, to (keys..., valid): values of a key are added one after the other, as fractions if exact."""
+    number = Fraction if exact else float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, key, total, n = None, None, 0.0, 0
-        close = lambda: pa.RecordBatch.from_arrays([*head.columns[:-1], pa.array([total / n > threshold])], names=[*head.schema.names[:-1], "valid"])
+        head, key, total, n = None, None, number(0), 0
+        close = lambda: pa.RecordBatch.from_arrays([*head.columns[:-1], pa.array([float(total) / n > threshold])], names=[*head.schema.names[:-1], "valid"])
         for batch in batches:
             for i, (*k, value) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if k != key:
                     if n:
                         yield close()
-                    head, key, total, n = batch.slice(i, 1), k, 0.0, 0
-                total, n = total + value, n + 1
+                    head, key, total, n = batch.slice(i, 1), k, number(0), 0
+                total, n = total + number(value), n + 1
         if n:
             yield close()
 

@@ -106,8 +106,8 @@ def visible_points(spark, sf_dir):
 
 @query("""select user_id as id, cast(floor(event_id % 64 / 16) as int) as row, cast(floor(event_id % 48 / 16) as int) as col, avg(value) > 50 as valid from events group by all""")
 def pixel_masks(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 64).alias("y"), (F.col("event_id") % 48).alias("x"), "value", "event_id")
-    return extractors.patch_mask(e, 16, 50.0, "event_id")
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 64).alias("y"), (F.col("event_id") % 48).alias("x"), "value")
+    return extractors.patch_mask(e, 16, 50.0, exact=True)
 
 
 @query("select distinct source || '/' || lang as path from documents order by path")

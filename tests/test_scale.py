@@ -1,5 +1,9 @@
 """Operators that must not depend on the size of a group: selection, samples, joins of boxes, matching."""
 
+import functools
+import itertools
+import math
+import operator
 import random
 
 import numpy as np
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumage.functions import extractors
 from plumage.operators import blocks, layout, matching, metrics, nets, ranking, sampling, selection
+from plumage.plans import more
 from plumage.plans.queries import QUERIES
 
 
@@ -189,6 +194,16 @@ def test_means_at_the_threshold_are_added_in_order(spark):
         assert got == {"up": (0.1 + 0.2 + 0.3) / 3 > 0.2, "down": (0.3 + 0.2 + 0.1) / 3 > 0.2, "far": True, "odd": True} and got["up"] and not got["down"]
 
 
+def test_pixel_masks_depend_on_no_order_of_the_events(spark, tmp_path):
+    values = (16.12, 101.69, 91.65, 30.61, 9.93)  # their mean is 50; in some orders doubles add up to more
+    orders = [*itertools.permutations(values)]
+    assert len({functools.reduce(operator.add, v) / 5 > 50 for v in orders}) == 2
+    rows = [(64 * 3 * (5 * u + i), u, v) for u, vs in enumerate(orders) for i, v in enumerate(vs)] + [(1, 500, 50.0), (193, 500, 50.00000000000001), (1, 501, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: r.valid for r in more.pixel_masks(spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(range(len(orders)), False), 500: math.fsum([50.0, 50.00000000000001]) / 2 > 50, 501: None}
+
+
 @pytest.mark.parametrize("distance", [False, True])
 @pytest.mark.parametrize("kind", ["plain", "copies", "odd", "huge", "tiny"])
 def test_nearest_by_tiles_equals_all_pairs(monkeypatch, distance, kind):
