@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumage import files, scratch
 from plumage.functions import vec as V
 from plumage.operators import encode as E
 from plumage.operators import ranking as R
+from plumage.operators.blocks import grouped
 
 #: dense_eigenvectors(), a reference for tests, takes graphs of up to so many nodes (a dense matrix of 8 bytes squared).
 DENSE_NODES = 4000
 #: Vectors of a block beside the wanted ones; norm of L v - value * v to reach.
 GUARD, TOLERANCE = 10, 1e-8
-#: Vectors of a block, and columns of a basis before it is cut, where the graph is small: wide blocks take fewer turns, whose cost is then
-#: that of starting jobs. Larger graphs get as many as keep to so many numbers, but not fewer than GUARD and four blocks ask for.
-BLOCK, BASIS, BLOCK_CELLS, BASIS_CELLS = 64, 1024, 1 << 20, 1 << 24
+#: Vectors of a block where the graph is small: wide blocks take fewer products, whose cost is then that of starting stages. Larger graphs
+#: get as many as keep to so many numbers, but not fewer than GUARD asks for.
+BLOCK, BLOCK_CELLS = 64, 1 << 18
+#: Entries of a part of the matrix, about; parts at least; products of a block's first and of any round at most.
+PART_ENTRIES, PARTS, FIRST_DEGREE, DEGREE = 1 << 17, 4, 14, 32
 
 
 def knn_edges(df: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -32,7 +37,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
-    """(i, j, value) of D^-1/2 (D - A) D^-1/2; degrees are at least 1e-10 within the root."""
+    """(i, j, value) of D^-1/2 (D - A) D^-1/2; degrees are at least 1e-10 within the root. The edges, which may be dear, are asked for once."""
+    edges = scratch.written(edges.select("src", "dst"))
     d = degrees(edges).select("node", "degree", (1 / F.sqrt(F.greatest(F.col("degree").cast("double"), F.lit(1e-10)))).alias("r"))
     off = edges.where("src <> dst").join(d.toDF("src", "ds", "rs"), "src").join(d.toDF("dst", "dd", "rd"), "dst")
     off = off.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("rs") * F.col("rd")).alias("value"))
@@ -54,121 +60,189 @@ def dense_eigenvectors(lap: DataFrame, n: int) -> tuple[list, np.ndarray, np.nda
     return ids, values[:n], vectors
 
 
-def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 300) -> DataFrame:
+def smallest_eigenvectors(lap: DataFrame, n: int, turns: int = 1000) -> DataFrame:
     """(node, vec, eigenvalues): the eigenvectors of the n smallest eigenvalues in rising order; signs are fixed so that the
     largest component is positive (among equal ones, at nine decimals, that of the smallest node). Equal eigenvalues leave
     their vectors free up to rotation.
 
-    Block Lanczos at every size: each turn multiplies a block of vectors by L, one join and one sum, and takes from the
-    product what is new against the whole basis, twice, by sums of fixed size. A pair has converged when what L adds to it outside the
-    basis is at most TOLERANCE; a basis that gets too wide is cut to its best vectors and goes on from there. Blocks
-    are no narrower than n, so that equal eigenvalues are all found. At the end L v - value * v is worked out
-    and checked. Raises if `turns` products were not enough. Nothing that grows with the graph leaves Spark."""
-    lap = scratch.written(lap.select("i", "j", "value"))
-    nodes = scratch.written(lap.select(F.col("i").alias("node")).distinct())
-    size = nodes.count()
-    n, wide = min(n, size), max(size, 1)
-    width = min(size, max(n + GUARD, min(BLOCK, BLOCK_CELLS // wide)))
-    most = max(4 * width, min(BASIS, BASIS_CELLS // wide))
-    first = nodes.select("node", F.array(*[F.xxhash64("node", F.lit(i)) / F.lit(2.0**63) for i in range(width)]).alias("w"))
+    Filtered subspaces at every size: rounds apply a Chebyshev polynomial of L to a block of vectors, which damps all that lies above the
+    block's largest value so far, and take the best vectors of what comes out by sums of fixed size. Nodes are dealt to parts by a hash; a
+    part holds its rows of the block and the columns of L that they meet, and sends each other part its share of a product, so that a
+    product is one shuffle and the products of a round are the stages of one job. Blocks are no narrower than n, so that equal eigenvalues
+    are all found. At the end L v - value * v is worked out and checked. Raises if `turns` products were not enough. Nothing that
+    grows with the graph leaves Spark."""
+    spark, old = lap.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        old.append(scratch.place(spark))
+        return scratch.written(df, old[-1])
+
+    lap = kept(lap.select("i", "j", "value"))
+    parts = max(PARTS, -(-lap.count() // PART_ENTRIES))
+    place = lap.groupBy(F.col("i").alias("node")).agg(F.sqrt(F.greatest(F.count_if(F.col("i") != F.col("j")), F.lit(1))).alias("u"))
+    place = place.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+    place = kept(place.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1))
+    size = place.count()
+    n, width = min(n, size), min(size, max(n + GUARD, min(BLOCK, BLOCK_CELLS // max(size, 1))))
     if not size:
-        return first.select("node", F.col("w").alias("vec"), F.array().cast("array<double>").alias("eigenvalues"))
-    spark, path = lap.sparkSession, scratch.place(lap.sparkSession)
-    both = scratch.written(first, path)
-    make, _, r = _new_part(both, 0, width)
-    basis, t, k, block, rest = make(None), np.zeros((0, 0)), len(r), len(r), np.array([np.inf])
-    for _ in range(turns):
-        last, before = basis.select("node", F.slice("q", k - block + 1, block).alias("vec")), path
-        path = scratch.place(spark)
-        both = scratch.written(basis.join(_combined([(lap, last, 1.0)], "w", block), "node"), path)
-        files.remove(spark, before)  # the basis was made of it
-        make, c, r = _new_part(both, k, block)
-        t = np.pad(t, ((0, k - len(t)), (0, k - len(t))))
-        t[:, k - block :] = c
-        t[k - block :] = c.T
-        values, y = np.linalg.eigh((t + t.T) / 2)
-        rest = np.linalg.norm(r @ y[k - block :, :n], axis=0)
-        if not len(r) or (len(values) >= n and rest.max() <= TOLERANCE / 2):
-            break
-        if k + len(r) > most:  # a restart from the best vectors
-            keep = min(k, max(n + width, most // 2))
-            basis, t, k = make(y[:, :keep]), np.diag(values[:keep]), keep + len(r)
-        else:
-            basis, k = make(None), k + len(r)
-        block = len(r)
+        return place.select("node", F.array().cast("array<double>").alias("vec"), F.array().cast("array<double>").alias("eigenvalues"))
+    block, high = _matrix_parts(lap, place, parts, kept)
+    above, degree, turn, used, left = high / 5, FIRST_DEGREE if width < size else 0, None, 0, np.inf
+    while used < turns:
+        used += degree + 1
+        block = kept(_filtered(block, parts, width, degree, above, high, turn, used))
+        for path in old[:-1][2:]:  # what the round was made of; the matrix and the places of its nodes stay until the end
+            files.remove(spark, path)
+            old.remove(path)
+        gram = np.sum([r.gram for r in block.orderBy("part").select("gram").collect()], axis=0).reshape(3, width, width)
+        values, turn, left = _best(*gram)
+        if len(values) >= n and left[:n].max() <= 1e-6:  # by differences of squares, which tell no more
+            left = np.sqrt(_residuals(block, turn[:, :n], values[:n]))
+            if left.max() <= TOLERANCE:
+                break
+        above, degree = _next(values, left, n, above, high)
     else:
-        raise RuntimeError(f"no convergence in {turns} products: a residual norm of {rest.max():.1e} is left")
-    n = min(n, len(values))
-    found = scratch.written(_times(both, "q", y[:, :n]))
-    files.remove(spark, path)
-    both = found.join(_combined([(lap, found, 1.0)], "lv", n), "node")
-    left = np.sqrt(E.total(both, ["vec", "lv"], lambda v, lv: ((lv - v * values[:n]) ** 2).sum(axis=0), n)).max()
-    if left > 10 * TOLERANCE:
-        raise RuntimeError(f"a residual norm of {left:.1e} is left")
+        raise RuntimeError(f"no convergence in {used} products: a residual norm of {np.max(left):.1e} is left")
+    vectors = block.select("part", "data").mapInArrow(_rows(turn[:, :n]), "part int, pos int, vec array<double>")
+    found = scratch.written(vectors.join(place, ["part", "pos"]).select("node", "vec"))
+    for path in old:
+        files.remove(spark, path)
     largest = lambda i: F.min_by(F.signum(F.col("vec")[i]), F.struct(-F.round(F.abs(F.col("vec")[i]), 9), "node"))
     signs = found.agg(*[largest(i) for i in range(n)]).first()
     signed = F.zip_with("vec", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s)
     return found.select("node", signed.alias("vec"), F.lit(values[:n].tolist()).cast("array<double>").alias("eigenvalues"))
 
 
-def _new_part(both: DataFrame, k: int, block: int):
-    """For (node, q of k orthonormal columns, w of `block` columns): c and r such that w = q c + new r with orthonormal columns `new`, at
-    right angles to q, and a function that makes the basis [q turned by its argument, if any | new] of that table. Both parts of w are
-    taken twice, the second time at unit length; directions of w that hold nothing new are left out."""
-    names = ["q", "w"] if k else ["w"]
-
-    def new(q, w, steps):
-        for c, by in steps:
-            w = (w - q @ c if k else w) @ by
-        return w
-
-    def inner(*cols, steps):
-        q, w = cols if k else (None, cols[0])
-        w = new(q, w, steps)
-        return np.concatenate([(q.T @ w).ravel() if k else np.zeros(0), (w.T @ w).ravel()])
-
-    steps, c, r, width = [], np.zeros((k, block)), np.eye(block), block
-    for _ in range(2):
-        v = E.total(both, names, lambda *cols, steps=tuple(steps): inner(*cols, steps=steps), (k + width) * width)
-        part, gram = v[: k * width].reshape(k, width), v[k * width :].reshape(width, width)
-        c = c + part @ r
-        w, u = np.linalg.eigh(gram - part.T @ part)
-        good = w > max(1e-15 * max(gram.max(), 0), 1e-22)
-        steps.append((part, u[:, good] / np.sqrt(w[good])))
-        r, width = np.sqrt(w[good])[:, None] * u[:, good].T @ r, int(good.sum())
-        if not width:
-            break
-
-    def make(turn: np.ndarray | None) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    q, w = (_matrix(b.column(1)) if k else None), _matrix(b.column(len(names)))
-                    out = [x for x in (q if turn is None or q is None else q @ turn, new(q, w, steps)) if x is not None]
-                    yield pa.RecordBatch.from_arrays([b.column(0), E.lists(np.hstack(out))], names=["node", "q"])
-
-        return both.select("node", *names).mapInArrow(run, f"node {dict(both.dtypes)['node']}, q array<double>")
-
-    return make, c, r
-
-
-def _times(basis: DataFrame, column: str, by: np.ndarray) -> DataFrame:
-    return E.add_columns(basis, [column], ["vec"], lambda q: (q @ by,)).select("node", "vec")
-
-
-def _combined(terms: list, name: str, width: int) -> DataFrame:
-    """(node, name): the sum over (matrix or None, vectors, factor) of factor * matrix * vectors."""
-    scaled = lambda f: F.transform("vec", lambda v: v * f).alias("part")
-    rows = None
-    for lap, x, factor in terms:
-        f: Column = F.lit(float(factor))
-        own = x.select("node", scaled(f)) if lap is None else lap.join(x, lap.j == x.node).select(F.col("i").alias("node"), scaled(F.col("value") * f))
-        rows = own if rows is None else rows.union(own)
-    return rows.groupBy("node").agg(F.array(*[F.sum(F.col("part")[i]) for i in range(width)]).alias(name))
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+def _matrix_parts(lap: DataFrame, place: DataFrame, parts: int, kept) -> tuple[DataFrame, float]:
+    """(part, data) with the columns of L of each part's nodes, and a bound of its eigenvalues: for any positive u no value is beyond the
+    greatest sum over j of |L_ij| u_j / u_i. With u the roots of degrees a normalised Laplacian gets 2."""
+    side = lambda a: place.select(*[F.col(c).alias(f"{c}_{a}") for c in ("node", "part", "pos", "u")])
+    both = lap.join(side("i"), F.col("i") == F.col("node_i")).join(side("j"), F.col("j") == F.col("node_j"))
+    share = (F.abs("value") * F.col("u_j") / F.col("u_i")).alias("share")
+    both = kept(both.select(F.col("part_j").alias("part"), F.col("part_i").alias("to"), F.col("pos_i").alias("row"), F.col("pos_j").alias("col"), "value", share))
+    high = both.groupBy("to", "row").agg(F.sum("share").alias("s")).agg(F.max("s")).first()[0]
+    own = place.select("part", F.lit(-1).alias("to"), F.col("pos").alias("row"), F.col("pos").alias("col"), F.lit(0.0).alias("value"))
+    rows = both.drop("share").union(own).repartitionById(parts, "part").sortWithinPartitions("part", "to", "row", "col")
+
+    def build(t: pa.Table):
+        to, row, col, value = (t.column(c).to_numpy() for c in ("to", "row", "col", "value"))
+        size = int(np.searchsorted(to, 0))  # the part's own nodes come first
+        to, row, col, value = to[size:], row[size:], col[size:], value[size:]
+        start = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (row[1:] != row[:-1])]) if len(to) else np.zeros(0, int)
+        others = np.unique(to)
+        matrix = {"size": size, "to": others, "cut": np.append(np.searchsorted(to[start], others), len(start)), "row": row[start], "start": np.r_[start, len(to)], "col": col, "value": value}
+        yield _row(t.column("part")[0].as_py(), -1, {"matrix": matrix})
+
+    return kept(rows.mapInArrow(grouped(1, build), PIECES)), high * (1 + 1e-12)
+
+
+#: Rows that parts send: to `part`, from `source`, or with -1 what a part keeps.
+PIECES = "part int, source int, data binary"
+
+
+def _row(part: int, source: int, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([source], pa.int32()), pa.array([pickle.dumps(data)], pa.binary())], names=["part", "source", "data"])
+
+
+def _sent(part: int, state: dict, x: np.ndarray):
+    """What a part keeps, and for each part the rows of its share of L x."""
+    m = state["matrix"]
+    yield _row(part, -1, state)
+    for to, a, b in zip(m["to"].tolist(), m["cut"][:-1], m["cut"][1:], strict=True):
+        start = m["start"][a : b + 1]
+        at = slice(start[0], start[-1])
+        share = np.add.reduceat(m["value"][at, None] * x[m["col"][at]], start[:-1] - start[0], axis=0)
+        yield _row(to, part, (m["row"][a:b], share))
+
+
+def _received(t: pa.Table, width: int) -> tuple[int, dict, np.ndarray]:
+    """A part's number, what it kept, and the sum of the shares, in the order of their parts."""
+    source = t.column("source").to_numpy()
+    order, data = np.argsort(source), t.column("data")
+    state = pickle.loads(data[int(order[0])].as_buffer())
+    out = np.zeros((state["matrix"]["size"], width))
+    for i in order[1:]:
+        row, share = pickle.loads(data[int(i)].as_buffer())
+        out[row] += share
+    return t.column("part")[0].as_py(), state, out
+
+
+def _filtered(block: DataFrame, parts: int, width: int, degree: int, above: float, high: float, turn: np.ndarray | None, seed: int) -> DataFrame:
+    """(part, source, data, gram): x times the Chebyshev polynomial of L of that degree on [above, high] as y, L y as ly, and the inner products
+    of both. x is the block before times `turn`, filled up with random columns."""
+    mid, half = (high + above) / 2, (high - above) / 2
+
+    def first(t: pa.Table):
+        part, state, _ = _received(t, width)
+        x = np.zeros((state["matrix"]["size"], 0)) if turn is None else state["y"] @ turn
+        fill = np.random.default_rng([seed, part]).normal(size=(len(x), width - x.shape[1]))
+        x = np.hstack([x, fill])
+        yield from _sent(part, {"matrix": state["matrix"], "y": x, "before": None}, x)
+
+    def step(t: pa.Table):
+        part, state, product = _received(t, width)
+        x, before = state["y"], state["before"]
+        x, before = ((product - mid * x) / half if before is None else (product - mid * x) * (2 / half) - before), x
+        yield from _sent(part, {"matrix": state["matrix"], "y": x, "before": before}, x)
+
+    def last(t: pa.Table):
+        part, state, product = _received(t, width)
+        y = state["y"]
+        row = _row(part, -1, {"matrix": state["matrix"], "y": y, "ly": product})
+        yield row.append_column("gram", E.lists(np.stack([y.T @ y, y.T @ product, product.T @ product]).reshape(1, -1)))
+
+    df = block.select("part", "source", "data")
+    for run in [first, *[step] * degree]:
+        df = df.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(grouped(1, run), PIECES)
+    return df.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(grouped(1, last), PIECES + ", gram array<double>")
+
+
+def _best(gram: np.ndarray, inner: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in rising order, the combinations of y that give their vectors, and estimates of the residuals, from y'y, y'Ly and (Ly)'Ly.
+    Directions that the others hold already are left out."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), np.finfo(float).tiny))
+    w, u = np.linalg.eigh(gram * np.outer(scale, scale))
+    good = w > 1e-13 * w.max()
+    basis = scale[:, None] * u[:, good] / np.sqrt(w[good])
+    small = basis.T @ inner @ basis
+    values, v = np.linalg.eigh((small + small.T) / 2)
+    turn = basis @ v
+    return values, turn, np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, square, turn) - values**2, 0))
+
+
+def _next(values: np.ndarray, left: np.ndarray, n: int, above: float, high: float) -> tuple[float, int]:
+    """Above what the next polynomial damps, and its degree: enough for what is left of the wanted residuals, but no more than keeps the
+    block's vectors apart. The block's largest value is damped, unless it is noise still beyond what was damped before."""
+    low = float(values[0])
+    above = min(float(values[-1]), max(above, float(values[min(n + GUARD // 2, len(values) - 1)])), low + 0.9 * (high - low))
+    rate = lambda v: float(np.arccosh(max((high + above - 2 * v) / (high - above), 1 + 1e-12)))
+    need = (np.log(max(np.max(left[:n]), TOLERANCE) / TOLERANCE) + 3) / max(rate(values[min(n, len(values)) - 1]), 1e-6)
+    return above, int(np.clip(np.ceil(min(need, 16 / rate(low))), 4, DEGREE))
+
+
+def _residuals(block: DataFrame, turn: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Squares of the norms of L v - value * v."""
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0):
+                state = pickle.loads(data.as_buffer())
+                out = ((state["ly"] @ turn - state["y"] @ turn * values) ** 2).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([E.lists(out[None])], names=["v"])
+
+    return np.sum([r.v for r in block.select("data").mapInArrow(run, "v array<double>").collect()], axis=0)
+
+
+def _rows(turn: np.ndarray):
+    def run(batches):
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                state = pickle.loads(data.as_buffer())
+                x = state["y"] @ turn
+                pos = np.arange(len(x), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, np.int32)), pa.array(pos), E.lists(x)], names=["part", "pos", "vec"])
+
+    return run
 
 
 def angle(a: int, b: int, vec_col: str = "vec"):

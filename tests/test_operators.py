@@ -227,6 +227,19 @@ def test_eigenvectors_leave_no_basis_behind_and_narrow_blocks_find_the_same(spar
     assert len(list(tmp_path.iterdir())) <= 3  # the matrix, its nodes, the result: before, two tables a turn more
 
 
+def test_eigenvectors_take_many_products_in_a_job(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 5).tolist()) for i in range(600)], "id long, vec array<double>")
+    lap = graph.laplacian(graph.knn_edges(df, 8)).cache()
+    _, values, want = graph.dense_eigenvectors(lap, 3)
+    monkeypatch.setattr(graph, "BLOCK_CELLS", 1)
+    tables, written = [], graph.scratch.written
+    monkeypatch.setattr(graph.scratch, "written", lambda *a: tables.append(1) or written(*a))
+    rows = graph.smallest_eigenvectors(lap, 3).orderBy("node").collect()
+    assert np.allclose(rows[0].eigenvalues, values, atol=1e-8) and np.allclose([r.vec for r in rows], want, atol=1e-5)
+    assert len(tables) <= 12  # before, one a product and three more
+
+
 def test_sampling_and_layout(spark):
     df = spark.range(1000)
     assert sampling.exact_sample(df, 10, "id").count() == 10 and sampling.exact_sample(df, 5000, "id").count() == 1000
