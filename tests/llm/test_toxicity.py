@@ -59,3 +59,28 @@ def test_edge_cases(spark):
     model, cut = toxicity.fit(docs, labels.limit(0))
     assert [r.score for r in toxicity.score(docs, model, cut).collect()] == [0.0] * 5
     assert toxicity.score(docs.limit(0), model, cut).count() == 0
+
+
+def test_all_labelled_documents_teach_the_model(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    rows = [(i, f"odd{i % 60} day sea " + ("bad " * (400 if i == 7 else 1) if i % 3 == 0 else "fine "), "en") for i in range(119)] + [(119, "odd59 " + "long " * 900, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int("bad" in t)) for i, t, _ in rows], "doc_id long, toxic int")
+    m, cut = toxicity.fit(docs, labels, rows=40, size=1 << 14)  # the longest text is beyond a sixteenth of size
+    data = np.frombuffer(" ".join(f"odd{i}" for i in range(60)).encode(), np.uint8)
+    known = m.row[toxicity.buckets(data, np.array([0, len(data)]))[0]]
+    assert (known > 0).all() and np.isfinite(m.e).all() and 0 < cut[None] < 1  # before, words of at most 40 documents
+    assert {r.doc_id for r in toxicity.score(docs, m, cut).collect()} == set(range(120))
+
+
+def test_windows_pool_what_whole_documents_do(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 37, 400)]
+    m = toxicity.Model(np.arange(40, dtype=np.int32))
+    m.e = rng.normal(0, 1, m.e.shape).astype(np.float32)
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    rows = m.row[np.concatenate(docs)]
+    want = m.pooled(rows, first, where=True)
+    monkeypatch.setattr(toxicity, "POOLED", 16)
+    top, at, flat = m.pooled(rows, first, where=True)
+    assert np.allclose(top, want[0], atol=1e-5) and np.array_equal(at, want[1]) and np.array_equal(flat, want[2])
